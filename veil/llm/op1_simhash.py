@@ -5,7 +5,7 @@ import functools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veil.llm.graph import components
@@ -167,6 +167,14 @@ def near_pairs(fps: DataFrame, root_limit: int = ROOT_LIMIT) -> DataFrame:
     return dealt.mapInArrow(_join, "a long, b long").distinct()
 
 
+def _labels(nodes: DataFrame) -> DataFrame:
+    """``fp`` and ``component_id`` for the distinct fingerprints ``fp`` with their smallest value ``rep``."""
+    linked = components(near_pairs(nodes.select("fp")))
+    named = linked.join(nodes, linked["node"] == nodes["fp"]).groupBy("root").agg(F.min("rep").alias("component_id"))
+    member = linked.join(named, "root").select(F.col("node").alias("fp"), F.col("component_id"))
+    return nodes.join(member, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``fp`` (long), ``component_id`` (smallest id reachable).
 
@@ -176,18 +184,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     ship(docs.sparkSession)
     fps = materialize(fingerprints(docs, id_col, text_col))
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    linked = components(near_pairs(nodes.select("fp")))
-    named = (
-        linked.join(nodes, linked["node"] == nodes["fp"])
-        .groupBy("root")
-        .agg(F.min("rep").alias("component_id"))
-    )
-    member = linked.join(named, "root").select(F.col("node").alias("fp"), F.col("component_id"))
-    label = nodes.join(member, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    label = _labels(materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))))
     return fps.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: the one with the smallest id.
+
+    Ties between rows of one id go to the smaller MD5 of id and text, then to the smaller hash of the
+    whole row. A row without an id stays only if its group has no row with one.
+    """
+    ship(docs.sparkSession)
+    marks = (F.coalesce(F.col(c).cast("string"), F.lit(f"null {c}")) for c in (id_col, text_col))
+    keyed = docs.withColumn("__key", F.unhex(F.md5(F.concat_ws(":", *marks).cast("binary"))))
+    named = keyed.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__key").alias("key")).alias("who"), text_col)
+    fps = materialize(fingerprints(named, "who", text_col))
+    label = _labels(materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))))
+    keys = label.select(F.col("component_id.key").alias("__key")).distinct()
+    first = Window.partitionBy("__key").orderBy(F.xxhash64(*docs.columns))
+    kept = keyed.join(keys, "__key", "left_semi").withColumn("__n", F.row_number().over(first))
+    return kept.where("__n = 1").select(*docs.columns)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

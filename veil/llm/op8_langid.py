@@ -249,7 +249,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return source.mapInArrow(run, schema)
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text has letters and one language for ``least`` of them."""
     spark = ship(docs.sparkSession)
     sent, at = spark.sparkContext.broadcast(model), docs.columns.index(text_col)

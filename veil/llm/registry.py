@@ -1,7 +1,7 @@
 """All queries of this subpackage and their SQL."""
 
-from veil.llm import op1_simhash, op6_tokens, op8_langid, op9_decontaminate
+from veil.llm import op1_simhash, op3_mixing, op5_secrets, op6_tokens, op8_langid, op9_decontaminate
 
-MODULES = (op1_simhash, op6_tokens, op8_langid, op9_decontaminate)
+MODULES = (op1_simhash, op3_mixing, op5_secrets, op6_tokens, op8_langid, op9_decontaminate)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
