@@ -1,6 +1,7 @@
 """From raw documents to a training mixture: five stages, each one operator of ``veil.llm``."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veil.llm import op1_simhash, op3_mixing, op5_secrets, op8_langid, op9_decontaminate
 from veil.sources import materialize, read_table
@@ -22,8 +23,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace secrets in the texts; every document stays."""
-    return op5_secrets.redact(docs)
+    """Replace secrets in the texts; every document stays, with its new length where ``n_chars`` is a column."""
+    out = op5_secrets.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
