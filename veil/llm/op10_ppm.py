@@ -8,21 +8,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veil.llm.arrow import blocks
 from veil.sources import materialize, read_table, ship
 
-#: Longest context in bytes. Contexts begin with the space before a token and do not cross it.
+#: Longest context in bytes.
 ORDER = 5
-#: Nodes of the trie that the driver and every worker hold, 16 bytes each: the rarest beyond are pruned.
+#: Nodes of the trie that the driver and every worker hold: the rarest beyond are pruned.
 MOST_NODES = 1 << 21
-#: Words whose scores every worker holds; all others are joined.
-MOST_WORDS = 1 << 19
-#: The end of a text as a token: no word can hold a line feed.
+#: Words whose counts every worker holds; all others are joined.
+MOST_WORDS = 1 << 18
+#: The end of a text as a token and as a byte: no word can hold a line feed.
 END = b"\n"
 #: Additive smoothing of the base score.
 ALPHA = 0.1
-#: Distinct words or nodes that a task holds before it passes on their counts.
+#: Distinct words that a task holds before it passes on their counts.
 HOLD = 400_000
+#: Distinct nodes that a task holds before it passes on their counts.
+HOLD_NODES = 3_000_000
+#: Bytes of text that a task works on at once; longer texts are worked on in pieces.
+STEP = 1 << 22
 NOTHING = np.zeros(0, np.int64)
+LOW = (1 << 56) - 1
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -32,22 +38,26 @@ def tokens(text: bytes | None) -> list[bytes]:
     return words
 
 
-def grams(words: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Length of the longest context, packed bytes of context and symbol, and word number, for each symbol.
+def grams(docs: list[list[bytes]], order: int = ORDER):
+    """Yield packed context and symbol, and document number, of all symbols, a bounded piece at a time.
 
-    The symbols of a word are its bytes and the space after it; the space before it begins the context.
+    The bytes of a document are its words with a space between and the end after the last. Line feeds
+    stand before the first byte, so that every symbol has a context of ``order`` bytes.
     """
-    stream = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.int64)
-    sizes = np.array([len(w) + 1 for w in words], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(words)), sizes)
-    offset = np.arange(int(sizes.sum())) - starts[owner]
-    depth = np.minimum(offset + 1, order)
-    code = stream[1:].copy()
-    for back in range(1, order + 1):
-        deep = depth >= back
-        code[deep] |= stream[: len(stream) - 1][np.flatnonzero(deep) + 1 - back] << (8 * back)
-    return depth, code, owner
+    pad = END * order
+    stream = np.frombuffer(b"".join(pad + b" ".join(d[:-1]) + END for d in docs), np.uint8)
+    sizes = np.array([sum(map(len, d[:-1])) + max(0, len(d) - 2) + 1 + order for d in docs], np.int64)
+    ends = np.cumsum(sizes)
+    for at in range(0, len(stream), STEP):
+        low = max(0, at - order)
+        piece = stream[low : at + STEP].astype(np.int64)
+        code = piece.copy()
+        for back in range(1, order + 1):
+            code[back:] |= piece[:-back] << (8 * back)
+        place = np.arange(at, at + len(piece) - (at - low))
+        owner = np.searchsorted(ends, place, "right")
+        symbol = place - (ends - sizes)[owner] >= order
+        yield code[at - low :][symbol], owner[symbol]
 
 
 def cut(code: np.ndarray, order: int) -> np.ndarray:
@@ -72,7 +82,7 @@ class Trie:
         at = np.argsort(keys)
         self.keys, self.counts = keys[at].astype(np.int64), counts[at].astype(float)
         levels = self.keys >> 56
-        parents = (levels << 56) | ((self.keys & ((1 << 56) - 1)) >> 8)
+        parents = (levels << 56) | ((self.keys & LOW) >> 8)
         self.contexts, first = np.unique(parents, return_index=True)
         number = np.searchsorted(self.contexts, parents)
         n = len(self.contexts)
@@ -80,10 +90,10 @@ class Trie:
         # What a context leaves of the next shorter one, once the symbols it has seen itself are excluded.
         self.rest_total, self.rest_kinds = np.zeros(n), np.zeros(n)
         up = levels > 0
-        lower = cut(self.keys[up] & ((1 << 56) - 1), 0)
+        lower = cut(self.keys[up] & LOW, 0)
         for o in range(1, order + 1):
             here = levels[up] == o
-            lower[here] = cut(self.keys[up][here] & ((1 << 56) - 1), o - 1)
+            lower[here] = cut(self.keys[up][here] & LOW, o - 1)
         place = np.minimum(np.searchsorted(self.keys, lower), max(0, len(self.keys) - 1))
         seen = np.where(self.keys[place] == lower, self.counts[place], 0) if len(lower) else np.zeros(0)
         taken = np.bincount(number[up], seen, n)
@@ -105,40 +115,36 @@ class Trie:
         at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
         return at, table[at] == keys
 
-    def symbols(self, depth: np.ndarray, code: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol after its context, by escape method C with exclusion."""
+    def symbols(self, code: np.ndarray) -> np.ndarray:
+        """log10 probability of each symbol after its context, by escape method D with exclusion."""
         out = np.zeros(len(code))
         total, kinds = np.zeros(len(code)), np.zeros(len(code))
-        entered, done = np.zeros(len(code), bool), np.zeros(len(code), bool)
+        entered, live = np.zeros(len(code), bool), np.arange(len(code))
         for o in range(self.order, -1, -1):
-            live = np.flatnonzero(~done & (depth >= o))
             node = cut(code[live], o)
-            c, known = self._find(self.contexts, (o << 56) | ((node & ((1 << 56) - 1)) >> 8))
-            live, node, c = live[known], node[known], c[known]
+            c, known = self._find(self.contexts, (o << 56) | ((node & LOW) >> 8))
+            skipped, live, node, c = live[~known], live[known], node[known], c[known]
             # The first context found has all its symbols; a later one lacks those excluded above it.
             fresh = ~entered[live]
             total[live[fresh]], kinds[live[fresh]] = self.total[c[fresh]], self.kinds[c[fresh]]
             entered[live] = True
             k, hit = self._find(self.keys, node)
-            mass = total[live] + kinds[live]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                out[live[hit]] += np.log10(self.counts[k[hit]] / mass[hit])
-                escape = np.where(kinds[live] > 0, np.log10(kinds[live] / mass), 0.0)
-            miss = ~hit
-            out[live[miss]] += escape[miss]
-            done[live[hit]] = True
+            miss, mass = ~hit, 2 * total[live]
+            out[live[hit]] += np.log10((2 * self.counts[k[hit]] - 1) / mass[hit])
+            escapes = miss & (kinds[live] > 0)
+            out[live[escapes]] += np.log10(kinds[live[escapes]] / mass[escapes])
             total[live[miss]], kinds[live[miss]] = self.rest_total[c[miss]], self.rest_kinds[c[miss]]
-        left = ~done
-        out[left] -= np.log10(np.where(entered[left], np.maximum(kinds[left], 1), 256))
+            live = np.concatenate([skipped, live[miss]])
+        out[live] -= np.log10(np.where(entered[live], np.maximum(kinds[live], 1), 256))
         return out
 
-    def words(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word with the space after it."""
-        if not words:
-            return np.zeros(0)
-        depth, code, owner = grams(words, self.order)
-        _, first, inverse = np.unique(code | (depth << 56), return_index=True, return_inverse=True)
-        return np.bincount(owner, self.symbols(depth[first], code[first])[inverse], len(words))
+    def score(self, docs: list[list[bytes]]) -> np.ndarray:
+        """log10 probability of each document."""
+        out = np.zeros(len(docs))
+        for code, owner in grams(docs, self.order):
+            distinct, inverse = np.unique(code, return_inverse=True)
+            out += np.bincount(owner, self.symbols(distinct)[inverse], len(docs))
+        return out
 
 
 def _held(id_col: str, folds: int):
@@ -146,27 +152,25 @@ def _held(id_col: str, folds: int):
     return F.pmod(F.crc32(text), F.lit(folds)) == 0
 
 
-def vocabulary(source: DataFrame) -> DataFrame:
-    """Every token of ``source`` (``text``, ``held``) with its count ``c`` in texts that are not held out."""
+def vocabulary(texts: DataFrame) -> DataFrame:
+    """Every token of column ``text`` with its count ``c``; tasks count before anything is shuffled."""
 
     def run(batches):
         count: Counter = Counter()
 
         def emit():
-            words = list(count)
-            out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([count[w] for w in words], pa.int64())], names=["word", "c"])
+            out = pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["word", "c"])
             count.clear()
             return out
 
         for batch in batches:
-            for text, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = tokens(text)
-                count.update(dict.fromkeys(words, 0) if held else words)
+            for text in batch.column(0).to_pylist():
+                count.update(tokens(text))
             if len(count) > HOLD:
                 yield emit()
         yield emit()
 
-    return source.select("text", "held").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _at_least(counts: DataFrame, column: str, most: int) -> int:
@@ -181,99 +185,91 @@ def _at_least(counts: DataFrame, column: str, most: int) -> int:
     return 1 << max(0, least)
 
 
-def build_trie(vocab: DataFrame, order: int = ORDER, most: int = MOST_NODES) -> Trie:
-    """Trie of all training words by their counts. Nodes are counted over everything, then the rarest pruned.
+def build_trie(texts: DataFrame, order: int = ORDER, most: int = MOST_NODES) -> Trie:
+    """Trie of column ``text``. Nodes are counted over all of it, and then the rarest are pruned.
 
     A shorter context has every count of a longer one, so pruning by count leaves no node without its
-    shorter ones; the trie is at most ``most`` nodes large for any corpus.
+    shorter ones; the trie has at most ``most`` nodes for any corpus.
     """
 
     def run(batches):
-        for batch in batches:
-            words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            depth, code, owner = grams(words, order)
-            weight, parts = c[owner], []
-            for o in range(order + 1):
-                here = depth >= o
-                parts.append(summed(cut(code[here], o), weight[here]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["node", "n"])
-
-    nodes = materialize(vocab.where("c > 0").select("word", "c").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")))
+        held: list[tuple] = []
+
+        def emit():
+            top, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            for o in range(order, -1, -1):
+                keys, counts = summed(cut(top, o), n)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["node", "n"])
+
+        for batch in blocks(batches, STEP):
+            for code, _ in grams([tokens(t) for t in batch.column(0).to_pylist()], order):
+                held.append(tuple(np.unique(code, return_counts=True)))
+            if sum(len(k) for k, _ in held) > HOLD_NODES:
+                held[:] = [summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                if len(held[0][0]) > HOLD_NODES // 2:
+                    yield from emit()
+        if held:
+            yield from emit()
+
+    nodes = materialize(texts.select("text").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")))
     got = nodes.where(F.col("n") >= _at_least(nodes, "n", most)).toArrow()
     return Trie(got.column(0).to_numpy(), got.column(1).to_numpy(), order)
 
 
-def score_words(vocab: DataFrame, trie: Trie) -> DataFrame:
-    sent = vocab.sparkSession.sparkContext.broadcast(trie)
-
-    def run(batches):
-        for batch in batches:
-            logs = sent.value.words(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs)], names=["word", "c", "ppm"])
-
-    return vocab.mapInArrow(run, "word binary, c long, ppm double")
-
-
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, order: int = ORDER, most_nodes: int = MOST_NODES, most_words: int = MOST_WORDS) -> DataFrame:
-    """One row per row of ``docs`` with its unigram base score and the PPM code length as log10 probability.
-
-    The model is the probability of the tokens: bytes of each word and the space after it, and a last
-    token for the end. Every distinct token is scored once, by the trie, and a text is the sum of its
-    tokens: frequent words (at most ``most_words``) from a table in each worker, all others by a join.
-    A null text counts as empty and has the end alone; a null id counts as an empty string for the fold.
-    Repeated rows give repeated rows, other columns are not looked at. Without training texts all counts
-    are zero and every byte is as likely as any other.
+    """One row per row of ``docs`` with its unigram base score and its PPM code length as log10 probability.
+
+    Both are of the same tokens: words with A-Z in lower case, and an end. For the trie they are bytes,
+    with a space between words. Counts of frequent words (at most ``most_words``) are a table in each
+    worker; all other words of the texts are joined with the counts. A null text counts as empty and has
+    the end alone; a null id counts as an empty string for the fold. Repeated rows give repeated rows,
+    other columns are not looked at. Without training texts all counts are zero and every byte is as
+    likely as any other.
     """
     spark = ship(docs.sparkSession)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), _held(id_col, folds).alias("held"))
-    counts = materialize(vocabulary(source))
-    row = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
-    n, v = row[0] or 0, row[1] or 0
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
-    trie = build_trie(counts, order, most_nodes)
-    vocab = materialize(score_words(counts, trie))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    common = vocab.where(F.col("c") >= _at_least(vocab, "c", most_words)).toArrow()
-    sent = spark.sparkContext.broadcast((common.column(0).to_pylist(), common.column(1).to_numpy(), common.column(2).to_numpy()))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    train = source.where(~_held("doc_id", folds))
+    vocab = materialize(vocabulary(train))
+    row = vocab.agg(F.sum("c"), F.count("*")).first()
+    n, v = row[0] or 0, row[1]
     floor = n + ALPHA * (v + 1)
-    schema = source.select(F.lit(0).cast("long").alias("uid"), "doc_id", F.lit(None).cast("binary").alias("word"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.lit(0.0).alias("ppm")).schema
+    trie = spark.sparkContext.broadcast(build_trie(train, order, most_nodes))
+    common = vocab.where(F.col("c") >= _at_least(vocab, "c", most_words)).toArrow()
+    frequent = spark.sparkContext.broadcast((common.column(0).to_pylist(), np.log10((common.column(1).to_numpy() + ALPHA) / floor)))
+    whole, real = F.lit(0).cast("long"), F.lit(0.0)
+    schema = source.select(whole.alias("uid"), "doc_id", F.lit(None).cast("binary").alias("word"), whole.alias("n"), whole.alias("known"), real.alias("base"), real.alias("ppm")).schema
 
     def run(batches):
-        words, c, ppm = sent.value
+        words, base = frequent.value
         index = {w: i for i, w in enumerate(words)}
-        base = np.log10((c + ALPHA) / floor)
         uid = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            heads, tails = [], []
-            for text in batch.column(1).to_pylist():
-                doc = tokens(text)
+        for batch in blocks(batches, STEP):
+            split = [tokens(t) for t in batch.column(1).to_pylist()]
+            known, sums, rare = [], [], []
+            for doc in split:
                 at = np.array([index.get(w, -1) for w in doc], np.int64)
-                frequent = at[at >= 0]
-                heads.append((uid, len(doc), len(frequent), base[frequent].sum(), ppm[frequent].sum()))
-                if len(frequent) < len(doc):
-                    rest = Counter(w for w, i in zip(doc, at.tolist(), strict=True) if i < 0)
-                    tails.append((uid, rest))
-                uid += 1
-            who, size, known, b, p = zip(*heads, strict=True) if heads else [[]] * 5
+                some = at[at >= 0]
+                known.append(len(some))
+                sums.append(base[some].sum())
+                rare.append(Counter(w for w, i in zip(doc, at.tolist(), strict=True) if i < 0) if len(some) < len(doc) else {})
+            who = uid + np.arange(len(split))
+            uid += len(split)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(who, pa.int64()), batch.column(0), pa.nulls(len(who), pa.binary()), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(b, pa.float64()), pa.array(p, pa.float64())],
+                [pa.array(who), batch.column(0), pa.nulls(len(who), pa.binary()), pa.array(list(map(len, split)), pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(trie.value.score(split))],
                 names=schema.names,
             )
-            who = np.repeat(np.array([u for u, _ in tails], np.int64), [len(r) for _, r in tails]) if tails else NOTHING
-            if len(who):
-                zero = pa.array(np.zeros(len(who)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(who), pa.nulls(len(who), batch.column(0).type), pa.array([w for _, r in tails for w in r], pa.binary()), pa.array([k for _, r in tails for k in r.values()], pa.int64()), pa.array(np.zeros(len(who), np.int64)), zero, zero],
-                    names=schema.names,
-                )
-
-    rows = materialize(source.select("doc_id", "text").mapInArrow(run, schema))
-    rare = rows.where("word is not null").select("uid", "word", "n").join(vocab, "word")
-    log = F.log10((F.col("c") + F.lit(ALPHA)) / F.lit(float(floor)))
-    rare = rare.select("uid", (F.col("n") * (F.col("c") > 0).cast("long")).alias("known"), (F.col("n") * log).alias("base"), (F.col("n") * F.col("ppm")).alias("ppm"))
-    rare = rare.groupBy("uid").agg(*(F.sum(x).alias(f"rare_{x}") for x in ("known", "base", "ppm")))
-    total = lambda x: F.col(x) + F.coalesce(F.col(f"rare_{x}"), F.lit(0))
+            who = np.repeat(who, list(map(len, rare)))
+            zero = pa.array(np.zeros(len(who)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(who), pa.nulls(len(who), batch.column(0).type), pa.array([w for r in rare for w in r], pa.binary()), pa.array([k for r in rare for k in r.values()], pa.int64()), pa.array(np.zeros(len(who), np.int64)), zero, zero],
+                names=schema.names,
+            )
+
+    rows = materialize(source.mapInArrow(run, schema))
+    rare = rows.where("word is not null").select("uid", "word", "n").join(vocab, "word", "left")
+    log = F.log10((F.coalesce("c", F.lit(0)) + F.lit(ALPHA)) / F.lit(float(floor)))
+    rare = rare.groupBy("uid").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"), F.sum(F.col("n") * log).alias("rare_base"))
     return (
         rows.where("word is null")
         .join(rare, "uid", "left")
@@ -281,10 +277,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             "doc_id",
             _held("doc_id", folds).alias("held_out"),
             F.col("n").alias("n_tokens"),
-            total("known").alias("n_known"),
+            (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
             F.lit(n).cast("long").alias("train_tokens"),
-            total("base").alias("base_score"),
-            total("ppm").alias("score"),
+            (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
+            F.col("ppm").alias("score"),
         )
     )
 

@@ -2,13 +2,13 @@
 
 import hashlib
 import re
-from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veil.llm.arrow import blocks
 from veil.sources import read_table, ship
 
 WINDOW = 13
@@ -98,18 +98,6 @@ def _scanner(shards: list, window: int):
     return scan
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-    for b in batches:
-        held.append(b)
-        size += b.nbytes
-        if size >= least:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
-    if held and sum(b.num_rows for b in held):
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def contaminated(n_hit: int, n_words: int, one_in: int = ONE_IN) -> bool:
     return n_hit > 0 and one_in * n_hit >= n_words
 
@@ -150,7 +138,7 @@ def contamination(
 
     def run(batches):
         scan = _scanner(shards, window)
-        for batch in _blocks(batches, least):
+        for batch in blocks(batches, least):
             texts = batch.column(1).to_pylist()
             rows = []
             for text, (d, hit, found) in zip(texts, scan(texts), strict=True):
@@ -175,7 +163,7 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text",
 
     def run(batches):
         scan = _scanner(shards, window)
-        for batch in _blocks(batches, least):
+        for batch in blocks(batches, least):
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             yield batch.filter(pa.array([not contaminated(sum(h), len(d), one_in) for d, h, _ in scan(texts)], pa.bool_()))
 
