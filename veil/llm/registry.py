@@ -2,6 +2,7 @@
 
 from veil.llm import (
     op1_simhash,
+    op2_paragraphs,
     op3_mixing,
     op4_ann,
     op5_secrets,
@@ -12,6 +13,6 @@ from veil.llm import (
     op10_ppm,
 )
 
-MODULES = (op1_simhash, op3_mixing, op4_ann, op5_secrets, op6_tokens, op7_urls, op8_langid, op9_decontaminate, op10_ppm)
+MODULES = (op1_simhash, op2_paragraphs, op3_mixing, op4_ann, op5_secrets, op6_tokens, op7_urls, op8_langid, op9_decontaminate, op10_ppm)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
