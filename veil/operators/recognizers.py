@@ -25,6 +25,7 @@ class Recognizer:
     languages: tuple[str, ...] = ("hr", "en")
     context: tuple[str, ...] = ()
     boost: float = 0.2
+    needs_digit: bool = True
 
 
 def iban(country: str, length: int, entity_type: str, languages: tuple[str, ...] = ("hr", "en")) -> Recognizer:
@@ -51,11 +52,11 @@ NATIONAL = (
 )
 #: Our own patterns for common types. Numbers of any country are not told apart as a telephone library would.
 GENERAL = (
-    Recognizer("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0),
+    Recognizer("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0, needs_digit=False),
     Recognizer("CREDIT_CARD", r"\b\d(?:[ -]?\d){12,18}\b", 0.3, checksums.luhn),
     Recognizer("IP_ADDRESS", r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b", 0.6),
     Recognizer("PHONE_NUMBER", r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}\b", 0.5),
-    Recognizer("SECRET", r"(?i:password|passwd|secret|token|api_?key)[\"']?\s*[:=]\s*[\"']?[A-Za-z0-9+/_.=-]{6,}", 0.8),
+    Recognizer("SECRET", r"(?i:password|passwd|secret|token|api_?key)[\"']?\s*[:=]\s*[\"']?[A-Za-z0-9+/_.=-]{6,}", 0.8, needs_digit=False),
     Recognizer("UK_NHS", r"\b\d{3}[ -]?\d{3}[ -]?\d{4}\b", 0.5, checksums.nhs, ("en",)),
     Recognizer("IBAN_CODE", r"\b[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){2,7}(?:\s?[A-Z0-9]{1,3})?\b", 0.5, checksums.mod97, ("en",)),
 )
@@ -85,6 +86,9 @@ def recognize(text: Column, r: Recognizer, ord_: int = 0) -> Column:
 
 
 def detect(text: Column, recognizers: tuple[Recognizer, ...] = REGISTRY) -> Column:
-    """Spans of all recognizers. Texts without a digit, an at sign or a secret's key word cost one test each."""
-    parts = [recognize(text, r, k) for k, r in enumerate(recognizers)]
-    return F.coalesce(F.concat(*parts), none()) if parts else none()
+    """Spans of all recognizers. Patterns that need a digit are not tried on texts without one."""
+    digits = [recognize(text, r, k) for k, r in enumerate(recognizers) if r.needs_digit]
+    others = [recognize(text, r, k) for k, r in enumerate(recognizers) if not r.needs_digit]
+    if digits:
+        others.append(F.when(text.rlike(r"\p{Nd}"), F.concat(*digits)).otherwise(none()))
+    return F.coalesce(F.concat(*others), none()) if others else none()

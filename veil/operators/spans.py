@@ -4,7 +4,7 @@
 Arrays of a text are small (detections, not words), so folds over them stay in the row and nothing is shuffled.
 """
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veil.config import EngineConfig
@@ -172,15 +172,25 @@ def without_overlaps(spans: Column) -> Column:
     return by(F.aggregate(ordered, none(), step), lambda s: s["start"])
 
 
-def select(spans: Column, text: Column, config: EngineConfig | None = None) -> Column:
-    """All steps from detections to the spans that are masked; without a config only those without lists."""
-    out = outside_placeholders(spans, text)
-    out = whitelisted(resolve_cities(out, text))
+def select(df: DataFrame, name: str, spans: Column, text: Column, config: EngineConfig | None = None) -> DataFrame:
+    """``df`` with column ``name``: the spans that are masked, of all detections in ``spans``.
+
+    Without a config the steps that need lists or a window are left out. Each step is a column of its own:
+    a step that reads its input twice would otherwise have Spark evaluate all steps before it twice.
+    """
+    steps = [lambda s: outside_placeholders(s, text), lambda s: whitelisted(resolve_cities(s, text))]
     if config:
-        out = without_denied(out, text, config.deny, config.exact_deny)
-        out = strip_trailing(out, text, config.trailing)
-        out = without_phones(out, text, config.oib_phone_window)
-    return without_overlaps(F.when(F.length(text) > 0, out).otherwise(none()))
+        steps += [
+            lambda s: without_denied(s, text, config.deny, config.exact_deny),
+            lambda s: strip_trailing(s, text, config.trailing),
+            lambda s: without_phones(s, text, config.oib_phone_window),
+        ]
+    steps.append(lambda s: F.when(F.length(text) > 0, without_overlaps(s)).otherwise(none()))
+    out = df.withColumn("__spans", spans)
+    for step in steps:
+        now = F.col("__spans")
+        out = out.withColumn("__spans", F.when(F.size(now) > 0, step(now)).otherwise(none()))
+    return out.withColumn(name, F.col("__spans")).drop("__spans")
 
 
 def merge_analyzers(croatian: Column, english: Column, text: Column) -> Column:

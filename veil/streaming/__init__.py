@@ -1 +1,5 @@
+"""The vault as a stream: mentions in, placeholders out, state by conversation."""
 
+from veil.streaming.vault import mint_stream
+
+__all__ = ["mint_stream"]
