@@ -1,4 +1,7 @@
 """All queries of the masking engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from veil.plans import detectors, masks, span_algebra, threads
+
+MODULES = (detectors, span_algebra, masks, threads)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
