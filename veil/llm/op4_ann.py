@@ -134,7 +134,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def _routed(rows: DataFrame, router, mass: float | None) -> DataFrame:
-    """``vec_id, part, v``: the most probable partition, or with ``mass`` each of the most probable up to it."""
+    """``vec_id, part, nth, v``: the most probable partition, or with ``mass`` each of the most probable up to it."""
     sent = rows.sparkSession.sparkContext.broadcast(router)
 
     def run(batches):
@@ -143,29 +143,35 @@ def _routed(rows: DataFrame, router, mass: float | None) -> DataFrame:
                 continue
             shares = sent.value.shares(_matrix(batch.column(1)))
             if mass is None:
-                at, part = np.arange(len(shares)), shares.argmax(axis=1)
+                at, part, k = np.arange(len(shares)), shares.argmax(axis=1), np.zeros(len(shares), np.int64)
             else:
                 order = np.argsort(-shares, axis=1, kind="stable")
                 before = np.cumsum(np.take_along_axis(shares, order, 1), axis=1) - np.take_along_axis(shares, order, 1)
                 at, k = np.nonzero(before < mass)
                 part = order[at, k]
             pick = pa.array(at)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), pa.array(part.astype(np.int32)), batch.column(1).take(pick)], names=["vec_id", "part", "v"])
+            columns = [batch.column(0).take(pick), pa.array(part.astype(np.int32)), pa.array(k.astype(np.int32)), batch.column(1).take(pick)]
+            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "part", "nth", "v"])
 
-    return rows.select("vec_id", "v").mapInArrow(run, "vec_id long, part int, v array<double>")
+    return rows.select("vec_id", "v").mapInArrow(run, "vec_id long, part int, nth int, v array<double>")
 
 
-def best(query_id: np.ndarray, query: np.ndarray, row_id: np.ndarray, row: np.ndarray, top: int):
-    """Yield (query_id, vec_id, score) arrays of the ``top`` rows of each query by exact score, ties to smaller ids."""
+def best(query_id: np.ndarray, query: np.ndarray, floor: np.ndarray, row_id: np.ndarray, row: np.ndarray, top: int):
+    """Yield (query_id, vec_id, score) arrays of the ``top`` rows of each query by exact score, ties to smaller ids.
+
+    Rows that score less than the query's ``floor`` are left out: it has ``top`` others from elsewhere.
+    """
     approx = query @ row.T
     same = query_id[:, None] == row_id[None, :]
     approx[same] = -np.inf
     k = min(top, approx.shape[1])
     last = np.partition(approx, approx.shape[1] - k, axis=1)[:, approx.shape[1] - k]
+    last = np.maximum(last, floor)
     near = (approx >= (last - CLOSE * (1 + np.abs(last)))[:, None]) & ~same
     for i in range(len(query_id)):
         at = np.flatnonzero(near[i])
         score = (row[at] * query[i]).sum(axis=1)
+        at, score = at[score >= floor[i]], score[score >= floor[i]]
         order = np.lexsort((row_id[at], -score))[:top]
         yield np.full(len(order), query_id[i]), row_id[at][order], score[order]
 
@@ -196,36 +202,53 @@ def search(
     dim, count = (sizes[0], sizes[1]) if sizes else (0, 0)
     rows = rows.where(F.size("v") == dim)
     router = fit(rows, count, sample, partition_rows)
-    schema = "query_id long, vec_id long, score double"
     if router is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     placed = materialize(_routed(rows, router, None))
     blocks = placed.groupBy("part").count().select("part", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     blocks = F.broadcast(materialize(blocks))  # at most MOST_PARTITIONS rows
-    asked = materialize(_routed(rows.where(F.col("vec_id") % every == 0), router, mass).join(blocks, "part"))
-    # A block of rows meets a block of queries in one task; queries are as many blocks as their number needs.
-    shares = materialize(asked.groupBy("part").count().select("part", F.ceil(F.col("count") / QUERY_BLOCK).cast("int").alias("groups")))
-    shares = F.broadcast(shares)
+    asked = materialize(_routed(rows.where(F.col("vec_id") % every == 0), router, mass))
+    met = _met(placed, asked.where("nth = 0").withColumn("floor", F.lit(float("-inf"))), blocks, top)
+    # The first partition of a query has most of its neighbours: the others send only what beats them.
+    near = materialize(_ranked(met, top))
+    floors = near.where(F.col("rank") == top).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+    rest = asked.where("nth > 0").join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    both = near.drop("rank").unionByName(_met(placed, rest, blocks, top))
+    return _ranked(both, top).select("query_id", "rank", "vec_id", "score")
+
+
+def _ranked(found: DataFrame, top: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= top)
+
+
+def _met(placed: DataFrame, asked: DataFrame, blocks: DataFrame, top: int) -> DataFrame:
+    """``query_id, vec_id, score``: best rows of each query of ``asked`` in each block of its partition.
+
+    A block of rows meets a block of queries in one task; queries are as many blocks as their number needs.
+    """
+    asked = asked.drop("blocks")
+    groups = materialize(asked.groupBy("part").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("groups")))
+    groups = F.broadcast(groups)  # at most MOST_PARTITIONS rows
     of_id = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.col(n)).cast("int")
-    left = placed.join(blocks, "part").join(shares, "part").withColumn("b", of_id(1, "blocks")).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    right = asked.join(shares, "part").withColumn("g", of_id(2, "groups")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    columns = ["part", "b", "g", "vec_id", "v"]
+    left = placed.join(blocks, "part").join(groups, "part").withColumn("b", of_id(1, "blocks")).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    right = asked.join(blocks, "part").join(groups, "part").withColumn("g", of_id(2, "groups")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
     def compare(_, mine: pa.Table, theirs: pa.Table) -> pa.Table:
         found = []
         if len(mine) and len(theirs):
             take = lambda t: (t.column("vec_id").to_numpy(), _matrix(t.column("v").combine_chunks()))
             (row_id, row), (query_id, query) = take(mine), take(theirs)
+            floor = theirs.column("floor").to_numpy()
             for a in range(0, len(query_id), QUERY_BLOCK):
-                found += best(query_id[a : a + QUERY_BLOCK], query[a : a + QUERY_BLOCK], row_id, row, top)
+                at = slice(a, a + QUERY_BLOCK)
+                found += best(query_id[at], query[at], floor[at], row_id, row, top)
         parts = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table([pa.array(p) for p in parts], names=["query_id", "vec_id", "score"])
 
     key = ("part", "b", "g")
-    met = left.select(*columns).groupBy(*key).cogroup(right.select(*columns).groupBy(*key)).applyInArrow(compare, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    mine, theirs = left.select(*key, "vec_id", "v"), right.select(*key, "vec_id", "v", "floor")
+    return mine.groupBy(*key).cogroup(theirs.groupBy(*key)).applyInArrow(compare, "query_id long, vec_id long, score double")
 
 
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
