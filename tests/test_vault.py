@@ -113,6 +113,7 @@ def test_keys_fail_closed(bad):
 def test_stream_mints_like_a_batch(spark, tmp_path):
     from veil.streaming import mint_stream
 
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     schema = "chat_id string, turn long, entity_type string, value string"
     source = tmp_path / "in"
     frame = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))

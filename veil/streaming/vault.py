@@ -11,37 +11,44 @@ from veil.sources import ship
 OUTPUT = "chat_id string, turn long, entity_type string, value string, placeholder string"
 
 
-class Minter(StatefulProcessor):
-    """Keeps each value's placeholder, and each type's next number, until the time to live has passed unused."""
-
-    def __init__(self, ttl_seconds: int):
-        self.ttl = ttl_seconds * 1000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.values = handle.getMapState("values", "entity_type string, key string", "placeholder string", self.ttl)
-        self.next = handle.getMapState("next", "entity_type string", "n int", self.ttl)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        frame = pd.concat(list(rows)).sort_values(["turn", "entity_type", "value"], kind="stable")
-        out = []
-        for turn, kind, value in zip(frame["turn"], frame["entity_type"], frame["value"], strict=True):
-            name = (kind, " ".join(value.split()))
-            held = self.values.getValue(name)
-            if held is None:
-                n = (self.next.getValue((kind,)) or (1,))[0]
-                self.next.updateValue((kind,), (n + 1,))
-                held = (f"[{kind}_{n}]",)
-            else:
-                self.next.updateValue((kind,), self.next.getValue((kind,)) or (1,))
-            self.values.updateValue(name, held)  # a touch renews the time to live
-            out.append((key[0], turn, kind, value, held[0]))
-        yield pd.DataFrame(out, columns=["chat_id", "turn", "entity_type", "value", "placeholder"])
-
-    def close(self) -> None:
-        pass
+def _minter(ttl_seconds: int) -> StatefulProcessor:
+    """A class of its own for each call: it travels to the workers whole and needs no library there."""
+    ttl = ttl_seconds * 1000
+
+    class Minter(StatefulProcessor):
+        """Keeps each value's placeholder, and each type's next number, until the time to live has passed unused."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.values = handle.getMapState("values", "entity_type string, key string", "placeholder string", ttl)
+            self.next = handle.getMapState("next", "entity_type string", "n int", ttl)
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+            frame = pd.concat(list(rows)).sort_values(["turn", "entity_type", "value"], kind="stable")
+            out = []
+            for turn, kind, value in zip(frame["turn"], frame["entity_type"], frame["value"], strict=True):
+                name = (kind, " ".join(value.split()))
+                held = self.values.getValue(name)
+                if held is None:
+                    n = (self.next.getValue((kind,)) or (1,))[0]
+                    self.next.updateValue((kind,), (n + 1,))
+                    held = (f"[{kind}_{n}]",)
+                else:
+                    self.next.updateValue((kind,), self.next.getValue((kind,)) or (1,))
+                self.values.updateValue(name, held)  # a touch renews the time to live
+                out.append((key[0], turn, kind, value, held[0]))
+            yield pd.DataFrame(out, columns=["chat_id", "turn", "entity_type", "value", "placeholder"])
+
+        def close(self) -> None:
+            pass
+
+    return Minter()
 
 
 def mint_stream(mentions: DataFrame, ttl_seconds: int = 86_400) -> DataFrame:
-    """A stream of ``chat_id, turn, entity_type, value`` with its placeholders. Needs the RocksDB state store."""
+    """A stream of ``chat_id, turn, entity_type, value`` with its placeholders. Needs the RocksDB state store.
+
+    With an availableNow trigger, set spark.sql.streaming.noDataMicroBatches.enabled to false: times to live
+    would otherwise ask for one batch without data after another.
+    """
     ship(mentions.sparkSession)
-    return mentions.groupBy("chat_id").transformWithStateInPandas(Minter(ttl_seconds), OUTPUT, "Append", "ProcessingTime")
+    return mentions.groupBy("chat_id").transformWithStateInPandas(_minter(ttl_seconds), OUTPUT, "Append", "ProcessingTime")
