@@ -10,7 +10,7 @@ from veil.sources import materialize, read_table, ship
 TOP = 20
 EVERY = 20
 #: Vectors on which partitions and classifier are fitted, on the driver; a fixed bound for any table.
-SAMPLE = 8192
+SAMPLE = 4096
 #: Rows that a partition should hold, and the most partitions that the sample can teach.
 PARTITION_ROWS, MOST_PARTITIONS = 2000, 128
 #: Neighbours of each sampled vector in the graph.
@@ -32,8 +32,8 @@ def usable(vector: Column) -> Column:
 def neighbour_graph(x: np.ndarray, degree: int = DEGREE) -> np.ndarray:
     """Rows of the ``degree`` largest inner products of each row, itself excluded, in blocks."""
     out = []
-    for a in range(0, len(x), 1024):
-        s = x[a : a + 1024] @ x.T
+    for a in range(0, len(x), 256):
+        s = x[a : a + 256] @ x.T
         s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
         out.append(np.argpartition(-s, min(degree, len(x) - 1) - 1, axis=1)[:, :degree])
     return np.concatenate(out)
@@ -109,10 +109,10 @@ class Router:
 
 def fit(vectors: DataFrame, rows: int, sample: int = SAMPLE, partition_rows: int = PARTITION_ROWS) -> Router | None:
     """Partitions and router from ``sample`` vectors: those with the smallest hashes of vector and id."""
-    some = vectors.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(sample).select("v").toArrow().column(0).to_pylist()
-    if not some:
+    some = vectors.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(sample).select("v").toArrow().column(0).combine_chunks()
+    if not len(some):
         return None
-    x = np.array(some, np.float64)
+    x = _matrix(some)
     parts = 1
     while parts < min(MOST_PARTITIONS, rows / partition_rows, len(x) / 32):
         parts *= 2
