@@ -170,13 +170,13 @@ def vocabulary(texts: DataFrame) -> DataFrame:
                 yield emit()
         yield emit()
 
-    return texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.select(F.col("text").cast("binary")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _at_least(counts: DataFrame, column: str, most: int) -> int:
     """Smallest power of two that at most ``most`` rows reach."""
     sizes = counts.where(F.col(column) > 0).groupBy(F.floor(F.log2(column)).alias("k")).count().collect()
-    left, least = 0, 63
+    left, least = 0, 62
     for k, n in sorted(((r[0], r[1]) for r in sizes), reverse=True):
         left += n
         if left > most:
@@ -212,7 +212,7 @@ def build_trie(texts: DataFrame, order: int = ORDER, most: int = MOST_NODES) ->
         if held:
             yield from emit()
 
-    nodes = materialize(texts.select("text").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")))
+    nodes = materialize(texts.select(F.col("text").cast("binary")).mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")))
     got = nodes.where(F.col("n") >= _at_least(nodes, "n", most)).toArrow()
     return Trie(got.column(0).to_numpy(), got.column(1).to_numpy(), order)
 

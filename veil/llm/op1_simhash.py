@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veil.llm.graph import components
+from veil.llm.names import spare
 from veil.sources import materialize, read_table, ship
 
 SEED = 42
@@ -195,15 +196,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     whole row. A row without an id stays only if its group has no row with one.
     """
     ship(docs.sparkSession)
+    key, n = spare(docs, "key", "n")
     marks = (F.coalesce(F.col(c).cast("string"), F.lit(f"null {c}")) for c in (id_col, text_col))
-    keyed = docs.withColumn("__key", F.unhex(F.md5(F.concat_ws(":", *marks).cast("binary"))))
-    named = keyed.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__key").alias("key")).alias("who"), text_col)
-    fps = materialize(fingerprints(named, "who", text_col))
+    keyed = docs.withColumn(key, F.unhex(F.md5(F.concat_ws(":", *marks).cast("binary"))))
+    who = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(key).alias("key"))
+    fps = materialize(fingerprints(keyed.select(who.alias("who"), F.col(text_col).alias("text")), "who", "text"))
     label = _labels(materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))))
-    keys = label.select(F.col("component_id.key").alias("__key")).distinct()
-    first = Window.partitionBy("__key").orderBy(F.xxhash64(*docs.columns))
-    kept = keyed.join(keys, "__key", "left_semi").withColumn("__n", F.row_number().over(first))
-    return kept.where("__n = 1").select(*docs.columns)
+    keys = label.select(F.col("component_id.key").alias(key)).distinct()
+    first = Window.partitionBy(key).orderBy(F.xxhash64(*docs.columns))
+    kept = keyed.join(keys, key, "left_semi").withColumn(n, F.row_number().over(first))
+    return kept.where(F.col(n) == 1).select(*docs.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veil.llm.names import spare
 from veil.sources import materialize, read_table
 
 SEED = 17
@@ -73,15 +74,16 @@ def mix(
     """
     table = materialize(rates(docs, weights, total, source_col, text_col))
     small = table.count() <= BROADCAST_ROWS
-    table = table.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
     kept = docs.drop(*(c for c in ("copy", "shuffle_key") if c in docs.columns))
-    both = kept.join(F.broadcast(table) if small else table, kept[source_col].cast("string").eqNullSafe(F.col("__source")))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("__rate") / PART)).cast("int")
-    key, mean = F.col(id_col), F.col("__rate") / parts
+    source, rate, number = spare(kept, "source", "rate", "copies")
+    table = table.select(F.col("source").alias(source), F.col("rate").alias(rate))
+    both = kept.join(F.broadcast(table) if small else table, kept[source_col].cast("string").eqNullSafe(F.col(source)))
+    parts = F.greatest(F.lit(1), F.ceil(F.col(rate) / PART)).cast("int")
+    key, mean = F.col(id_col), F.col(rate) / parts
     draw = lambda part: poisson(hashed(F.lit(seed), key, part) / F.lit(float(1 << 52)), mean)
     copies = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda n, part: n + draw(part))
-    made = both.withColumn("__copies", copies).where("__copies > 0").drop("__source", "__rate")
-    made = made.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copies")
+    made = both.withColumn(number, copies).where(F.col(number) > 0).drop(source, rate)
+    made = made.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(number)))).drop(number)
     made = made.withColumn("shuffle_key", hashed(F.lit(seed), key, F.lit("order"), F.col("copy")))
     return made.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veil.llm.names import spare
 from veil.sources import read_table, shared_dir
 
 #: (kind, pattern, group whose length counts, least length), in the order of ties. Fixed values of the contract.
@@ -89,13 +90,13 @@ def new_ledger(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/veil-ledger-{uuid.uuid4().hex}"
 
 
-def _with_spans(docs: DataFrame, ledger: str | None, text_col: str) -> DataFrame:
-    ledger = ledger or new_ledger(docs.sparkSession)
-    found = update_ledger(docs, ledger, text_col).where(F.size("spans") > 0)
-    found = found.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    marked = docs.withColumn("__blob", blob_id(F.col(text_col)))
-    joined_back = marked.join(found, "__blob", "left").drop("__blob")
-    return joined_back.withColumn("__spans", F.coalesce("__spans", F.array().cast(SPAN)))
+def _with_spans(docs: DataFrame, ledger: str | None, text_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with the spans of each text, and the name of that column."""
+    blob, spans = spare(docs, "blob", "spans")
+    found = update_ledger(docs, ledger or new_ledger(docs.sparkSession), text_col).where(F.size("spans") > 0)
+    found = found.select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    joined_back = docs.withColumn(blob, blob_id(F.col(text_col))).join(found, blob, "left").drop(blob)
+    return joined_back.withColumn(spans, F.coalesce(spans, F.array().cast(SPAN))), spans
 
 
 def scan_secrets(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,12 +106,14 @@ def scan_secrets(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_
     empty result; other columns are not looked at. Without ``ledger`` every text counts as unseen.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return _with_spans(source, ledger, "text").select("doc_id", F.col("__spans").alias("secrets"))
+    rows, spans = _with_spans(source, ledger, "text")
+    return rows.select("doc_id", F.col(spans).alias("secrets"))
 
 
 def redact(docs: DataFrame, ledger: str | None = None, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span of the text replaced by ``mark``; overlapping spans are one."""
-    found, text = F.col("__spans"), F.col(text_col)
+    rows, spans = _with_spans(docs, ledger, text_col)
+    found, text = F.col(spans), F.col(text_col)
 
     def cut(acc, s):
         ahead = s["start"] >= acc["at"]
@@ -119,7 +122,7 @@ def redact(docs: DataFrame, ledger: str | None = None, text_col: str = "text", m
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     whole = F.aggregate(found, start, cut, lambda acc: F.concat(F.array_join(acc["out"], ""), text.substr(acc["at"] + 1, F.length(text))))
-    return _with_spans(docs, ledger, text_col).withColumn(text_col, F.when(F.size(found) > 0, whole).otherwise(text)).select(*docs.columns)
+    return rows.withColumn(text_col, F.when(F.size(found) > 0, whole).otherwise(text)).select(*docs.columns)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
