@@ -24,9 +24,9 @@ ALPHA = 0.1
 #: Distinct words that a task holds before it passes on their counts.
 HOLD = 400_000
 #: Distinct nodes that a task holds before it passes on their counts.
-HOLD_NODES = 3_000_000
+HOLD_NODES = 2_000_000
 #: Bytes of text that a task works on at once; longer texts are worked on in pieces.
-STEP = 1 << 22
+STEP = 1 << 21
 NOTHING = np.zeros(0, np.int64)
 LOW = (1 << 56) - 1
 
