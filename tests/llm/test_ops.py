@@ -399,9 +399,10 @@ def brute_ppm(train, scored):
     return out
 
 
-@pytest.mark.parametrize(("name", "step", "frequent"), [("docs", 1 << 22, 1 << 18), ("docs", 700, 50), ("odd", 1 << 22, 3)])
+@pytest.mark.parametrize(("name", "step", "frequent"), [("docs", 1 << 22, 1 << 20), ("docs", 700, 50), ("odd", 1 << 22, 3)])
 def test_scores_like_brute_force(request, monkeypatch, name, step, frequent):
     monkeypatch.setattr(op10_ppm, "STEP", step)
+    monkeypatch.setattr(op10_ppm, "PART", step)
     df = request.getfixturevalue(name).where("text is null or length(text) < 6000")
     rows = [(i, op10_ppm.tokens(t.encode() if t else None)) for i, t in texts_of(df)]
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
@@ -410,7 +411,7 @@ def test_scores_like_brute_force(request, monkeypatch, name, step, frequent):
     n, v = sum(c.values()), len(c)
     base = [sum(np.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in d) for _, d in rows]
     want = sorted((str(i), held(i), len(d), sum(c[w] > 0 for w in d), n, round(b, 6), round(s, 6)) for (i, d), b, s in zip(rows, base, brute_ppm(train, [d for _, d in rows]), strict=True))
-    got = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in op10_ppm.lm_scores(df, most_words=frequent).collect())
+    got = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in op10_ppm.lm_scores(df, most_words=frequent, most_codes=frequent, most_shared=frequent).collect())
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert np.allclose([g[5:] for g in got], [w[5:] for w in want])
 
@@ -422,12 +423,14 @@ def test_scores_without_training(spark, none):
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (3, 0, 0, 0.0) and abs(row.score + 5 * np.log10(256)) < 1e-9
 
 
-def test_pruned_trie_is_still_a_distribution(docs):
-    trie = op10_ppm.build_trie(docs, most=2000)
-    assert len(trie.keys) <= 2000
-    context = b"\n" * 5
-    codes = np.array([int.from_bytes(context + bytes([s]), "big") for s in range(256)], np.int64)
-    assert abs(sum(10 ** trie.symbols(codes)) - 1) < 1e-9
+def test_trie_is_a_distribution(docs):
+    code = np.concatenate([c for c, _ in op10_ppm.grams([op10_ppm.tokens(r.text.encode()) for r in docs.where("text is not null").collect()])])
+    one = np.ones(len(code), np.int64)
+    keys, counts = map(np.concatenate, zip(*(op10_ppm.summed(op10_ppm.cut(code, o), one) for o in range(6)), strict=True))
+    trie = op10_ppm.Trie(keys, counts)
+    for context in (b"\n" * 5, b" the ", b"zqxj#"):
+        every = np.array([int.from_bytes(context + bytes([s]), "big") for s in range(256)], np.int64)
+        assert abs(sum(10 ** trie.symbols(every)) - 1) < 1e-9
 
 
 # The pipeline

@@ -13,8 +13,10 @@ from veil.sources import materialize, read_table, ship
 
 #: Longest context in bytes.
 ORDER = 5
-#: Nodes of the trie that the driver and every worker hold: the rarest beyond are pruned.
-MOST_NODES = 1 << 21
+#: Codes (context and symbol) whose log probabilities every worker holds; all others are joined.
+MOST_CODES = 1 << 20
+#: Nodes of the lowest levels of the trie that every part of it has too. Two levels have 2**16 + 2**8 at most.
+MOST_SHARED = 1 << 17
 #: Words whose counts every worker holds; all others are joined.
 MOST_WORDS = 1 << 18
 #: The end of a text as a token and as a byte: no word can hold a line feed.
@@ -23,12 +25,16 @@ END = b"\n"
 ALPHA = 0.1
 #: Distinct words that a task holds before it passes on their counts.
 HOLD = 400_000
-#: Distinct nodes that a task holds before it passes on their counts.
-HOLD_NODES = 2_000_000
+#: Distinct codes that a task holds before it passes on their counts.
+HOLD_CODES = 2_000_000
+#: Codes of which a task makes one part of the trie at least, if it has so many.
+PART = 1 << 20
 #: Bytes of text that a task works on at once; longer texts are worked on in pieces.
 STEP = 1 << 21
 NOTHING = np.zeros(0, np.int64)
 LOW = (1 << 56) - 1
+#: Marks a code of a text outside the training texts.
+OUTSIDE = 1 << 48
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -74,6 +80,14 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first)
 
 
+def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key is in a sorted table, and whether it is there."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
 class Trie:
     """Counts of (context, symbol) nodes and what follows from them: totals, distinct symbols, exclusions."""
 
@@ -109,12 +123,6 @@ class Trie:
         flat = level == 0
         self.rest_kinds[flat] = 256 - self.kinds[flat]
 
-    def _find(self, table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(table):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-        return at, table[at] == keys
-
     def symbols(self, code: np.ndarray) -> np.ndarray:
         """log10 probability of each symbol after its context, by escape method D with exclusion."""
         out = np.zeros(len(code))
@@ -122,13 +130,13 @@ class Trie:
         entered, live = np.zeros(len(code), bool), np.arange(len(code))
         for o in range(self.order, -1, -1):
             node = cut(code[live], o)
-            c, known = self._find(self.contexts, (o << 56) | ((node & LOW) >> 8))
+            c, known = find(self.contexts, (o << 56) | ((node & LOW) >> 8))
             skipped, live, node, c = live[~known], live[known], node[known], c[known]
             # The first context found has all its symbols; a later one lacks those excluded above it.
             fresh = ~entered[live]
             total[live[fresh]], kinds[live[fresh]] = self.total[c[fresh]], self.kinds[c[fresh]]
             entered[live] = True
-            k, hit = self._find(self.keys, node)
+            k, hit = find(self.keys, node)
             miss, mass = ~hit, 2 * total[live]
             out[live[hit]] += np.log10((2 * self.counts[k[hit]] - 1) / mass[hit])
             escapes = miss & (kinds[live] > 0)
@@ -138,14 +146,6 @@ class Trie:
         out[live] -= np.log10(np.where(entered[live], np.maximum(kinds[live], 1), 256))
         return out
 
-    def score(self, docs: list[list[bytes]]) -> np.ndarray:
-        """log10 probability of each document."""
-        out = np.zeros(len(docs))
-        for code, owner in grams(docs, self.order):
-            distinct, inverse = np.unique(code, return_inverse=True)
-            out += np.bincount(owner, self.symbols(distinct)[inverse], len(docs))
-        return out
-
 
 def _held(id_col: str, folds: int):
     text = F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")
@@ -185,44 +185,99 @@ def _at_least(counts: DataFrame, column: str, most: int) -> int:
     return 1 << max(0, least)
 
 
-def build_trie(texts: DataFrame, order: int = ORDER, most: int = MOST_NODES) -> Trie:
-    """Trie of column ``text``. Nodes are counted over all of it, and then the rarest are pruned.
-
-    A shorter context has every count of a longer one, so pruning by count leaves no node without its
-    shorter ones; the trie has at most ``most`` nodes for any corpus.
-    """
+def code_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """Every code of column ``text`` with its count ``n`` in rows that are not ``held`` and ``m`` in all rows."""
 
     def run(batches):
         held: list[tuple] = []
 
         def emit():
-            top, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, counts = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
             held.clear()
-            for o in range(order, -1, -1):
-                keys, counts = summed(cut(top, o), n)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["node", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "c"])
 
         for batch in blocks(batches, STEP):
-            for code, _ in grams([tokens(t) for t in batch.column(0).to_pylist()], order):
-                held.append(tuple(np.unique(code, return_counts=True)))
-            if sum(len(k) for k, _ in held) > HOLD_NODES:
+            split = {False: [], True: []}
+            for outside, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                split[outside].append(tokens(text))
+            for outside, docs in split.items():
+                for code, _ in grams(docs, order):
+                    keys, counts = np.unique(code, return_counts=True)
+                    held.append((keys | OUTSIDE if outside else keys, counts))
+            if sum(len(k) for k, _ in held) > HOLD_CODES:
                 held[:] = [summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-                if len(held[0][0]) > HOLD_NODES // 2:
-                    yield from emit()
+                if len(held[0][0]) > HOLD_CODES // 2:
+                    yield emit()
+        if held:
+            yield emit()
+
+    inside = F.when(F.col("key") < OUTSIDE, F.col("c")).otherwise(0)
+    return (
+        texts.select("held", F.col("text").cast("binary"))
+        .mapInArrow(run, "key long, c long")
+        .groupBy(F.col("key").bitwiseAND(F.lit(OUTSIDE - 1)).alias("code"))
+        .agg(F.sum(inside).alias("n"), F.sum("c").alias("m"))
+    )
+
+
+def lowest_levels(counts: DataFrame, order: int, most: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of the lowest levels with ``most`` nodes at most in the last, and the nodes of that last one.
+
+    Three levels where they are few enough; two are 2**16 nodes by construction.
+    """
+    for depth in range(min(3, order), 0, -1):
+        node = F.col("code").bitwiseAND(F.lit((1 << (8 * depth)) - 1)).alias("node")
+        nodes = materialize(counts.where("n > 0").groupBy(node).agg(F.sum("n").alias("n")))
+        if depth < 3 or nodes.count() <= most:
+            got = nodes.toArrow()
+            return depth, got.column(0).to_numpy(), got.column(1).to_numpy()
+    return 0, NOTHING, NOTHING
+
+
+def code_scores(counts: DataFrame, order: int = ORDER, most_shared: int = MOST_SHARED) -> DataFrame:
+    """The log10 probability ``p`` of every code of ``code_counts`` by the whole trie of the training texts.
+
+    The trie is cut by the last bytes of the contexts. A part has all longer contexts that end alike, and
+    each has the lowest levels, so all that an escape may reach is in the same part: nothing is pruned.
+    """
+    depth, low, low_n = lowest_levels(counts, order, most_shared)
+    shared = counts.sparkSession.sparkContext.broadcast((low, low_n))
+
+    def run(batches):
+        low, low_n = shared.value
+        base = [summed(cut(low, o), low_n) for o in range(depth)]
+
+        def part(rows: pa.Table):
+            code, n = rows.column("code").to_numpy(), rows.column("n").to_numpy()
+            seen = n > 0
+            levels = base + [summed(cut(code[seen], o), n[seen]) for o in range(depth, order + 1)]
+            trie = Trie(*(np.concatenate(x) for x in zip(*levels, strict=True)), order)
+            return pa.Table.from_arrays([rows.column("code"), rows.column("m"), pa.array(trie.symbols(code))], names=["code", "m", "p"]).to_batches()
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= PART:
+                rows = pa.Table.from_batches(held)
+                ends = rows.column("ending").to_numpy()
+                whole = int(np.searchsorted(ends, ends[-1]))
+                if whole:
+                    yield from part(rows.slice(0, whole).combine_chunks())
+                    held = rows.slice(whole).combine_chunks().to_batches()
         if held:
-            yield from emit()
+            yield from part(pa.Table.from_batches(held).combine_chunks())
 
-    nodes = materialize(texts.select(F.col("text").cast("binary")).mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")))
-    got = nodes.where(F.col("n") >= _at_least(nodes, "n", most)).toArrow()
-    return Trie(got.column(0).to_numpy(), got.column(1).to_numpy(), order)
+    ending = F.shiftright("code", 8).bitwiseAND(F.lit((1 << (8 * depth)) - 1)).alias("ending")
+    return counts.select("code", "n", "m", ending).repartition("ending").sortWithinPartitions("ending").mapInArrow(run, "code long, m long, p double")
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, order: int = ORDER, most_nodes: int = MOST_NODES, most_words: int = MOST_WORDS) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, order: int = ORDER, most_codes: int = MOST_CODES, most_words: int = MOST_WORDS, most_shared: int = MOST_SHARED) -> DataFrame:
     """One row per row of ``docs`` with its unigram base score and its PPM code length as log10 probability.
 
     Both are of the same tokens: words with A-Z in lower case, and an end. For the trie they are bytes,
-    with a space between words. Counts of frequent words (at most ``most_words``) are a table in each
-    worker; all other words of the texts are joined with the counts. A null text counts as empty and has
+    with a space between words. Counts of frequent words (at most ``most_words``) and probabilities of
+    frequent codes (at most ``most_codes``) are tables in each worker; all other words and codes of the
+    texts are joined with theirs, so the bounds change no result. A null text counts as empty and has
     the end alone; a null id counts as an empty string for the fold. Repeated rows give repeated rows,
     other columns are not looked at. Without training texts all counts are zero and every byte is as
     likely as any other.
@@ -234,14 +289,17 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     row = vocab.agg(F.sum("c"), F.count("*")).first()
     n, v = row[0] or 0, row[1]
     floor = n + ALPHA * (v + 1)
-    trie = spark.sparkContext.broadcast(build_trie(train, order, most_nodes))
+    probabilities = materialize(code_scores(materialize(code_counts(source.withColumn("held", _held("doc_id", folds)), order)), order, most_shared))
+    top = probabilities.where(F.col("m") >= _at_least(probabilities, "m", most_codes)).select("code", "p").sort("code").toArrow()
+    table = spark.sparkContext.broadcast((top.column(0).to_numpy(), top.column(1).to_numpy()))
     common = vocab.where(F.col("c") >= _at_least(vocab, "c", most_words)).toArrow()
     frequent = spark.sparkContext.broadcast((common.column(0).to_pylist(), np.log10((common.column(1).to_numpy() + ALPHA) / floor)))
     whole, real = F.lit(0).cast("long"), F.lit(0.0)
-    schema = source.select(whole.alias("uid"), "doc_id", F.lit(None).cast("binary").alias("word"), whole.alias("n"), whole.alias("known"), real.alias("base"), real.alias("ppm")).schema
+    schema = source.select(whole.alias("uid"), "doc_id", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("code"), whole.alias("n"), whole.alias("known"), real.alias("base"), real.alias("ppm")).schema
 
     def run(batches):
         words, base = frequent.value
+        codes, log_p = table.value
         index = {w: i for i, w in enumerate(words)}
         uid = TaskContext.get().partitionId() << 40
         for batch in blocks(batches, STEP):
@@ -255,23 +313,36 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
                 rare.append(Counter(w for w, i in zip(doc, at.tolist(), strict=True) if i < 0) if len(some) < len(doc) else {})
             who = uid + np.arange(len(split))
             uid += len(split)
+            ppm = np.zeros(len(split))
+            for code, owner in grams(split, order):
+                distinct, inverse = np.unique(code, return_inverse=True)
+                at, hit = find(codes, distinct)
+                ppm += np.bincount(owner, np.where(hit, log_p[at] if len(log_p) else 0, 0)[inverse], len(split))
+                other = np.flatnonzero(~hit[inverse])
+                if len(other):
+                    pairs, n = np.unique(np.stack([owner[other], code[other]], 1), axis=0, return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(who[pairs[:, 0]]), pa.nulls(len(n), batch.column(0).type), pa.nulls(len(n), pa.binary()), pa.array(pairs[:, 1].copy()), pa.array(n), pa.array(np.zeros(len(n), np.int64)), pa.array(np.zeros(len(n))), pa.array(np.zeros(len(n)))],
+                        names=schema.names,
+                    )
             yield pa.RecordBatch.from_arrays(
-                [pa.array(who), batch.column(0), pa.nulls(len(who), pa.binary()), pa.array(list(map(len, split)), pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(trie.value.score(split))],
+                [pa.array(who), batch.column(0), pa.nulls(len(who), pa.binary()), pa.nulls(len(who), pa.int64()), pa.array(list(map(len, split)), pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(ppm)],
                 names=schema.names,
             )
             who = np.repeat(who, list(map(len, rare)))
             zero = pa.array(np.zeros(len(who)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(who), pa.nulls(len(who), batch.column(0).type), pa.array([w for r in rare for w in r], pa.binary()), pa.array([k for r in rare for k in r.values()], pa.int64()), pa.array(np.zeros(len(who), np.int64)), zero, zero],
+                [pa.array(who), pa.nulls(len(who), batch.column(0).type), pa.array([w for r in rare for w in r], pa.binary()), pa.nulls(len(who), pa.int64()), pa.array([k for r in rare for k in r.values()], pa.int64()), pa.array(np.zeros(len(who), np.int64)), zero, zero],
                 names=schema.names,
             )
 
     rows = materialize(source.mapInArrow(run, schema))
-    rare = rows.where("word is not null").select("uid", "word", "n").join(vocab, "word", "left")
     log = F.log10((F.coalesce("c", F.lit(0)) + F.lit(ALPHA)) / F.lit(float(floor)))
-    rare = rare.groupBy("uid").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"), F.sum(F.col("n") * log).alias("rare_base"))
+    words = rows.where("word is not null").select("uid", "word", "n").join(vocab, "word", "left").select("uid", F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("k"), (F.col("n") * log).alias("b"), real.alias("p"))
+    codes = rows.where("code is not null").select("uid", "code", "n").join(probabilities, "code").select("uid", whole.alias("k"), real.alias("b"), (F.col("n") * F.col("p")).alias("p"))
+    rare = words.union(codes).groupBy("uid").agg(F.sum("k").alias("rare_known"), F.sum("b").alias("rare_base"), F.sum("p").alias("rare_ppm"))
     return (
-        rows.where("word is null")
+        rows.where("word is null and code is null")
         .join(rare, "uid", "left")
         .select(
             "doc_id",
@@ -280,7 +351,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
             F.lit(n).cast("long").alias("train_tokens"),
             (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-            F.col("ppm").alias("score"),
+            (F.col("ppm") + F.coalesce("rare_ppm", F.lit(0.0))).alias("score"),
         )
     )
 
