@@ -1,5 +1,7 @@
 """Masking of documents, and of conversations with a vault; restoring of answers."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,7 @@ def mask_messages(
     recognizers: tuple[Recognizer, ...] = REGISTRY,
     key: bytes | None = None,
     secret: bytes | None = None,
+    hold: Callable[[DataFrame], DataFrame] = DataFrame.persist,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Masked messages, their detections and the vault afterwards, for one request of each chat.
 
@@ -51,6 +54,9 @@ def mask_messages(
     vault before. Messages in scope have known values masked first; in those that are searched, what is
     left is detected, minted and masked wherever it stands in the part. Other messages pass unchanged.
     Surface forms are what is masked, the literal or full name is stored, its normal form is the identity.
+    All three results read the spans found, so these are passed through ``hold``: Spark's cache, which
+    recomputes the blocks of a lost executor, or for instance ``veil.sources.materialize``. The cache holds
+    texts in the clear unless spark.io.encryption.enabled is set; spark.catalog.clearCache() frees it.
     """
     config = (config or EngineConfig()).validate()
     if not (config.enabled and config.detection_enabled):
@@ -66,6 +72,7 @@ def mask_messages(
     text = F.col("analyzed")
     texts = spans.select(texts, "spans", F.when(F.col("detect"), detect(text, recognizers)).otherwise(spans.none()), text, config)
     texts = texts.withColumn("spans", spans.by(spans.merge_adjacent(F.col("spans"), text), lambda s: s["start"]))
+    texts = hold(texts)
     names = spans.same_persons(F.col("spans"), text) if config.coreference else F.transform("spans", lambda s: F.lit(None).cast("string"))
     mentioned = texts.withColumn("names", names).select(
         "chat_id", "msg_idx", "part_idx", "text", "analyzed", "forward", F.posexplode(F.arrays_zip("spans", "names")).alias("span_idx", "m")
