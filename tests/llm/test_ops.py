@@ -163,6 +163,19 @@ def test_planted_passage(spark, odd, none):
     assert op2_paragraphs.repeats(none).count() == 0 and op2_paragraphs.repeats(odd).count() > 0
 
 
+def test_no_text_is_too_short_lined(spark):
+    """Against raw windows of 51 words: copies made of short lines, or with a mark after each word, have rows."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    verse, marked, clean = "\n".join(f"{word()} {word()}" for _ in range(40)), " ".join(word() + "!!" for _ in range(60)), "\n".join(word() for _ in range(60))
+    texts = [verse, verse, marked, marked, clean]
+    windows = [{tuple(w[i : i + 51]) for i in range(len(w) - 50)} for w in (re.findall(r"\w+", t) for t in texts)]
+    repeated = {i for i, a in enumerate(windows) if any(a & b for j, b in enumerate(windows) if i != j)}
+    got = op2_paragraphs.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == repeated == {0, 1, 2, 3}
+    assert {r.doc_id: sum(x.n_words for x in got if x.doc_id == r.doc_id) for r in got} == {0: 80, 1: 80, 2: 60, 3: 60}
+
+
 # 3
 
 

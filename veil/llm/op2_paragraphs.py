@@ -44,19 +44,39 @@ def paragraphs(text: str, least: int = LEAST_WORDS):
     """Yield (start, end, words) of the paragraphs of a text in code points.
 
     Paragraphs end at line feeds and after sentences, so that those of a passage are the same wherever it
-    stands; a passage may begin or end within a line. Words are runs of letters and digits, A-Z lowered.
+    stands; a passage may begin or end within a line. Lines and sentences of fewer than ``least`` words are
+    joined to what follows, the last ones to what is before them, so that a text of ``least`` words or more
+    lies in paragraphs whole. Words are runs of letters and digits, A-Z lowered.
     """
-    start = 0
+    last = None
+    for piece in _pieces(text, least):
+        if last and len(piece[2]) < least:
+            last = last[0], piece[1], last[2] + piece[2]
+            continue
+        if last:
+            yield last
+        last = piece
+    if last and len(last[2]) >= least:
+        yield last
+
+
+def _pieces(text: str, least: int):
+    """The same, but with what is left over at the end of the text as a piece of its own."""
+    start, held = 0, []
     for stop in [m.end() for m in END.finditer(text)] + [len(text)]:
-        piece = text[start:stop]
-        if len(piece) >= 2 * least - 1:
-            words = piece.encode("utf-8", "surrogatepass").translate(FOLD).split()
+        words = text[start:stop].encode("utf-8", "surrogatepass").translate(FOLD).split()
+        if not held:
+            first = start
+        held += words
+        if len(held) >= least:
             if len(words) > LONG:
-                yield from _cut(piece, start, least)
-            elif len(words) >= least:
-                body = piece.rstrip()
-                yield start, start + len(body), words
+                yield from _cut(text[first:stop], first, least)
+            else:
+                yield first, first + len(text[first:stop].rstrip()), held
+            held = []
         start = stop
+    if held:
+        yield first, first + len(text[first:].rstrip()), held
 
 
 def _cut(piece: str, offset: int, least: int):
@@ -70,7 +90,7 @@ def _cut(piece: str, offset: int, least: int):
         if len(held) >= least and words and zlib.crc32(words[-1]) % CUT_ONE_IN == 0:
             yield offset + first, offset + last, held
             held, first = [], None
-    if len(held) >= least:
+    if held:
         yield offset + first, offset + last, held
 
 
