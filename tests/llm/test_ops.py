@@ -273,6 +273,30 @@ def test_redaction(spark):
     assert {r.doc_id: r.text for r in op5_secrets.redact(df).collect()} == {1: "😀 [SECRET] and [SECRET].", 2: None, 3: "clean"}
 
 
+def test_redaction_of_whole_keys(spark):
+    rng = random.Random(3)
+    line = lambda n=64: "".join(rng.choice("ABCDEFGHIJKLMNOPqrstuvwxyz0123456789+/") for _ in range(n))
+    body = [line() for _ in range(25)] + [line(10) + "=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    coded = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123ABCD", ""]
+    huge = [line() for _ in range(20_000)]
+    cases = [
+        ("\n".join(["😀 see", begin, *body, end, "and more"]), "😀 see\n[SECRET]\nand more"),
+        (" ".join(["a", begin, *body, end, "b - c"]), "a [SECRET] b - c"),
+        ("\r\n".join([begin, *coded, *body, end]), "[SECRET]"),
+        ('"' + "\\n".join([begin, *body, end]) + '"', '"[SECRET]"'),
+        ("\n".join(["x", begin, *body, "", "The key above is cut."]), "x\n[SECRET]\n\nThe key above is cut."),
+        ("\n".join([begin, *coded, *body[:-1], line(12)]), "[SECRET]"),
+        ("\n".join([begin, *body[:3], "prose.", begin, *body, end]), "[SECRET]\nprose.\n[SECRET]"),
+        (f"a line {begin} starts a key", "a line [SECRET] starts a key"),
+        ("\n".join(["x", begin, *huge, end, "y"]), "x\n[SECRET]\ny"),
+        ("\n".join(["x", begin, *huge]), "x\n[SECRET]"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in op5_secrets.redact(df).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
 # 6
 
 

@@ -18,8 +18,18 @@ MORE_RULES = (
     ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 1),
 )
 RULES = BASE_RULES + MORE_RULES
+#: A private key to its END line; without one, its header lines and the base64 lines after them, the last
+#: of which may be short. Quotes, comment signs and escaped line feeds may stand between the lines.
+_BETWEEN = r"""[\s"'>|#*,+\\]*+"""
+WHOLE_PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_BETWEEN}[A-Z][A-Za-z0-9]*+-[A-Za-z0-9-]++:[^\n\\]*+)*+(?:{_BETWEEN}[A-Za-z0-9+/]{{16,}}+=*+)*+"
+    rf"(?:(?<=[A-Za-z0-9+/]{{16}}){_BETWEEN}(?:[A-Za-z0-9+/]{{1,15}}+={{1,2}}|(?<=[\n\\])n?[A-Za-z0-9+/]{{1,15}}+(?![^\s\"'\\])(?=[\x20\t\"',]*(?:[\r\n\\]|$))))?)"
+)
+#: What is cut out of texts: the kind pem of RULES, which the SQL of op5_secrets fixes, ends with its header line.
+REDACTED = tuple((kind, WHOLE_PEM if kind == "pem" else pattern, *more) for kind, pattern, *more in RULES)
 #: Part of the ledger's key: a change of rules scans every text again.
-VERSION = "1"
+VERSION, REDACTED_VERSION = "1", "1-whole-keys"
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
@@ -90,10 +100,10 @@ def new_ledger(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/veil-ledger-{uuid.uuid4().hex}"
 
 
-def _with_spans(docs: DataFrame, ledger: str | None, text_col: str) -> tuple[DataFrame, str]:
+def _with_spans(docs: DataFrame, ledger: str | None, text_col: str, rules: tuple = RULES, version: str = VERSION) -> tuple[DataFrame, str]:
     """``docs`` with the spans of each text, and the name of that column."""
     blob, spans = spare(docs, "blob", "spans")
-    found = update_ledger(docs, ledger or new_ledger(docs.sparkSession), text_col).where(F.size("spans") > 0)
+    found = update_ledger(docs, ledger or new_ledger(docs.sparkSession), text_col, rules, version).where(F.size("spans") > 0)
     found = found.select(F.col("blob").alias(blob), F.col("spans").alias(spans))
     joined_back = docs.withColumn(blob, blob_id(F.col(text_col))).join(found, blob, "left").drop(blob)
     return joined_back.withColumn(spans, F.coalesce(spans, F.array().cast(SPAN))), spans
@@ -111,8 +121,8 @@ def scan_secrets(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_
 
 
 def redact(docs: DataFrame, ledger: str | None = None, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every found span of the text replaced by ``mark``; overlapping spans are one."""
-    rows, spans = _with_spans(docs, ledger, text_col)
+    """``docs`` with every found span of the text replaced by ``mark``, private keys whole; overlapping spans are one."""
+    rows, spans = _with_spans(docs, ledger, text_col, REDACTED, REDACTED_VERSION)
     found, text = F.col(spans), F.col(text_col)
 
     def cut(acc, s):
