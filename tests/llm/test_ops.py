@@ -176,6 +176,29 @@ def test_no_text_is_too_short_lined(spark):
     assert {r.doc_id: sum(x.n_words for x in got if x.doc_id == r.doc_id) for r in got} == {0: 80, 1: 80, 2: 60, 3: 60}
 
 
+def test_passages_in_any_setting(spark):
+    """Against raw windows of 51 words: passages inside sentences of any length, with other marks and lines around and in them."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    some = lambda n: [word() for _ in range(n)]
+    texts = []
+    for k in range(60):
+        passage = some(51 + k % 8)
+        texts.append(" ".join(some(2) + passage + some(2)) + ". " + " ".join(some(20)) + ".")
+        texts.append(" ".join(some(100 + k) + [w.upper() + rng.choice(["", "", "", ",", "!!", ".", "\n"]) for w in passage] + some(120)))
+        texts.append(" ".join(some(100)))
+    texts += [" ".join(["na"] * 90 + some(9)), " ".join(some(7) + ["Na,"] * 70)]
+    windows = [{tuple(w[i : i + 51]) for i in range(len(w) - 50)} for w in (re.findall(r"\w+", t.lower()) for t in texts)]
+    seen = Counter(x for w in windows for x in w)
+    repeated = {i for i, w in enumerate(windows) if any(seen[x] > 1 for x in w)}
+    got = op2_paragraphs.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == repeated and len(repeated) == 122
+    for t in texts:
+        parts = list(op2_paragraphs.paragraphs(t))
+        assert [w for _, _, words in parts for w in words] == re.findall(rb"\w+", t.lower().encode())
+        assert max(len(words) for *_, words in parts) <= op2_paragraphs.MOST_WORDS + op2_paragraphs.RADIUS
+
+
 # 3
 
 

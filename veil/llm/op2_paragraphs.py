@@ -1,7 +1,5 @@
-"""Repeated passages: MinHash bands over paragraphs, exact Jaccard within buckets, removals by components."""
+"""Repeated passages: content-defined paragraphs, prefix filter and exact Jaccard, removals by components."""
 
-import re
-import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -18,107 +16,103 @@ from veil.sources import materialize, read_table, ship
 
 #: Words of a shingle, and least Jaccard similarity of a near copy.
 SHINGLE, SIMILAR = 5, 0.8
-#: Words below which a paragraph takes no part (8 words have 4 shingles).
-LEAST_WORDS = 8
 #: Words that a run of adjoining repeated paragraphs needs to count as a repeated passage.
 LEAST_RUN = 13
-#: A sentence of more words is cut into paragraphs of at least LEAST_WORDS after words that a hash picks.
-LONG, CUT_ONE_IN = 60, 12
+#: A paragraph starts at a pair of words whose hash is the least among those of this many words on either side.
+RADIUS = 4
+#: Words after which a paragraph ends where no such pair comes; what is left over of RADIUS words or fewer stays with it.
+MOST_WORDS = 24
 #: Members of a bucket that one task compares; larger buckets are cut into blocks and all pairs of blocks compared.
 BLOCK = 2048
 #: Bytes of text in one piece of work of a task.
 STEP = 1 << 22
 #: Paragraphs that a task remembers to have signed, and members that it compares at once.
 HOLD = 300_000
-#: Recall of the bands at the least similarity.
-RECALL = 0.985
-END = re.compile(r"[.!?]+\s|[。！？]|\n")
-
-
-def tune(similar: float = SIMILAR, recall: float = RECALL, rows: int = 3) -> int:
-    """Bands of ``rows`` MinHash values that collide with probability ``recall`` at the least similarity."""
-    return int(np.ceil(np.log(1 - recall) / np.log(1 - similar**rows)))
-
-
-def paragraphs(text: str, least: int = LEAST_WORDS):
-    """Yield (start, end, words) of the paragraphs of a text in code points.
-
-    Paragraphs end at line feeds and after sentences, so that those of a passage are the same wherever it
-    stands; a passage may begin or end within a line. Lines and sentences of fewer than ``least`` words are
-    joined to what follows, the last ones to what is before them, so that a text of ``least`` words or more
-    lies in paragraphs whole. Words are runs of letters and digits, A-Z lowered.
+_A, _B, _MIX = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
+
+
+def _starts(hashes: np.ndarray) -> list[int]:
+    """Numbers of the words at which paragraphs start, and the number of words."""
+    n, r = len(hashes), RADIUS
+    x = (hashes[:-1] * _A + hashes[1:]) * _B
+    x = (x ^ (x >> np.uint64(32))) * _MIX
+    inner = max(0, len(x) - 2 * r)
+    own, least = x[r : r + inner], np.ones(inner, bool)
+    for k in range(1, r + 1):
+        least &= (own < x[r - k : r - k + inner]) & (own <= x[r + k : r + k + inner])
+    out = [0]
+    for stop in [*(np.flatnonzero(least) + r).tolist(), n]:
+        while stop - out[-1] > MOST_WORDS + r:
+            out.append(out[-1] + MOST_WORDS)
+        out.append(stop)
+    return out
+
+
+def _split(text: str):
+    """Yield (start, end, words, hashes of the words) of the paragraphs of a text."""
+    raw = text.encode("utf-8", "surrogatepass")
+    folded = raw.translate(FOLD)
+    words = folded.split()
+    if not words:
+        return
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    inside = np.frombuffer(b" " + folded, np.uint8) != 32
+    first = np.flatnonzero(inside[1:] & ~inside[:-1])
+    starts = _starts(hashes)
+    at = first[starts[:-1]]
+    if len(raw) > len(text):
+        at = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)[at] - 1
+    at = [*at.tolist(), len(text)]
+    for k, (i, j) in enumerate(zip(starts, starts[1:], strict=False)):
+        yield at[k], at[k] + len(text[at[k] : at[k + 1]].rstrip()), words[i:j], hashes[i:j]
+
+
+def paragraphs(text: str):
+    """Yield (start, end, words) of the paragraphs of a text in code points; they hold all its words.
+
+    Words are runs of letters and digits, A-Z lowered. Where a paragraph starts depends on the RADIUS words
+    before it and the RADIUS + 1 after its first only, so equal runs of words are cut alike, whatever
+    sentences, lines and marks they stand in. Only where no pair of words is a strict minimum for over
+    MOST_WORDS words is the cut counted from the paragraph's start; that is in text of a short period, the
+    pieces of which are alike by their shingles.
     """
-    last = None
-    for piece in _pieces(text, least):
-        if last and len(piece[2]) < least:
-            last = last[0], piece[1], last[2] + piece[2]
-            continue
-        if last:
-            yield last
-        last = piece
-    if last and len(last[2]) >= least:
-        yield last
-
-
-def _pieces(text: str, least: int):
-    """The same, but with what is left over at the end of the text as a piece of its own."""
-    start, held = 0, []
-    for stop in [m.end() for m in END.finditer(text)] + [len(text)]:
-        words = text[start:stop].encode("utf-8", "surrogatepass").translate(FOLD).split()
-        if not held:
-            first = start
-        held += words
-        if len(held) >= least:
-            if len(words) > LONG:
-                yield from _cut(text[first:stop], first, least)
-            else:
-                yield first, first + len(text[first:stop].rstrip()), held
-            held = []
-        start = stop
-    if held:
-        yield first, first + len(text[first:].rstrip()), held
-
-
-def _cut(piece: str, offset: int, least: int):
-    held: list[bytes] = []
-    first = last = None
-    for m in re.finditer(r"\S+", piece):
-        words = m.group().encode("utf-8", "surrogatepass").translate(FOLD).split()
-        first = m.start() if first is None else first
-        held += words
-        last = m.end()
-        if len(held) >= least and words and zlib.crc32(words[-1]) % CUT_ONE_IN == 0:
-            yield offset + first, offset + last, held
-            held, first = [], None
-    if held:
-        yield offset + first, offset + last, held
+    for start, end, words, _ in _split(text):
+        yield start, end, words
 
 
 def shingles(words: list[bytes], n: int = SHINGLE) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[i:] for i in range(n)), strict=False))) or [b" ".join(words)]
 
 
-class Signer:
-    """Band keys of many paragraphs at once."""
-
-    def __init__(self, bands: int, rows: int, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        self.bands, self.rows = bands, rows
-        self.a = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.b = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
+def prefix_keys(units: list[np.ndarray], similar: float = SIMILAR, n: int = SHINGLE) -> list[list[int]]:
+    """For each unit, given by the hashes of its words, the least few of the hashes of its shingles.
 
-    def keys(self, sets: list[list[bytes]]) -> np.ndarray:
-        if not sets:
-            return np.zeros((0, self.bands), np.int64)
-        sizes = list(map(len, sets))
-        starts = np.r_[0, np.cumsum(sizes)[:-1]]
-        x = np.fromiter((xxhash.xxh3_64_intdigest(s) for group in sets for s in group), np.uint64, sum(sizes))
-        out = np.zeros((self.bands, len(sets)), np.uint64)
-        for i in range(self.bands * self.rows):
-            low = np.minimum.reduceat((x * self.a[i] + self.b[i]) >> np.uint64(16), starts)
-            band = i // self.rows
-            out[band] = (out[band] ^ low) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1)
-        return out.T.view(np.int64) if out.T.flags.c_contiguous else np.ascontiguousarray(out.T).view(np.int64)
+    Two sets of shingles with a Jaccard similarity of ``similar`` or more share one of these: a set of m
+    has all but m - ceil(similar * m) of its shingles in the other. Units of fewer than ``n`` words have none.
+    """
+    sizes = np.array([len(u) for u in units], np.int64)
+    if sizes.sum() < n:
+        return [[] for _ in units]
+    x = np.concatenate(units)
+    ends = np.repeat(np.cumsum(sizes), sizes)[: len(x) - n + 1]
+    owner = np.repeat(np.arange(len(units)), sizes)[: len(x) - n + 1]
+    grams = np.zeros(len(x) - n + 1, np.uint64)
+    for k in range(n):
+        grams = (grams ^ (grams >> np.uint64(29))) * _MIX + x[k : len(x) - n + 1 + k] * _A
+    grams = (grams ^ (grams >> np.uint64(32))) * _B
+    whole = np.arange(len(grams)) + n <= ends
+    owner, grams = owner[whole], grams[whole]
+    order = np.lexsort((grams, owner))
+    owner, grams = owner[order], grams[order]
+    new = np.r_[True, (owner[1:] != owner[:-1]) | (grams[1:] != grams[:-1])][: len(owner)]
+    owner, grams = owner[new], grams[new]
+    count = np.bincount(owner, minlength=len(units))
+    rank = np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
+    take = count - np.ceil(similar * count - 1e-9).astype(np.int64) + 1
+    kept = rank < take[owner]
+    values = grams[kept].view(np.int64).tolist()
+    stops = np.cumsum(np.bincount(owner[kept], minlength=len(units))).tolist()
+    return [values[i:j] for i, j in zip([0, *stops], stops, strict=False)]
 
 
 def similar_pairs(members: list[tuple[bytes, frozenset]], other: list[tuple[bytes, frozenset]] | None = None, similar: float = SIMILAR):
@@ -153,8 +147,8 @@ def similar_pairs(members: list[tuple[bytes, frozenset]], other: list[tuple[byte
                 index[s].append(i)
 
 
-def _units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """A row for each paragraph; the first of its kind in a task brings its band keys and words too."""
+def _units(docs: DataFrame) -> DataFrame:
+    """A row for each paragraph; the first of its kind in a task brings its keys and words too."""
     whole = F.lit(0).cast("int")
     schema = docs.select(
         F.lit(0).cast("long").alias("uid"), "doc_id", whole.alias("pos"), whole.alias("start"), whole.alias("end"), whole.alias("n_words"),
@@ -162,12 +156,12 @@ def _units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     ).schema
 
     def run(batches):
-        signer, seen = Signer(bands, rows), set()
+        seen = set()
         uid = TaskContext.get().partitionId() << 40
         for batch in blocks(batches, STEP):
             row, spot, hashes, fresh = [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                for pos, (start, end, words) in enumerate(paragraphs(text or "")):
+                for pos, (start, end, words, hashed) in enumerate(_split(text or "")):
                     line = b" ".join(words)
                     h = xxhash.xxh3_128_digest(line)
                     new = h not in seen
@@ -176,10 +170,10 @@ def _units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     row.append(i)
                     spot.append((pos, start, end, len(words)))
                     hashes.append(h)
-                    fresh.append((line, words) if new else None)
+                    fresh.append((line, hashed) if new else None)
             if len(seen) > HOLD:
                 seen.clear()
-            keys = iter(signer.keys([shingles(f[1]) for f in fresh if f]).tolist())
+            keys = iter(prefix_keys([f[1] for f in fresh if f]))
             at = pa.array(row, pa.int64())
             columns = np.array(spot, np.int32).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
@@ -224,7 +218,7 @@ def _compare(batches):
 
 
 def near_links(units: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Links ``a``, ``b`` between hashes of different paragraphs that share a band and are similar.
+    """Links ``a``, ``b`` between hashes of different paragraphs that share a key (``band``) and are similar.
 
     Only buckets of two or more different paragraphs go on. Copies count once a task, however many they
     are. A bucket of more than ``block`` paragraphs is cut into blocks by hash, and every pair of blocks
@@ -262,7 +256,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     """
     ship(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    units = materialize(_units(source, tune(), 3))
+    units = materialize(_units(source))
     linked = components(near_links(units, block))
     place = F.struct("doc_id", "uid", "pos")
     kinds = units.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first"))
