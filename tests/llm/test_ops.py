@@ -129,9 +129,9 @@ def test_components(spark):
 
 def brute_repeats(rows):
     units = defaultdict(list)
-    for i, t in rows:
+    for n, (i, t) in enumerate(rows):
         for p, (s, e, w) in enumerate(op2_paragraphs.paragraphs(t or "")):
-            units[b" ".join(w)].append((i, p, s, e))
+            units[b" ".join(w)].append((i, p, s, e, n))
     sets = {k: frozenset(op2_paragraphs.shingles(k.split(b" "))) for k in units}
     parent = {k: k for k in units}
     for a in units:
@@ -141,12 +141,12 @@ def brute_repeats(rows):
     clusters = defaultdict(list)
     for k, places in units.items():
         clusters[find(parent, k)] += places
-    return {(i, s, e, min(c)[0], (i, p) != min(c)[:2]) for c in clusters.values() if len(c) > 1 for i, p, s, e in c}
+    return {(i, s, e, min(c)[0], (i, p) != min(c)[:2]) for c in clusters.values() if len({n for *_, n in c}) > 1 for i, p, s, e, _ in c}
 
 
 @pytest.mark.parametrize("block", [2048, 2])
 def test_repeats_like_brute_force(docs, block):
-    got = op2_paragraphs.repeats(docs, least_run=0, block=block).collect()
+    got = op2_paragraphs.repeats(docs, least_run=0, block=block, extend=False).collect()
     assert {(r.doc_id, r.start, r.end, r.keeper_id, r.removed) for r in got} == brute_repeats(texts_of(docs))
 
 
@@ -163,6 +163,58 @@ def test_planted_passage(spark, odd, none):
     assert op2_paragraphs.repeats(none).count() == 0 and op2_paragraphs.repeats(odd).count() > 0
 
 
+def test_near_copies_have_one_link_each(spark):
+    """As many links as members less one for each group, and the components of all pairs."""
+    rng = random.Random(17)
+    base = [f"w{i}" for i in range(40)]
+    members = []
+    for k in range(400):
+        words = list(base)
+        words[rng.choice([0, 39])] = f"x{k}"
+        members.append(words)
+    members += [[f"y{k}{i}" for i in range(9)] + [rng.choice("ab")] for k in range(30) for _ in range(3)]
+    members = sorted({b" ".join(w.encode() for w in m) for m in members})
+    sets = [(m, frozenset(op2_paragraphs.shingles(m.split(b" ")))) for m in members]
+    parent = {m: m for m in members}
+    for a, x in sets:
+        for b, y in sets:
+            if a < b and len(x & y) >= 0.8 * len(x | y) and find(parent, a) != find(parent, b):
+                parent[find(parent, a)] = find(parent, b)
+    links = list(op2_paragraphs.similar_links(sets))
+    own = {m: m for m in members}
+    for a, b in links:
+        assert a != b
+        own[find(own, a)] = find(own, b)
+    groups = lambda p: {frozenset(m for m in members if find(p, m) == find(p, r)) for r in members}
+    assert groups(own) == groups(parent) and len(links) == len(members) - len(groups(own))
+
+
+def test_bands_find_near_copies():
+    """Share of pairs at a similarity of 0.8 to 0.9 that share a band: 0.994 or more is due."""
+    rng = np.random.default_rng(3)
+    pairs = []
+    while len(pairs) < 1500:
+        a = rng.integers(1, 2**63, rng.integers(20, 31)).astype(np.uint64)
+        b = a.copy()
+        b[rng.choice([0, 1, -1])] = rng.integers(1, 2**63)
+        x, y = ({tuple(u[i : i + 5].tolist()) for i in range(len(u) - 4)} for u in (a, b))
+        if 0.8 <= len(x & y) / len(x | y) < 0.9:
+            pairs += [a, b]
+    keys = op2_paragraphs.signatures(pairs)
+    assert (keys[::2] == keys[1::2]).any(axis=1).mean() > 0.98
+
+
+@pytest.mark.parametrize("hot", [1, 64])
+def test_hot_band_loses_no_link(spark, monkeypatch, hot):
+    """Very many near copies of one paragraph, dealt to many tasks, are one cluster."""
+    monkeypatch.setattr(op2_paragraphs, "HOT", hot)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join([f"x{k}", *words[1:]]) for k in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = op2_paragraphs.repeats(df).collect()
+    assert {r.doc_id for r in got} == set(range(200)) and {r.keeper_id for r in got} == {0}
+
+
 def test_no_text_is_too_short_lined(spark):
     """Against raw windows of 51 words: copies made of short lines, or with a mark after each word, have rows."""
     rng = random.Random(11)
@@ -193,6 +245,9 @@ def test_passages_in_any_setting(spark):
     repeated = {i for i, w in enumerate(windows) if any(seen[x] > 1 for x in w)}
     got = op2_paragraphs.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id for r in got} == repeated and len(repeated) == 122
+    for k in range(60):  # rows take in the whole passage
+        # or a few more, where a paragraph at its end is similar to that of the copy
+        assert all(0 <= sum(r.n_words for r in got if r.doc_id == i) - 51 - k % 8 <= 3 for i in (3 * k, 3 * k + 1))
     for t in texts:
         parts = list(op2_paragraphs.paragraphs(t))
         assert [w for _, _, words in parts for w in words] == re.findall(rb"\w+", t.lower().encode())

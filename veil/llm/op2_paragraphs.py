@@ -1,4 +1,4 @@
-"""Repeated passages: content-defined paragraphs, prefix filter and exact Jaccard, removals by components."""
+"""Repeated passages: content-defined paragraphs, MinHash bands, exact Jaccard, removals by components."""
 
 from collections import Counter, defaultdict
 
@@ -12,44 +12,66 @@ from pyspark.sql import functions as F
 from veil.llm.arrow import blocks
 from veil.llm.graph import components
 from veil.llm.op9_decontaminate import FOLD
-from veil.sources import materialize, read_table, ship
+from veil.sources import drop_table, materialize, read_table, ship
 
 #: Words of a shingle, and least Jaccard similarity of a near copy.
 SHINGLE, SIMILAR = 5, 0.8
-#: Words that a run of adjoining repeated paragraphs needs to count as a repeated passage.
-LEAST_RUN = 13
+#: Bands and the minima in each: a pair at the least similarity shares a band with 1 - (1 - 0.8**2)**5 = 0.994.
+BANDS, MINIMA = 5, 2
+#: Words of a repeated passage.
+LEAST_RUN = 51
 #: A paragraph starts at a pair of words whose hash is the least among those of this many words on either side.
-RADIUS = 4
-#: Words after which a paragraph ends where no such pair comes; what is left over of RADIUS words or fewer stays with it.
+RADIUS = 6
+#: Where no such pair is within APART words on either side, one that is the least of INNER words on either side does.
+APART, INNER = 7, 3
+#: Words after which a paragraph ends where none of these comes; RADIUS words or fewer that are left over stay with it.
 MOST_WORDS = 24
+#: Words next to a run of repeated paragraphs that are looked at.
+REACH = MOST_WORDS + RADIUS
 #: Members of a bucket that one task compares; larger buckets are cut into blocks and all pairs of blocks compared.
-BLOCK = 2048
+BLOCK = 4096
+#: Members with which all others of a bucket are compared first, as most buckets are one group of near copies.
+HUBS = 8
+#: A bucket with more paragraphs than this in one task's memory is dealt to as many as SALTS tasks.
+HOT, SALTS = 64, 64
 #: Bytes of text in one piece of work of a task.
 STEP = 1 << 22
-#: Paragraphs that a task remembers to have signed, and members that it compares at once.
+#: Paragraphs that a task remembers to have signed.
 HOLD = 300_000
+#: Flags of a paragraph that may be repeated: it has an equal one; it shares a band with a different one.
+EQUAL, SHARED = 1, 2
 _A, _B, _MIX = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
-def _starts(hashes: np.ndarray) -> list[int]:
-    """Numbers of the words at which paragraphs start, and the number of words."""
-    n, r = len(hashes), RADIUS
-    x = (hashes[:-1] * _A + hashes[1:]) * _B
-    x = (x ^ (x >> np.uint64(32))) * _MIX
+def _minima(x: np.ndarray, r: int) -> np.ndarray:
+    """Places whose value is less than the ``r`` before and no more than the ``r`` after."""
     inner = max(0, len(x) - 2 * r)
     own, least = x[r : r + inner], np.ones(inner, bool)
     for k in range(1, r + 1):
         least &= (own < x[r - k : r - k + inner]) & (own <= x[r + k : r + k + inner])
+    return np.flatnonzero(least) + r
+
+
+def _starts(hashes: np.ndarray) -> list[int]:
+    """Numbers of the words at which paragraphs start, and the number of words."""
+    n = len(hashes)
+    x = (hashes[:-1] * _A + hashes[1:]) * _B
+    x = (x ^ (x >> np.uint64(32))) * _MIX
+    chief, more = _minima(x, RADIUS), _minima(x, INNER)
+    around = np.r_[-n - APART, chief, 2 * n + APART]
+    after = np.searchsorted(around, more)
+    more = more[(more - around[after - 1] > APART) & (around[after] - more > APART)]
     out = [0]
-    for stop in [*(np.flatnonzero(least) + r).tolist(), n]:
-        while stop - out[-1] > MOST_WORDS + r:
+    for stop in [*np.union1d(chief, more).tolist(), n]:
+        while stop - out[-1] > MOST_WORDS + RADIUS:
             out.append(out[-1] + MOST_WORDS)
-        out.append(stop)
+        if stop > out[-1]:
+            out.append(stop)
     return out
 
 
 def _split(text: str):
-    """Yield (start, end, words, hashes of the words) of the paragraphs of a text."""
+    """Yield (start, end, words, hashes of the words, starts of the words) of the paragraphs of a text."""
     raw = text.encode("utf-8", "surrogatepass")
     folded = raw.translate(FOLD)
     words = folded.split()
@@ -58,25 +80,23 @@ def _split(text: str):
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     inside = np.frombuffer(b" " + folded, np.uint8) != 32
     first = np.flatnonzero(inside[1:] & ~inside[:-1])
-    starts = _starts(hashes)
-    at = first[starts[:-1]]
     if len(raw) > len(text):
-        at = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)[at] - 1
-    at = [*at.tolist(), len(text)]
+        first = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)[first] - 1
+    starts = _starts(hashes)
+    at = [*first[starts[:-1]].tolist(), len(text)]
     for k, (i, j) in enumerate(zip(starts, starts[1:], strict=False)):
-        yield at[k], at[k] + len(text[at[k] : at[k + 1]].rstrip()), words[i:j], hashes[i:j]
+        yield at[k], at[k] + len(text[at[k] : at[k + 1]].rstrip()), words[i:j], hashes[i:j], first[i:j]
 
 
 def paragraphs(text: str):
     """Yield (start, end, words) of the paragraphs of a text in code points; they hold all its words.
 
-    Words are runs of letters and digits, A-Z lowered. Where a paragraph starts depends on the RADIUS words
-    before it and the RADIUS + 1 after its first only, so equal runs of words are cut alike, whatever
-    sentences, lines and marks they stand in. Only where no pair of words is a strict minimum for over
-    MOST_WORDS words is the cut counted from the paragraph's start; that is in text of a short period, the
-    pieces of which are alike by their shingles.
+    Words are runs of letters and digits, A-Z lowered. Where a paragraph starts depends on the few words
+    around it only, so equal runs of words are cut alike, whatever sentences, lines and marks they stand
+    in. Only where no pair of words is a strict minimum for over MOST_WORDS words is the cut counted from
+    the paragraph's start; that is in text of a short period, the pieces of which are alike by shingles.
     """
-    for start, end, words, _ in _split(text):
+    for start, end, words, *_ in _split(text):
         yield start, end, words
 
 
@@ -84,119 +104,259 @@ def shingles(words: list[bytes], n: int = SHINGLE) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[i:] for i in range(n)), strict=False))) or [b" ".join(words)]
 
 
-def prefix_keys(units: list[np.ndarray], similar: float = SIMILAR, n: int = SHINGLE) -> list[list[int]]:
-    """For each unit, given by the hashes of its words, the least few of the hashes of its shingles.
+def signatures(units: list[np.ndarray], n: int = SHINGLE) -> np.ndarray:
+    """The BANDS keys of each paragraph, given by the hashes of its words, as a row of longs.
 
-    Two sets of shingles with a Jaccard similarity of ``similar`` or more share one of these: a set of m
-    has all but m - ceil(similar * m) of its shingles in the other. Units of fewer than ``n`` words have none.
+    A key hashes MINIMA least values of the paragraph's shingles, and its last three bits are the band's number.
     """
     sizes = np.array([len(u) for u in units], np.int64)
-    if sizes.sum() < n:
-        return [[] for _ in units]
-    x = np.concatenate(units)
-    ends = np.repeat(np.cumsum(sizes), sizes)[: len(x) - n + 1]
-    owner = np.repeat(np.arange(len(units)), sizes)[: len(x) - n + 1]
+    # A paragraph of fewer than n words is one shingle: it is filled up with zeros.
+    padded = np.maximum(sizes, n)
+    ends = np.cumsum(padded)
+    x = np.zeros(int(ends[-1]) if len(units) else 0, np.uint64)
+    for u, at in zip(units, (ends - padded).tolist(), strict=True):
+        x[at : at + len(u)] = u
+    if not len(x):
+        return np.zeros((0, BANDS), np.int64)
     grams = np.zeros(len(x) - n + 1, np.uint64)
     for k in range(n):
         grams = (grams ^ (grams >> np.uint64(29))) * _MIX + x[k : len(x) - n + 1 + k] * _A
-    grams = (grams ^ (grams >> np.uint64(32))) * _B
-    whole = np.arange(len(grams)) + n <= ends
-    owner, grams = owner[whole], grams[whole]
-    order = np.lexsort((grams, owner))
-    owner, grams = owner[order], grams[order]
-    new = np.r_[True, (owner[1:] != owner[:-1]) | (grams[1:] != grams[:-1])][: len(owner)]
-    owner, grams = owner[new], grams[new]
-    count = np.bincount(owner, minlength=len(units))
-    rank = np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
-    take = count - np.ceil(similar * count - 1e-9).astype(np.int64) + 1
-    kept = rank < take[owner]
-    values = grams[kept].view(np.int64).tolist()
-    stops = np.cumsum(np.bincount(owner[kept], minlength=len(units))).tolist()
-    return [values[i:j] for i, j in zip([0, *stops], stops, strict=False)]
-
-
-def similar_pairs(members: list[tuple[bytes, frozenset]], other: list[tuple[bytes, frozenset]] | None = None, similar: float = SIMILAR):
-    """Pairs of ids whose sets have a Jaccard similarity of ``similar`` or more, within a list or between two.
-
-    Exact, by prefix filtering: with shingles ordered from rare to frequent, two such sets share one of
-    their first few, so shingles that all members share are not compared.
+    whole = np.arange(len(grams)) + n <= np.repeat(ends, padded)[: len(grams)]
+    grams = grams[whole]
+    first = np.r_[0, np.cumsum(padded - n + 1)[:-1]]
+    out = np.zeros((len(units), BANDS), np.uint64)
+    for p in range(BANDS * MINIMA):
+        turned = (grams ^ np.uint64((p + 1) * int(_B) % (1 << 64))) * _A
+        turned = (turned ^ (turned >> np.uint64(31))) * _MIX
+        least = np.minimum.reduceat(turned ^ (turned >> np.uint64(29)), first)
+        b = p // MINIMA
+        out[:, b] = (out[:, b] ^ (out[:, b] >> np.uint64(27))) * _B + least
+    return ((out & ~np.uint64(7)) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def similar_links(members: list[tuple[bytes, frozenset]], similar: float = SIMILAR):
+    """Links that join the members as all pairs with a Jaccard similarity of ``similar`` or more would: one a member at most.
+
+    Most groups are near copies of one text, so all members are compared with a few of them first. The
+    rest is exact by prefix filtering: with shingles ordered from rare to frequent, two similar sets share
+    one of their first few. Pairs that are joined already are not compared.
     """
-    everyone = members + (other or [])
-    frequency = Counter(s for _, group in everyone for s in group)
-    index: defaultdict = defaultdict(list)
+    root = list(range(len(members)))
 
-    def prefix(group):
-        order = sorted(group, key=lambda s: (frequency[s], s))
-        return order[: len(order) - int(np.ceil(similar * len(order) - 1e-9)) + 1]
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
 
-    def near(i, j):
-        (_, a), (_, b) = everyone[i], everyone[j]
+    def near(i: int, j: int) -> bool:
+        a, b = members[i][1], members[j][1]
         if min(len(a), len(b)) < similar * max(len(a), len(b)) - 1e-9:
             return False
         both = len(a & b)
         return both >= similar * (len(a) + len(b) - both) - 1e-9
 
-    for i, (name, group) in enumerate(everyone):
-        own = prefix(group)
-        if other is None or i >= len(members):
-            for j in {j for s in own for j in index[s]}:
-                if near(i, j):
-                    yield name, everyone[j][0]
-        if other is None or i < len(members):
-            for s in own:
+    def join(i: int, j: int):
+        a, b = find(i), find(j)
+        if a != b and near(i, j):
+            root[max(a, b)] = min(a, b)
+
+    hubs: list[int] = []
+    for i in range(len(members)):
+        if len(hubs) == HUBS:
+            break
+        if find(i) not in map(find, hubs):
+            hubs.append(i)
+            for j in range(len(members)):
+                join(i, j)
+    apart = len(set(map(find, range(len(members))))) > 1
+    if apart and len(hubs) < len(members):
+        frequency = Counter(s for _, group in members for s in group)
+        index: defaultdict = defaultdict(list)
+        for i, (_, group) in enumerate(members):
+            order = sorted(group, key=lambda s: (frequency[s], s))
+            for s in order[: len(order) - int(np.ceil(similar * len(order) - 1e-9)) + 1]:
                 index[s].append(i)
+        for group in index.values():
+            by_root: defaultdict = defaultdict(list)
+            for i in group:
+                by_root[find(i)].append(i)
+            parts = sorted(by_root.values(), key=len)
+            for k, part in enumerate(parts):
+                for i in part:
+                    for other in parts[k + 1 :]:
+                        for j in other:
+                            join(i, j)
+    for i, (name, _) in enumerate(members):
+        if find(i) != i:
+            yield name, members[find(i)][0]
+
+
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``key, doc_id, text``: rows of equal id and text have one key, all others different ones."""
+    marks = (F.coalesce(F.col(c).cast("string"), F.lit(f"null {c}")) for c in (id_col, text_col))
+    key = F.unhex(F.md5(F.concat_ws(":", *marks).cast("binary")))
+    return docs.select(key.alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def _banded(source: DataFrame) -> DataFrame:
+    """``band, k, n``: the bands of each paragraph ``k`` and how often it is in what a task holds at once.
+
+    Where over HOT different paragraphs of a task are in one band, ``n`` is negative, the number of the
+    task that gets it, and the smallest and the largest of them stand for them with ``n`` 0.
+    """
+
+    def run(batches):
+        held: list[tuple] = []
+
+        def emit():
+            k, n, bands = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            k, first, inverse = np.unique(k, return_index=True, return_inverse=True)
+            n, bands = np.bincount(inverse, n).astype(np.int64), bands[first]
+            band, owner = bands.T.ravel(), np.tile(np.arange(len(k)), BANDS)
+            distinct, inverse, size = np.unique(band, return_inverse=True, return_counts=True)
+            hot = size[inverse] > HOT
+            times = np.where(hot, -1 - (k[owner] % SALTS), n[owner])
+            parts = [(band, k[owner], times)]
+            if hot.any():
+                at = np.lexsort((k[owner[hot]], band[hot]))
+                name, key = band[hot][at], k[owner[hot]][at]
+                edge = np.r_[True, name[1:] != name[:-1]]
+                for end in (edge, np.r_[edge[1:], True]):
+                    parts.append((name[end], key[end], np.zeros(int(end.sum()), np.int64)))
+            for part in parts:
+                for at in range(0, len(part[0]), 1 << 17):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 17)]) for c in part[:2]] + [pa.array(part[2][at : at + (1 << 17)].astype(np.int32))], names=["band", "k", "n"])
+
+        for batch in blocks(batches, STEP):
+            names: dict[bytes, int] = {}
+            count: Counter = Counter()
+            units = []
+            for text in batch.column(0).to_pylist():
+                for _, _, words, hashes, _ in _split(text or ""):
+                    line = b" ".join(words)
+                    if line not in names:
+                        names[line] = len(units)
+                        units.append(hashes)
+                    count[line] += 1
+            if units:
+                k = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names)).view(np.int64)
+                held.append((k, np.fromiter(map(count.__getitem__, names), np.int64, len(names)), signatures(units)))
+            if sum(len(k) for k, _, _ in held) > HOLD:
+                yield from emit()
+        if held:
+            yield from emit()
+
+    return source.select("text").mapInArrow(run, "band long, k long, n int")
 
 
-def _units(docs: DataFrame) -> DataFrame:
-    """A row for each paragraph; the first of its kind in a task brings its keys and words too."""
-    whole = F.lit(0).cast("int")
-    schema = docs.select(
-        F.lit(0).cast("long").alias("uid"), "doc_id", whole.alias("pos"), whole.alias("start"), whole.alias("end"), whole.alias("n_words"),
-        F.lit(None).cast("binary").alias("h"), F.lit(None).cast("array<long>").alias("bands"), F.lit(None).cast("binary").alias("words"),
+def _placed(source: DataFrame) -> DataFrame:
+    """``key, pos, k`` of every paragraph."""
+
+    def run(batches):
+        for batch in blocks(batches, STEP):
+            row, pos, k = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                made = [xxhash.xxh3_64_intdigest(b" ".join(words)) for _, _, words, *_ in _split(text or "")]
+                row += [i] * len(made)
+                pos += range(len(made))
+                k += made
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(pos, pa.int32()), pa.array(np.array(k, np.uint64).view(np.int64))], names=["key", "pos", "k"])
+
+    return source.select("key", "text").mapInArrow(run, "key binary, pos int, k long")
+
+
+def _edges(k: int, words: list[bytes], starts: list[int], side: int):
+    """Number, outer end and key of the words after (side 1) or before (0) paragraph ``k``, the nearest first."""
+    state = xxhash.xxh3_64((k & (1 << 64) - 1).to_bytes(8) + bytes([side]))
+    for n, (word, at) in enumerate(zip(words, starts, strict=True), 1):
+        state.update(word + b" ")
+        yield n, at + len(word.decode("utf-8", "surrogatepass")) if side else at, state.intdigest()
+
+
+def _candidates(chosen: DataFrame, least_run: float) -> DataFrame:
+    """Rows for the chosen paragraphs of texts, and rows for the words next to those after which a passage may end.
+
+    ``chosen`` has ``doc_id``, ``text`` and ``at``, an array of place * 4 + flags. A paragraph has ``h``, and the
+    first of its kind in a task its ``words``; its flags are in ``side``. A row without ``h`` says that the paragraph at ``pos`` is
+    followed (``side`` 1) or preceded (0) by ``n_words`` words of hash ``edge``, up to ``start``, where its
+    neighbour has no equal.
+    """
+    whole, none = F.lit(0).cast("int"), F.lit(None)
+    schema = chosen.select(
+        F.lit(0).cast("long").alias("uid"), "doc_id", whole.alias("pos"), whole.alias("start"), whole.alias("end"), whole.alias("word"), whole.alias("n_words"), none.cast("long").alias("k"),
+        none.cast("binary").alias("h"), none.cast("binary").alias("words"), none.cast("int").alias("side"), none.cast("long").alias("edge"),
     ).schema
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.uint64(), pa.binary(), pa.binary(), pa.int32(), pa.uint64()]
 
     def run(batches):
         seen = set()
         uid = TaskContext.get().partitionId() << 40
         for batch in blocks(batches, STEP):
-            row, spot, hashes, fresh = [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                for pos, (start, end, words, hashed) in enumerate(_split(text or "")):
-                    line = b" ".join(words)
-                    h = xxhash.xxh3_128_digest(line)
-                    new = h not in seen
-                    if new:
-                        seen.add(h)
-                    row.append(i)
-                    spot.append((pos, start, end, len(words)))
-                    hashes.append(h)
-                    fresh.append((line, hashed) if new else None)
+            row: list[int] = []
+            out: list[list] = [[] for _ in kinds]
+
+            def add(i, *values, row=row, out=out):
+                row.append(i)
+                for column, value in zip(out, values, strict=True):
+                    column.append(value)
+
+            for i, (text, at) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                flags = {x >> 2: x & 3 for x in at}
+                units = list(_split(text or ""))
+                words, starts = [w for u in units for w in u[2]], [x for u in units for x in u[4].tolist()]
+                bounds = np.cumsum([0, *(len(u[2]) for u in units)]).tolist()
+                names = {}
+                for pos in sorted(flags):
+                    line = b" ".join(units[pos][2])
+                    h, names[pos] = xxhash.xxh3_128_digest(line), xxhash.xxh3_64_intdigest(line)
+                    add(i, uid + i, pos, *units[pos][:2], bounds[pos], len(units[pos][2]), names[pos], h, None if h in seen else line, flags[pos], None)
+                    seen.add(h)
+                # A stretch of chosen paragraphs that may be a passage, or hold one, with what is next to it.
+                stretch: list[int] = []
+                for pos in [*sorted(flags), None]:
+                    if stretch and (pos is None or pos > stretch[-1] + 1):
+                        low, high = bounds[stretch[0]], bounds[stretch[-1] + 1]
+                        if min(low, REACH) + high - low + min(len(words) - high, REACH) >= least_run:
+                            for p in stretch:
+                                low, high = bounds[p], bounds[p + 1]
+                                for side, beside, part in ((0, p - 1, slice(max(0, low - REACH), low)), (1, p + 1, slice(high, high + REACH))):
+                                    if not flags.get(beside, 0) & EQUAL:
+                                        step = 1 if side else -1
+                                        for n, place, key in _edges(names[p], words[part][::step], starts[part][::step], side):
+                                            add(i, uid + i, p, place, place, 0, n, names[p], None, None, side, key)
+                        stretch = []
+                    stretch.append(pos)
             if len(seen) > HOLD:
                 seen.clear()
-            keys = iter(prefix_keys([f[1] for f in fresh if f]))
-            at = pa.array(row, pa.int64())
-            columns = np.array(spot, np.int32).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(uid + np.array(row, np.int64)), batch.column(0).take(at), *(pa.array(columns[:, k]) for k in range(4)),
-                 pa.array(hashes, pa.binary()), pa.array([next(keys) if f else None for f in fresh], pa.list_(pa.int64())), pa.array([f[0] if f else None for f in fresh], pa.binary())],
-                names=schema.names,
-            )
+            arrays = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
+            arrays = [a.view(pa.int64()) if a.type == pa.uint64() else a for a in arrays]
+            yield pa.RecordBatch.from_arrays([arrays[0], batch.column(0).take(pa.array(row, pa.int64())), *arrays[1:]], names=schema.names)
             uid += batch.num_rows
 
-    return docs.mapInArrow(run, schema)
+    return chosen.select("doc_id", "text", "at").mapInArrow(run, schema)
+
+
+def _beside(batches):
+    """The edges between paragraphs that both have an equal one: ``k``, ``side`` and the ``words`` of the neighbour."""
+    for batch in batches:
+        edges = []
+        for k, side, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            words = line.split(b" ")[:: 1 if side else -1]
+            edges += [key for *_, key in _edges(k, words, [0] * len(words), side)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(edges, np.uint64).view(np.int64))], names=["edge"])
 
 
 def _compare(batches):
     """Links within runs of rows of one bucket and pair of blocks, sorted by them; a run that is cut waits."""
 
     def links(run):
-        sides: tuple[dict, dict] = ({}, {})
-        for h, side, words in run:
-            sides[side].setdefault(h, words)
-        sets = [[(h, frozenset(shingles(w.split(b" ")))) for h, w in s.items()] for s in sides]
-        return {(max(a, b), min(a, b)) for a, b in similar_pairs(sets[0], sets[1] or None) if a != b}
+        members = dict(run)
+        return similar_links([(h, frozenset(shingles(w.split(b" ")))) for h, w in members.items()]) if len(members) > 1 else ()
 
-    key, run, found = None, [], set()
+    key, run, found = None, [], []
 
     def emit():
         out = pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
@@ -204,74 +364,100 @@ def _compare(batches):
         return out
 
     for batch in batches:
-        for band, pair, side, h, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for band, pair, h, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (band, pair) != key:
-                if len(run) > 1:
-                    found |= links(run)
+                found += links(run)
                 key, run = (band, pair), []
-            run.append((h, side, words))
+            run.append((h, words))
         if len(found) > HOLD:
             yield emit()
-    if len(run) > 1:
-        found |= links(run)
+    found += links(run)
     yield emit()
 
 
-def near_links(units: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Links ``a``, ``b`` between hashes of different paragraphs that share a key (``band``) and are similar.
+def near_links(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links ``a``, ``b`` between hashes ``h`` of different paragraphs that share a band and are similar.
 
-    Only buckets of two or more different paragraphs go on. Copies count once a task, however many they
-    are. A bucket of more than ``block`` paragraphs is cut into blocks by hash, and every pair of blocks
-    is a piece of work of its own, so no task holds more than two blocks and no link is lost.
+    ``members`` has ``band, k`` and ``texts`` has ``k, h, words``. A bucket of more than ``block`` paragraphs is cut
+    into blocks by hash, and every pair of blocks is a piece of work of its own, so no task holds more
+    than two blocks and no similar pair is missed. A piece gives one link a member at most.
     """
-    signed = units.where("bands is not null")
-    # A short number stands for the hash where very many rows are dealt; equal numbers only add comparisons.
-    number = F.xxhash64("h")
-    banded = signed.select(number.alias("k"), F.explode("bands").alias("band"))
-    bucket = Window.partitionBy("band")
-    shared = banded.withColumn("low", F.min("k").over(bucket)).withColumn("high", F.max("k").over(bucket))
-    members = materialize(shared.where("low <> high").select("band", "k").distinct())
     sizes = members.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("n")).where("n > 1")
-    wanted = members.select("k").distinct()
-    texts = signed.select(number.alias("k"), "h", "words").join(wanted, "k", "left_semi").dropDuplicates(["h"])
     full = members.join(texts, "k").join(sizes, "band", "left")
     n = F.coalesce("n", F.lit(1))
     own = F.pmod(F.xxhash64("h", F.lit(3)), n).cast("int")
     # The pairs of blocks that a member is in: its own with each, as first or second.
     dealt = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    first, second = F.least("own", "other"), F.greatest("own", "other")
-    dealt = dealt.withColumn("pair", first.cast("long") * F.lit(1 << 31) + second).withColumn("side", F.when(F.col("own") == first, 0).otherwise(1))
-    sorted_runs = dealt.select("band", "pair", "side", "h", "words").repartition("band", "pair").sortWithinPartitions("band", "pair")
-    return sorted_runs.mapInArrow(_compare, "a binary, b binary").distinct()
+    pair = F.least("own", "other").cast("long") * F.lit(1 << 31) + F.greatest("own", "other")
+    dealt = dealt.select("band", pair.alias("pair"), "h", "words")
+    return dealt.repartition("band", "pair").sortWithinPartitions("band", "pair").mapInArrow(_compare, "a binary, b binary").distinct()
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_run: int = LEAST_RUN, block: int = BLOCK) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_run: int = LEAST_RUN, block: int = BLOCK, extend: bool = True) -> DataFrame:
     """A row for each paragraph of each repeated passage: ``doc_id, start, end, n_words, cluster, keeper_id, removed``.
 
-    Paragraphs that are equal, or similar by five-word shingles, are linked, and links make clusters. The
-    first of a cluster (by document id, row and place) stays and all others are ``removed``; ``keeper_id``
-    is the document that keeps it. A run of adjoining repeated paragraphs counts from ``least_run`` words.
+    Paragraphs that are equal, or similar by five-word shingles, are linked, and links make clusters; a
+    cluster within one row of ``docs`` does not count. The first of a cluster (by document id, row and place) stays and all others are ``removed``; ``keeper_id``
+    is the document that keeps it. A run of adjoining repeated paragraphs, with the words next to it that
+    stand next to a copy of its first or last paragraph too, counts from ``least_run`` words.
     Documents without a repeated passage have no row. Null and empty texts have no paragraph; a null id
-    sorts before any other. Repeated rows repeat each other. Other columns of ``docs`` are not looked at.
+    sorts before any other. The first and the last row of a run take in those words. Without ``extend`` only whole paragraphs count. Repeated rows repeat each other. Other columns of ``docs`` are not looked at.
     """
     ship(docs.sparkSession)
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    units = materialize(_units(source))
-    linked = components(near_links(units, block))
+    source = _source(docs, id_col, text_col)
+    spot = F.when(F.col("n") < 0, F.col("n")).otherwise(0)
+    bucket = Window.partitionBy("band", "spot")
+    banded = _banded(source).withColumn("spot", spot)
+    banded = banded.withColumn("low", F.min("k").over(bucket)).withColumn("high", F.max("k").over(bucket)).withColumn("all", F.sum("n").over(bucket))
+    mixed = F.expr("n < 0 or low <> high")
+    lone = F.col("band").bitwiseAND(F.lit(7)) == 0  # an equal paragraph is alone in all its bands
+    members = banded.where(mixed | (lone & (F.col("all") > 1))).select("k", F.when(mixed, F.col("band")).alias("band"), F.greatest("n", F.lit(0)).alias("n"))
+    members = materialize(members.groupBy("k", "band").agg(F.sum("n").alias("n")))
+    flags = F.when(F.max("n") > 1, EQUAL).otherwise(0) + F.when(F.count("band") > 0, SHARED).otherwise(0)
+    wanted = members.groupBy("k").agg(flags.alias("flags"))
+    at = F.collect_set(F.col("pos") * 4 + F.col("flags")).alias("at")
+    chosen = source.join(_placed(source).join(wanted, "k").groupBy("key").agg(at), "key")
+    rows = materialize(_candidates(chosen, least_run if extend else float("inf")))
+    units = rows.where("h is not null")
+    texts = units.where("words is not null").select("k", "h", "words").dropDuplicates(["h"])
+    linked = components(near_links(members.where("band is not null").select("band", "k"), texts, block))
     place = F.struct("doc_id", "uid", "pos")
-    kinds = units.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    kinds = kinds.join(linked, kinds["h"] == linked["node"], "left").where("n > 1 or node is not null")
-    kinds = materialize(kinds.select("h", "n", "first", F.coalesce("root", "h").alias("cluster")))
-    keepers = kinds.groupBy("cluster").agg(F.sum("n").alias("n"), F.min("first").alias("keeper")).where("n > 1").drop("n")
-    known = kinds.select("h", "cluster").join(keepers, "cluster")
-    found = units.select("uid", "doc_id", "pos", "start", "end", "n_words", "h").join(known, "h")
-    rows = Window.partitionBy("uid").orderBy("pos")
-    found = found.withColumn("run", F.col("pos") - F.row_number().over(rows))
-    found = found.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("uid", "run")))
-    return found.where(F.col("run_words") >= least_run).select(
-        "doc_id", "start", "end", "n_words", F.lower(F.hex("cluster")).alias("cluster"), F.col("keeper.doc_id").alias("keeper_id"),
+    kinds = units.groupBy("h").agg(F.min("uid").alias("least"), F.max("uid").alias("last"), F.min(place).alias("first"))
+    kinds = kinds.join(linked, kinds["h"] == linked["node"], "left").where("least <> last or node is not null")
+    kinds = materialize(kinds.select("h", "least", "last", "first", F.coalesce("root", "h").alias("cluster")))
+    keepers = kinds.groupBy("cluster").agg(F.min("first").alias("keeper"), F.min("least").alias("least"), F.max("last").alias("last")).where("least <> last")
+    known = kinds.select("h", "cluster").join(keepers.select("cluster", "keeper"), "cluster")
+    found = units.select("uid", "doc_id", "pos", "start", "end", "word", "n_words", "h").join(known, "h")
+    order = Window.partitionBy("uid").orderBy("pos")
+    run = Window.partitionBy("uid", "run")
+    found = found.withColumn("run", F.col("pos") - F.row_number().over(order))
+    # What stands next to two copies of a paragraph, or more, is part of their passage too.
+    beside = rows.where("h is null").select("uid", "pos", "k", "side", "edge", "n_words", "start")
+    asked = beside.select("k", "side").distinct()
+    same = F.when(F.col("side").bitwiseAND(F.lit(EQUAL)) > 0, F.col("k"))
+    near_by = lambda step: F.when(F.lead("pos", step).over(order) == F.col("pos") + step, F.lead(same, step).over(order))
+    pairs = units.select("k", *(near_by(step).alias(name) for name, step in (("left", -1), ("right", 1))))
+    pairs = pairs.select("k", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(name).alias("other")) for s, name in ((0, "left"), (1, "right"))))).alias("p"))
+    pairs = pairs.select("k", "p.*").join(asked, ["k", "side"], "left_semi").where("other is not null").distinct()
+    inner = pairs.join(texts.select(F.col("k").alias("other"), "words"), "other").select("k", "side", "words").mapInArrow(_beside, "edge long")
+    common = beside.groupBy("edge").count().where("count > 1").select("edge").unionByName(inner).distinct()
+    furthest = [F.max(F.when(F.col("side") == k, F.struct("n_words", "start"))).alias(name) for k, name in ((0, "left"), (1, "right"))]
+    more = materialize(beside.join(common, "edge", "left_semi").groupBy("uid", "pos").agg(*furthest))
+    found = found.join(more, ["uid", "pos"], "left")
+    low, high = F.col("word") - F.coalesce("left.n_words", F.lit(0)), F.col("word") + F.col("n_words") + F.coalesce("right.n_words", F.lit(0))
+    ends = {"low": F.min(low), "high": F.max(high), "from": F.min(F.coalesce("left.start", "start")), "to": F.max(F.coalesce("right.start", "end")), "head": F.min("pos"), "tail": F.max("pos")}
+    found = found.withColumns({name: end.over(run) for name, end in ends.items()})
+    first, last = F.col("pos") == F.col("head"), F.col("pos") == F.col("tail")
+    begin, stop = F.when(first, F.col("low")).otherwise(F.col("word")), F.when(last, F.col("high")).otherwise(F.col("word") + F.col("n_words"))
+    return found.where(F.col("high") - F.col("low") >= least_run).select(
+        "doc_id",
+        F.when(first, F.col("from")).otherwise(F.col("start")).alias("start"),
+        F.when(last, F.col("to")).otherwise(F.col("end")).alias("end"),
+        (stop - begin).cast("int").alias("n_words"),
+        F.lower(F.hex("cluster")).alias("cluster"),
+        F.col("keeper.doc_id").alias("keeper_id"),
         ((F.col("keeper.uid") != F.col("uid")) | (F.col("keeper.pos") != F.col("pos"))).alias("removed"),
-    )
+    )
 
 
 def op2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
