@@ -268,28 +268,29 @@ def _placed(source: DataFrame) -> DataFrame:
     return source.select("key", "text").mapInArrow(run, "key binary, pos int, k long")
 
 
-def _edges(k: int, words: list[bytes], starts: list[int], side: int):
-    """Number, outer end and key of the words after (side 1) or before (0) paragraph ``k``, the nearest first."""
-    state = xxhash.xxh3_64((k & (1 << 64) - 1).to_bytes(8) + bytes([side]))
-    for n, (word, at) in enumerate(zip(words, starts, strict=True), 1):
+def _edge(words: list[bytes], starts: list[int], side: int) -> tuple[list[int], list[int]]:
+    """Hashes of the first 1, 2 and so on of the words that follow (side 1) or precede (0) a paragraph, and their outer ends."""
+    state, hashes = xxhash.xxh3_64(), []
+    for word in words:
         state.update(word + b" ")
-        yield n, at + len(word.decode("utf-8", "surrogatepass")) if side else at, state.intdigest()
+        hashes.append((state.intdigest() & 0xFFFFFFFF) - (1 << 31))
+    return hashes, [at + len(w.decode("utf-8", "surrogatepass")) for w, at in zip(words, starts, strict=True)] if side else starts
 
 
 def _candidates(chosen: DataFrame, least_run: float) -> DataFrame:
     """Rows for the chosen paragraphs of texts, and rows for the words next to those after which a passage may end.
 
     ``chosen`` has ``doc_id``, ``text`` and ``at``, an array of place * 4 + flags. A paragraph has ``h``, and the
-    first of its kind in a task its ``words``; its flags are in ``side``. A row without ``h`` says that the paragraph at ``pos`` is
-    followed (``side`` 1) or preceded (0) by ``n_words`` words of hash ``edge``, up to ``start``, where its
-    neighbour has no equal.
+    first of its kind in a task its ``words``; its flags are in ``side``. A row without ``h`` says what
+    follows (``side`` 1) or precedes (0) the paragraph at ``pos``, which has an equal, where its neighbour
+    has none: ``edge`` has the hashes of the next 1 to REACH words and ``places`` their outer ends.
     """
     whole, none = F.lit(0).cast("int"), F.lit(None)
     schema = chosen.select(
         F.lit(0).cast("long").alias("uid"), "doc_id", whole.alias("pos"), whole.alias("start"), whole.alias("end"), whole.alias("word"), whole.alias("n_words"), none.cast("long").alias("k"),
-        none.cast("binary").alias("h"), none.cast("binary").alias("words"), none.cast("int").alias("side"), none.cast("long").alias("edge"),
+        none.cast("binary").alias("h"), none.cast("binary").alias("words"), none.cast("int").alias("side"), none.cast("array<int>").alias("edge"), none.cast("array<int>").alias("places"),
     ).schema
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.uint64(), pa.binary(), pa.binary(), pa.int32(), pa.uint64()]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.uint64(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
     def run(batches):
         seen = set()
@@ -306,27 +307,27 @@ def _candidates(chosen: DataFrame, least_run: float) -> DataFrame:
             for i, (text, at) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 flags = {x >> 2: x & 3 for x in at}
                 units = list(_split(text or ""))
-                words, starts = [w for u in units for w in u[2]], [x for u in units for x in u[4].tolist()]
                 bounds = np.cumsum([0, *(len(u[2]) for u in units)]).tolist()
                 names = {}
                 for pos in sorted(flags):
                     line = b" ".join(units[pos][2])
                     h, names[pos] = xxhash.xxh3_128_digest(line), xxhash.xxh3_64_intdigest(line)
-                    add(i, uid + i, pos, *units[pos][:2], bounds[pos], len(units[pos][2]), names[pos], h, None if h in seen else line, flags[pos], None)
+                    add(i, uid + i, pos, *units[pos][:2], bounds[pos], len(units[pos][2]), names[pos], h, None if h in seen else line, flags[pos], None, None)
                     seen.add(h)
                 # A stretch of chosen paragraphs that may be a passage, or hold one, with what is next to it.
                 stretch: list[int] = []
                 for pos in [*sorted(flags), None]:
                     if stretch and (pos is None or pos > stretch[-1] + 1):
                         low, high = bounds[stretch[0]], bounds[stretch[-1] + 1]
-                        if min(low, REACH) + high - low + min(len(words) - high, REACH) >= least_run:
+                        if min(low, REACH) + high - low + min(bounds[-1] - high, REACH) >= least_run:
                             for p in stretch:
-                                low, high = bounds[p], bounds[p + 1]
-                                for side, beside, part in ((0, p - 1, slice(max(0, low - REACH), low)), (1, p + 1, slice(high, high + REACH))):
-                                    if not flags.get(beside, 0) & EQUAL:
+                                for side, beside in ((0, p - 1), (1, p + 1)):
+                                    if flags[p] & EQUAL and 0 <= beside < len(units) and not flags.get(beside, 0) & EQUAL:
+                                        part = units[p + 1 : p + 9] if side else units[max(0, p - 8) : p][::-1]
                                         step = 1 if side else -1
-                                        for n, place, key in _edges(names[p], words[part][::step], starts[part][::step], side):
-                                            add(i, uid + i, p, place, place, 0, n, names[p], None, None, side, key)
+                                        words = [w for u in part for w in u[2][::step]][:REACH]
+                                        edge, places = _edge(words, [x for u in part for x in u[4][::step].tolist()][:REACH], side)
+                                        add(i, uid + i, p, 0, 0, 0, 0, names[p], None, None, side, edge, places)
                         stretch = []
                     stretch.append(pos)
             if len(seen) > HOLD:
@@ -340,13 +341,11 @@ def _candidates(chosen: DataFrame, least_run: float) -> DataFrame:
 
 
 def _beside(batches):
-    """The edges between paragraphs that both have an equal one: ``k``, ``side`` and the ``words`` of the neighbour."""
+    """The edges of paragraphs at neighbours that have an equal one too: ``k``, ``side`` and the ``words`` of the neighbour."""
     for batch in batches:
-        edges = []
-        for k, side, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = line.split(b" ")[:: 1 if side else -1]
-            edges += [key for *_, key in _edges(k, words, [0] * len(words), side)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(edges, np.uint64).view(np.int64))], names=["edge"])
+        split = [line.split(b" ")[:: 1 if side else -1] for side, line in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        edges = [_edge(words, [0] * len(words), 0)[0] for words in split]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(edges, pa.list_(pa.int32()))], names=["k", "side", "edge"])
 
 
 def _compare(batches):
@@ -431,18 +430,22 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     order = Window.partitionBy("uid").orderBy("pos")
     run = Window.partitionBy("uid", "run")
     found = found.withColumn("run", F.col("pos") - F.row_number().over(order))
-    # What stands next to two copies of a paragraph, or more, is part of their passage too.
-    beside = rows.where("h is null").select("uid", "pos", "k", "side", "edge", "n_words", "start")
-    asked = beside.select("k", "side").distinct()
+    # What stands next to two copies of a paragraph, or more, is part of their passage too. With the edges of
+    # a paragraph in order, the longest one that an edge shares with any other it shares with the one before or after.
+    beside = rows.where("h is null").select("uid", "pos", "k", "side", "edge", "places")
     same = F.when(F.col("side").bitwiseAND(F.lit(EQUAL)) > 0, F.col("k"))
     near_by = lambda step: F.when(F.lead("pos", step).over(order) == F.col("pos") + step, F.lead(same, step).over(order))
     pairs = units.select("k", *(near_by(step).alias(name) for name, step in (("left", -1), ("right", 1))))
     pairs = pairs.select("k", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(name).alias("other")) for s, name in ((0, "left"), (1, "right"))))).alias("p"))
-    pairs = pairs.select("k", "p.*").join(asked, ["k", "side"], "left_semi").where("other is not null").distinct()
-    inner = pairs.join(texts.select(F.col("k").alias("other"), "words"), "other").select("k", "side", "words").mapInArrow(_beside, "edge long")
-    common = beside.groupBy("edge").count().where("count > 1").select("edge").unionByName(inner).distinct()
-    furthest = [F.max(F.when(F.col("side") == k, F.struct("n_words", "start"))).alias(name) for k, name in ((0, "left"), (1, "right"))]
-    more = materialize(beside.join(common, "edge", "left_semi").groupBy("uid", "pos").agg(*furthest))
+    pairs = pairs.select("k", "p.*").join(beside.select("k", "side").distinct(), ["k", "side"], "left_semi").where("other is not null").distinct()
+    inner = pairs.join(texts.select(F.col("k").alias("other"), "words"), "other").select("k", "side", "words").mapInArrow(_beside, "k long, side int, edge array<int>")
+    edges = beside.unionByName(inner, allowMissingColumns=True).where(F.size("edge") > 0).withColumn("next", F.element_at("edge", 1))
+    sorted_edges = Window.partitionBy("k", "side", "next").orderBy("edge")
+    shared = lambda other: F.aggregate(F.zip_with("edge", other, lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + F.coalesce(x, F.lit(0)))
+    edges = edges.withColumn("n", F.greatest(*(F.coalesce(shared(f("edge").over(sorted_edges)), F.lit(0)) for f in (F.lag, F.lead)))).where("uid is not null and n > 0")
+    reach = F.struct(F.col("n").alias("n_words"), F.element_at("places", F.col("n")).alias("start"))
+    furthest = [F.max(F.when(F.col("side") == k, reach)).alias(name) for k, name in ((0, "left"), (1, "right"))]
+    more = materialize(edges.groupBy("uid", "pos").agg(*furthest))
     found = found.join(more, ["uid", "pos"], "left")
     low, high = F.col("word") - F.coalesce("left.n_words", F.lit(0)), F.col("word") + F.col("n_words") + F.coalesce("right.n_words", F.lit(0))
     ends = {"low": F.min(low), "high": F.max(high), "from": F.min(F.coalesce("left.start", "start")), "to": F.max(F.coalesce("right.start", "end")), "head": F.min("pos"), "tail": F.max("pos")}
