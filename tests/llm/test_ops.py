@@ -289,7 +289,8 @@ def test_mixing_meets_its_weights(spark):
 # 4
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize("split", [1 << 18, 400])
+def test_neighbours(spark, split):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 16)) + rng.integers(0, 8, (3000, 1))
     x[100:900] = x[100]  # a hot vector, and ties
@@ -297,7 +298,7 @@ def test_neighbours(spark):
     rows += [(3000, None, ""), (3020, [0.0] * 16, ""), (3040, [float("nan")] * 16, ""), (3060, [1.0, None] * 8, ""), (3080, [1.0] * 3, ""), (3100, [float("inf")] * 16, "")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
     got = defaultdict(list)
-    for r in sorted(op4_ann.search(df, partition_rows=300, sample=1000).collect(), key=lambda r: (r.query_id, r.rank)):
+    for r in sorted(op4_ann.search(df, sample=1000, split_rows=split).collect(), key=lambda r: (r.query_id, r.rank)):
         got[r.query_id].append((r.vec_id, r.score))
     assert set(got) == set(range(0, 3000, 20)) and all(len(g) == 20 for g in got.values())
     hits = 0
@@ -309,10 +310,40 @@ def test_neighbours(spark):
         assert all(score == (x[v] * x[q]).sum() for v, score in found) and [k for k in found] == sorted(found, key=lambda k: (-k[1], k[0]))
     assert hits / (20 * len(got)) >= 0.9
     assert op4_ann.search(df.limit(0)).count() == 0
+    twice = op4_ann.search(df.where("vec_id < 2").union(df.where("vec_id = 1"))).collect()  # a repeated id gives repeated candidates
+    assert [(r.query_id, r.rank, r.vec_id) for r in sorted(twice, key=lambda r: r.rank)] == [(0, 1, 1), (0, 2, 1)]
     few = op4_ann.search(df.where("vec_id < 4")).collect()
     assert sorted((r.query_id, r.rank) for r in few) == [(0, 1), (0, 2), (0, 3)]
 
 
+def test_neighbours_by_the_defaults(spark):
+    """The registered query on a whole table: recall against brute force, by several partitions."""
+    rows = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet").collect()
+    ids = np.array([r.vec_id for r in rows if r.embedding and any(r.embedding)])
+    x = np.array([r.embedding for r in rows if r.embedding and any(r.embedding)], float)
+    ids, x = ids[np.isfinite(x).all(axis=1)], x[np.isfinite(x).all(axis=1)]
+    assert op4_ann.fit_router(x).w2.shape[1] > 8
+    found = defaultdict(set)
+    for r in op4_ann.op4_ann(spark, f"{DATA}/sf0.1").collect():
+        found[r.query_id].add(r.vec_id)
+    hits = []
+    for i in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[i]
+        score[i] = -np.inf
+        hits.append(len(found[ids[i]] & set(ids[np.lexsort((ids, -score))[:20]].tolist())))
+    assert sum(hits) / (20 * len(hits)) >= 0.9
+
+
+def test_huge_components_and_several_lengths(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 4)) * 1e300
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100 + i, v.tolist()) for i, v in enumerate(rng.normal(size=(30, 3)))]
+    got = op4_ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.query_id for r in got} == {0, 20, 40, 100, 120}
+    assert all((r.query_id < 100) == (r.vec_id < 100) for r in got)
+    assert all(sum(r.query_id == q for r in got) == 20 for q in (0, 20, 40, 100, 120))
+
+
 # 5
 
 
@@ -341,11 +372,19 @@ def test_ledger_scans_only_what_is_new(spark):
     assert op5_secrets.update_ledger(one, path).count() == 2
     two = spark.createDataFrame([(1, "token=abcdef1"), (4, "y"), (5, None)], "doc_id long, text string")
     assert op5_secrets.update_ledger(two, path).count() == 4
-    assert op5_secrets.update_ledger(two, path, version="2").count() == 3
+    assert op5_secrets.update_ledger(two, path, rules=op5_secrets.BASE_RULES).count() == 3
     found = {r.doc_id: len(r.secrets) for r in op5_secrets.scan_secrets(two, path).collect()}
     assert found == {1: 1, 4: 0, 5: 0}
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_copies_of_a_secret_are_joined_in_pieces(spark, monkeypatch, most):
+    monkeypatch.setattr(op5_secrets, "MOST_SPANS", most)
+    df = spark.createDataFrame([(i, "token=abcdef1" if i % 3 else None, i) for i in range(60)], "doc_id long, text string, salt int")
+    got = op5_secrets.redact(df)
+    assert got.columns == df.columns and sorted(tuple(r) for r in got.collect()) == [(i, "[SECRET]" if i % 3 else None, i) for i in range(60)]
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "😀 token=abcdef1 and " + "0f" * 12 + "."), (2, None), (3, "clean")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in op5_secrets.redact(df).collect()} == {1: "😀 [SECRET] and [SECRET].", 2: None, 3: "clean"}
@@ -417,9 +456,90 @@ def test_url_model_learns(spark):
     assert sum(r.verdict == ("block" if r.page_id % 2 else "allow") for r in got) >= 95
 
 
+def test_url_models_like_brute_force(spark):
+    """Scores by counts in dictionaries, also where nearly all counts are pooled; long URLs and ties too."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdeé%") for _ in range(n))
+    rows = [(f"http://{word(9)}/{word(5)}".encode(), bool(i % 3)) for i in range(200)]
+    model = op7_urls.train(spark.createDataFrame(rows, "url binary, block boolean"))
+    counts = [Counter(), Counter()]
+    for url, block in rows:
+        padded = b"\n" * 4 + url + b"\n"
+        for at in range(4, len(padded)):
+            for o in range(5):
+                counts[block][padded[at - o : at + 1]] += 1
+                counts[block][("context", padded[at - o : at])] += 1
+
+    def brute(url):
+        padded, logs = b"\n" * 4 + url + b"\n", [0.0, 0.0]
+        for at in range(4, len(padded)):
+            for k in (0, 1):
+                p = 1 / 256
+                for o in range(5):
+                    p = (counts[k][padded[at - o : at + 1]] + 2 * p) / (counts[k]["context", padded[at - o : at]] + 2)
+                logs[k] += np.log(max(p, 1e-12))
+        return (logs[0] - logs[1]) / (len(url) + 1)
+
+    asked = [b"", b"x", rows[0][0], rows[1][0], ("http://" + word(30_000)).encode(), rows[0][0]]
+    assert np.allclose(model.difference(asked), [brute(u) for u in asked])
+    pooled = op7_urls.train(spark.createDataFrame(rows, "url binary, block boolean"), most=10)
+    assert len(pooled.keys) <= 10 and np.isfinite(pooled.difference(asked)).all()
+
+
 # 8
 
 
+def brute_language(docs, text):
+    """Counts in dictionaries, every word scored by itself, the best path by all steps: the language and its share of letters."""
+    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    grams = lambda w: [f"<{w}>"[i : i + 3] for i in range(len(w))]
+    n = defaultdict(Counter)
+    for lang, t in docs:
+        for w in words(t):
+            n[lang].update(grams(w))
+    langs, distinct = sorted(n), len({g for c in n.values() for g in c})
+    total = {k: sum(n[k].values()) for k in langs}
+    score = lambda w, k: sum(np.log((n[k][g] + 0.05) / (total[k] + 0.05 * (distinct + 1))) for g in grams(w))
+    found = words(text)
+    if not found:
+        return "und", 0.0
+    best, back = [score(found[0], k) for k in langs], []
+    for w in found[1:]:
+        top = int(np.argmax(best))
+        back.append([i if best[i] >= best[top] - 8 else top for i in range(len(langs))])
+        best = [max(b, best[top] - 8) + score(w, k) for b, k in zip(best, langs, strict=True)]
+    path = [int(np.argmax(best))]
+    for step in reversed(back):
+        path.append(step[path[-1]])
+    letters = Counter()
+    for k, w in zip(reversed(path), found, strict=True):
+        letters[langs[k]] += len(w)
+    lang = max(langs, key=lambda k: letters[k])
+    return lang, letters[lang] / sum(letters.values())
+
+
+def test_languages_like_brute_force(spark):
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("lang", "text").where("lang is not null").limit(60).collect()
+    docs = [(r.lang, (r.text or "")[:400]) for r in rows]
+    half = len(docs) // 2
+    texts = [t for _, t in docs[half:]] + [docs[0][1] + " " + docs[1][1], "½ ²", "① ②", "x² y", None, ""]
+    model = op8_langid.train(spark.createDataFrame(docs[:half], "lang string, text string"))
+    got = op8_langid.Labeller(model).label(texts)
+    want = [brute_language(docs[:half], t if t not in ("½ ²", "① ②", "x² y") else {"x² y": "x y"}.get(t, "")) for t in texts]
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want])
+
+
+def test_pooled_trigrams_lose_little(spark, monkeypatch):
+    """With nearly all trigrams in pools the held-out accuracy stays."""
+    monkeypatch.setattr(op8_langid, "CELLS", 400)
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    model = op8_langid.train(op8_langid.learned(docs))
+    assert len(model.keys) <= 400 // len(model.langs)
+    held = docs.where(op8_langid._remainder("doc_id", 5) == 0).select("lang", "text").collect()
+    got = op8_langid.Labeller(model).label([r.text for r in held])
+    assert sum(g[0] == r.lang for g, r in zip(got, held, strict=True)) / len(held) > 0.95
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     for _ in range(300):

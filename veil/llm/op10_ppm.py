@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veil.llm.arrow import blocks
-from veil.sources import materialize, read_table, ship
+from veil.sources import drop_table, materialize, read_table, ship
 
 #: Longest context in bytes.
 ORDER = 5
@@ -255,15 +255,20 @@ def code_scores(counts: DataFrame, order: int = ORDER, most_shared: int = MOST_S
             return pa.Table.from_arrays([rows.column("code"), rows.column("m"), pa.array(trie.symbols(code))], names=["code", "m", "p"]).to_batches()
 
         held: list[pa.RecordBatch] = []
+        count, first = 0, None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held.append(batch)
-            if sum(map(len, held)) >= PART:
+            count += batch.num_rows
+            ending = batch.column("ending")
+            first, last = ending[0].as_py() if first is None else first, ending[-1].as_py()
+            if count >= PART and first != last:  # whole endings wait here: none is put together twice
                 rows = pa.Table.from_batches(held)
-                ends = rows.column("ending").to_numpy()
-                whole = int(np.searchsorted(ends, ends[-1]))
-                if whole:
-                    yield from part(rows.slice(0, whole).combine_chunks())
-                    held = rows.slice(whole).combine_chunks().to_batches()
+                whole = int(np.searchsorted(rows.column("ending").to_numpy(), last))
+                yield from part(rows.slice(0, whole).combine_chunks())
+                held = rows.slice(whole).combine_chunks().to_batches()
+                count, first = rows.num_rows - whole, last
         if held:
             yield from part(pa.Table.from_batches(held).combine_chunks())
 
@@ -289,7 +294,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     row = vocab.agg(F.sum("c"), F.count("*")).first()
     n, v = row[0] or 0, row[1]
     floor = n + ALPHA * (v + 1)
-    probabilities = materialize(code_scores(materialize(code_counts(source.withColumn("held", _held("doc_id", folds)), order)), order, most_shared))
+    counts = materialize(code_counts(source.withColumn("held", _held("doc_id", folds)), order))
+    probabilities = materialize(code_scores(counts, order, most_shared))
+    drop_table(counts)
     top = probabilities.where(F.col("m") >= _at_least(probabilities, "m", most_codes)).select("code", "p").sort("code").toArrow()
     table = spark.sparkContext.broadcast((top.column(0).to_numpy(), top.column(1).to_numpy()))
     common = vocab.where(F.col("c") >= _at_least(vocab, "c", most_words)).toArrow()

@@ -19,6 +19,8 @@ BUDGET = 2
 ROOT_LIMIT = 1 << 20
 #: Fingerprints, and node pairs, that a task holds at once.
 CHUNK = 1 << 19
+#: A fingerprint that more than one row in this many has is hot.
+HOT = 1000
 #: Two of the four 16-bit blocks of two fingerprints with at most two differing bits are equal.
 BLOCK_PAIRS = ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))
 _digest = functools.partial(xxhash.xxh64_intdigest, seed=SEED)
@@ -185,8 +187,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     ship(docs.sparkSession)
     fps = materialize(fingerprints(docs, id_col, text_col))
-    label = _labels(materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))))
-    return fps.join(label, "fp").select("doc_id", "fp", "component_id")
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    label = materialize(_labels(nodes.select("fp", "rep")))
+    # Under HOT fingerprints have more than that share of all rows, so their labels may be sent to the rows.
+    share = (nodes.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot = nodes.where(F.col("n") > share).select("fp")
+    named = F.broadcast(label.join(F.broadcast(hot), "fp", "left_semi").withColumnRenamed("component_id", "hot_id"))
+    rows = fps.join(named, "fp", "left")
+    often = rows.where("hot_id is not null").select("doc_id", "fp", F.col("hot_id").alias("component_id"))
+    return often.unionByName(rows.where("hot_id is null").select("doc_id", "fp").join(label, "fp").select("doc_id", "fp", "component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

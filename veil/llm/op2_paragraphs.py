@@ -26,8 +26,6 @@ RADIUS = 6
 APART, INNER = 7, 3
 #: Words after which a paragraph ends where none of these comes; RADIUS words or fewer that are left over stay with it.
 MOST_WORDS = 24
-#: Words next to a run of repeated paragraphs that are looked at.
-REACH = MOST_WORDS + RADIUS
 #: Members of a bucket that one task compares; larger buckets are cut into blocks and all pairs of blocks compared.
 BLOCK = 4096
 #: Members with which all others of a bucket are compared first, as most buckets are one group of near copies.
@@ -283,7 +281,8 @@ def _candidates(chosen: DataFrame, least_run: float) -> DataFrame:
     ``chosen`` has ``doc_id``, ``text`` and ``at``, an array of place * 4 + flags. A paragraph has ``h``, and the
     first of its kind in a task its ``words``; its flags are in ``side``. A row without ``h`` says what
     follows (``side`` 1) or precedes (0) the paragraph at ``pos``, which has an equal, where its neighbour
-    has none: ``edge`` has the hashes of the next 1 to REACH words and ``places`` their outer ends.
+    has none: ``edge`` has the hashes of the next 1, 2 and so on of the neighbour's words and a
+    few more, and ``places`` their outer ends.
     """
     whole, none = F.lit(0).cast("int"), F.lit(None)
     schema = chosen.select(
@@ -318,15 +317,15 @@ def _candidates(chosen: DataFrame, least_run: float) -> DataFrame:
                 stretch: list[int] = []
                 for pos in [*sorted(flags), None]:
                     if stretch and (pos is None or pos > stretch[-1] + 1):
-                        low, high = bounds[stretch[0]], bounds[stretch[-1] + 1]
-                        if min(low, REACH) + high - low + min(bounds[-1] - high, REACH) >= least_run:
+                        near = units[max(0, stretch[0] - 1) : stretch[-1] + 2]
+                        if sum(len(u[2]) for u in near) + 2 * RADIUS >= least_run:
                             for p in stretch:
                                 for side, beside in ((0, p - 1), (1, p + 1)):
                                     if flags[p] & EQUAL and 0 <= beside < len(units) and not flags.get(beside, 0) & EQUAL:
                                         part = units[p + 1 : p + 9] if side else units[max(0, p - 8) : p][::-1]
-                                        step = 1 if side else -1
-                                        words = [w for u in part for w in u[2][::step]][:REACH]
-                                        edge, places = _edge(words, [x for u in part for x in u[4][::step].tolist()][:REACH], side)
+                                        step, most = 1 if side else -1, len(units[beside][2]) + RADIUS
+                                        words = [w for u in part for w in u[2][::step]][:most]
+                                        edge, places = _edge(words, [x for u in part for x in u[4][::step].tolist()][:most], side)
                                         add(i, uid + i, p, 0, 0, 0, 0, names[p], None, None, side, edge, places)
                         stretch = []
                     stretch.append(pos)

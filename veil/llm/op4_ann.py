@@ -1,24 +1,32 @@
 """Approximate nearest neighbours: balanced partitions of a neighbour graph and a classifier that routes queries."""
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veil.sources import materialize, read_table, ship
+from veil.sources import drop_table, materialize, read_table, ship
 
 TOP = 20
 EVERY = 20
 #: Vectors on which partitions and classifier are fitted, on the driver; a fixed bound for any table.
 SAMPLE = 4096
-#: Rows that a partition should hold, and the most partitions that the sample can teach.
-PARTITION_ROWS, MOST_PARTITIONS = 2000, 128
+#: Sampled vectors that a partition has at least; the sample's size alone says how many partitions there are.
+PART_SAMPLE = 32
+#: Rows of a partition that is partitioned again, by a sample of its own.
+SPLIT_ROWS = 1 << 18
 #: Neighbours of each sampled vector in the graph.
 DEGREE = 16
 #: Queries go to the most probable partitions until they hold this much of the expected neighbours.
 MASS = 0.97
-#: Rows and queries of one block of a partition that a task compares.
-BLOCK, QUERY_BLOCK = 4096, 1024
+#: Numbers in one block of rows, or of queries, of a partition that a task holds, and queries that it compares at once.
+BLOCK, QUERY_BLOCK = 1 << 21, 1024
+#: Rows that a task compares at once.
+ROW_SLICE = 4096
+#: Partitions of one router at most, as the sample is bounded.
+MOST_PARTS = SAMPLE // PART_SAMPLE
 #: Scores of a matrix product this close to the last place are computed anew, one by one, in a fixed order.
 CLOSE = 1e-9
 
@@ -107,50 +115,80 @@ class Router:
         return self._softmax(h @ self.w2 + self.b2)
 
 
-def fit(vectors: DataFrame, rows: int, sample: int = SAMPLE, partition_rows: int = PARTITION_ROWS) -> Router | None:
-    """Partitions and router from ``sample`` vectors: those with the smallest hashes of vector and id."""
-    some = vectors.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(sample).select("v").toArrow().column(0).combine_chunks()
-    if not len(some):
-        return None
-    x = _matrix(some)
+def fit_router(x: np.ndarray, part_sample: int = PART_SAMPLE) -> Router:
+    """Partitions of the neighbour graph of sampled vectors, and the router that learns them."""
     parts = 1
-    while parts < min(MOST_PARTITIONS, rows / partition_rows, len(x) / 32):
+    while 2 * parts * part_sample <= len(x):
         parts *= 2
     if parts == 1:
         return Router(x[:1], np.ones((1, 1)), rounds=0)
-    graph = neighbour_graph(Router._unit(x))
-    part = partition_graph(graph, parts)
+    part = partition_graph(neighbour_graph(Router._unit(x)), parts)
     target = np.zeros((len(x), parts))
-    near = neighbour_graph(x, TOP)
+    near = neighbour_graph(Router._unit(x) if not np.isfinite(x @ x.T).all() else x, TOP)
     for k in range(near.shape[1]):
         np.add.at(target, (np.arange(len(x)), part[near[:, k]]), 1)
     target[np.arange(len(x)), part] += 2
     return Router(x, target / target.sum(axis=1, keepdims=True))
 
 
+def fit(vectors: DataFrame, sample: int = SAMPLE, part_sample: int = PART_SAMPLE) -> Router:
+    """Partitions and router from ``sample`` vectors: those with the smallest hashes of vector and id."""
+    some = vectors.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(sample).select("v").toArrow().column(0).combine_chunks()
+    return fit_router(_matrix(some), part_sample)
+
+
+def fit_within(placed: DataFrame, large: DataFrame, sample: int = SAMPLE, part_sample: int = PART_SAMPLE) -> dict[int, Router]:
+    """A router for each of the partitions ``large`` (``part, rows``), each fitted in a task on a sample of its rows."""
+    rate = F.lit(float(sample)) / F.col("rows")
+    drawn = (F.xxhash64("vec_id", "v", F.lit(5)) / F.lit(float(1 << 63)) + 1) / 2 < rate
+    some = placed.join(F.broadcast(large), "part").where(drawn).select("part", "v")
+
+    def train(table: pa.Table) -> pa.Table:
+        made = fit_router(_matrix(table.column("v").combine_chunks())[: 2 * sample], part_sample)
+        return pa.table({"part": table.column("part").slice(0, 1), "router": pa.array([pickle.dumps(made)], pa.binary())})
+
+    return {r.part: pickle.loads(r.router) for r in some.groupBy("part").applyInArrow(train, "part int, router binary").collect()}
+
+
 def _matrix(column) -> np.ndarray:
     flat = column.values if hasattr(column, "values") else column.flatten()
     return flat.slice(column.offsets[0].as_py(), column.offsets[-1].as_py() - column.offsets[0].as_py()).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _routed(rows: DataFrame, router, mass: float | None) -> DataFrame:
-    """``vec_id, part, nth, v``: the most probable partition, or with ``mass`` each of the most probable up to it."""
-    sent = rows.sparkSession.sparkContext.broadcast(router)
+def _routed(rows: DataFrame, routers: dict[int, Router], mass: float | None) -> DataFrame:
+    """``vec_id, part, nth, v``: the most probable partition, or with ``mass`` each of the most probable up to it.
+
+    ``routers`` has the first router by -1, and by the number of a partition of that one its own, if it has one.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(routers)
+
+    def visits(router: Router, x: np.ndarray):
+        """Rows of ``x``, partitions and their places in the order of a row."""
+        shares = router.shares(x)
+        if mass is None:
+            return np.arange(len(shares)), shares.argmax(axis=1), np.zeros(len(shares), np.int64)
+        order = np.argsort(-shares, axis=1, kind="stable")
+        before = np.cumsum(np.take_along_axis(shares, order, 1), axis=1) - np.take_along_axis(shares, order, 1)
+        at, k = np.nonzero(before < mass)
+        return at, order[at, k], k
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            shares = sent.value.shares(_matrix(batch.column(1)))
-            if mass is None:
-                at, part, k = np.arange(len(shares)), shares.argmax(axis=1), np.zeros(len(shares), np.int64)
-            else:
-                order = np.argsort(-shares, axis=1, kind="stable")
-                before = np.cumsum(np.take_along_axis(shares, order, 1), axis=1) - np.take_along_axis(shares, order, 1)
-                at, k = np.nonzero(before < mass)
-                part = order[at, k]
+            x = _matrix(batch.column(1))
+            found = []
+            at, part, nth = visits(sent.value[-1], x)
+            for p in np.unique(part):
+                here = part == p
+                if int(p) in sent.value:
+                    inner, sub, k = visits(sent.value[int(p)], x[at[here]])
+                    found.append((at[here][inner], (p + 1) * MOST_PARTS + sub, nth[here][inner] + k))
+                else:
+                    found.append((at[here], part[here], nth[here]))
+            at, part, nth = (np.concatenate(c) for c in zip(*found, strict=True))
             pick = pa.array(at)
-            columns = [batch.column(0).take(pick), pa.array(part.astype(np.int32)), pa.array(k.astype(np.int32)), batch.column(1).take(pick)]
+            columns = [batch.column(0).take(pick), pa.array(part.astype(np.int32)), pa.array(nth.astype(np.int32)), batch.column(1).take(pick)]
             yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "part", "nth", "v"])
 
     return rows.select("vec_id", "v").mapInArrow(run, "vec_id long, part int, nth int, v array<double>")
@@ -161,17 +199,22 @@ def best(query_id: np.ndarray, query: np.ndarray, floor: np.ndarray, row_id: np.
 
     Rows that score less than the query's ``floor`` are left out: it has ``top`` others from elsewhere.
     """
-    approx = query @ row.T
+    # Very large components would overflow the product: both sides are scaled for it, the scores are not.
+    scale, width = np.abs(query).max(axis=1), np.abs(row).max()
+    approx = (query / scale[:, None]) @ (row / width).T
+    least = floor / scale / width
     same = query_id[:, None] == row_id[None, :]
     approx[same] = -np.inf
     k = min(top, approx.shape[1])
     last = np.partition(approx, approx.shape[1] - k, axis=1)[:, approx.shape[1] - k]
-    last = np.maximum(last, floor)
+    last = np.maximum(last, least)
     near = (approx >= (last - CLOSE * (1 + np.abs(last)))[:, None]) & ~same
     for i in range(len(query_id)):
         at = np.flatnonzero(near[i])
-        score = (row[at] * query[i]).sum(axis=1)
-        at, score = at[score >= floor[i]], score[score >= floor[i]]
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = (row[at] * query[i]).sum(axis=1)
+        keep = ~(score < floor[i])  # a sum of infinities is no number, but a candidate
+        at, score = at[keep], score[keep]
         order = np.lexsort((row_id[at], -score))[:top]
         yield np.full(len(order), query_id[i]), row_id[at][order], score[order]
 
@@ -184,52 +227,63 @@ def search(
     vector_col: str = "embedding",
     mass: float = MASS,
     sample: int = SAMPLE,
-    partition_rows: int = PARTITION_ROWS,
+    part_sample: int = PART_SAMPLE,
+    split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``top`` nearest rows found for each row whose id ``every`` divides.
 
     Every row is in the partition that the router finds most probable for it. A query visits its most
-    probable partitions, enough for ``mass`` of its expected neighbours, and all rows in them: partitions
-    are cut into blocks by a hash of the id, so one that holds a third of all rows (copies of a vector, say)
-    is many tasks' work. Scores are exact inner products in double precision. Null, zero and non-finite
-    vectors, and those of another length than the most common one, take no part; nor do null ids. A
-    repeated id gives repeated candidates, and a query never finds its own id. Empty in, empty out.
+    probable partitions, enough for ``mass`` of its expected neighbours, and all rows in them. A partition of
+    more than ``split_rows`` rows has partitions and a router of its own. Partitions are cut into blocks by a
+    hash of the id, so one that holds a third of all rows (copies of a vector, say) is many tasks' work.
+    Scores are exact inner products in double precision. Null, zero and non-finite vectors take no part; nor
+    do null ids. Vectors of different lengths have no inner product: those of each length are searched by
+    themselves. A repeated id gives repeated candidates, and a query never finds its own id. Empty in, empty out.
     """
-    ship(vectors.sparkSession)
+    spark = ship(vectors.sparkSession)
     v = F.col(vector_col)
     rows = vectors.where(F.col(id_col).isNotNull() & usable(v)).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dim, count = (sizes[0], sizes[1]) if sizes else (0, 0)
-    rows = rows.where(F.size("v") == dim)
-    router = fit(rows, count, sample, partition_rows)
-    if router is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    placed = materialize(_routed(rows, router, None))
-    blocks = placed.groupBy("part").count().select("part", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    blocks = F.broadcast(materialize(blocks))  # at most MOST_PARTITIONS rows
-    asked = materialize(_routed(rows.where(F.col("vec_id") % every == 0), router, mass))
-    met = _met(placed, asked.where("nth = 0").withColumn("floor", F.lit(float("-inf"))), blocks, top)
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for (length,) in rows.select(F.size("v")).distinct().orderBy(F.size("v")).collect():
+        out = out.unionByName(_search(rows.where(F.size("v") == length), length, every, top, mass, sample, part_sample, split_rows))
+    return out
+
+
+def _search(rows: DataFrame, length: int, every: int, top: int, mass: float, sample: int, part_sample: int, split_rows: int) -> DataFrame:
+    routers = {-1: fit(rows, sample, part_sample)}
+    placed = materialize(_routed(rows, routers, None))
+    large = materialize(placed.groupBy("part").agg(F.count("*").alias("rows")).where(F.col("rows") > split_rows))
+    if not large.isEmpty():
+        routers |= fit_within(placed, large, sample, part_sample)
+        first, placed = placed, materialize(_routed(rows, routers, None))
+        drop_table(first)
+    size = max(QUERY_BLOCK // 4, BLOCK // length)
+    blocks = materialize(placed.groupBy("part").count().select("part", F.ceil(F.col("count") / size).cast("int").alias("blocks")))
+    asked = materialize(_routed(rows.where(F.col("vec_id") % every == 0), routers, mass))
+    met = _met(placed, asked.where("nth = 0").withColumn("floor", F.lit(float("-inf"))), blocks, top, size)
     # The first partition of a query has most of its neighbours: the others send only what beats them.
     near = materialize(_ranked(met, top))
     floors = near.where(F.col("rank") == top).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
     rest = asked.where("nth > 0").join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    both = near.drop("rank").unionByName(_met(placed, rest, blocks, top))
+    both = near.drop("rank").unionByName(_met(placed, rest, blocks, top, size))
     return _ranked(both, top).select("query_id", "rank", "vec_id", "score")
 
 
 def _ranked(found: DataFrame, top: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.isnan("score"), F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= top)
 
 
-def _met(placed: DataFrame, asked: DataFrame, blocks: DataFrame, top: int) -> DataFrame:
+def _met(placed: DataFrame, asked: DataFrame, blocks: DataFrame, top: int, size: int) -> DataFrame:
     """``query_id, vec_id, score``: best rows of each query of ``asked`` in each block of its partition.
 
-    A block of rows meets a block of queries in one task; queries are as many blocks as their number needs.
+    A block of rows meets a block of queries in one task, both of ``size`` at most on average. A partition's
+    rows are sent once for each block of its queries, and partitions grow in number with the table.
     """
     asked = asked.drop("blocks")
-    groups = materialize(asked.groupBy("part").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("groups")))
-    groups = F.broadcast(groups)  # at most MOST_PARTITIONS rows
+    groups = materialize(asked.groupBy("part").agg(F.ceil(F.count("*") / size).cast("int").alias("groups")))
+    # A row a partition: MOST_PARTS of them, or its square where all are partitioned again.
+    groups, blocks = F.broadcast(groups), F.broadcast(blocks)
     of_id = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.col(n)).cast("int")
     left = placed.join(blocks, "part").join(groups, "part").withColumn("b", of_id(1, "blocks")).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     right = asked.join(blocks, "part").join(groups, "part").withColumn("g", of_id(2, "groups")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -242,7 +296,9 @@ def _met(placed: DataFrame, asked: DataFrame, blocks: DataFrame, top: int) -> Da
             floor = theirs.column("floor").to_numpy()
             for a in range(0, len(query_id), QUERY_BLOCK):
                 at = slice(a, a + QUERY_BLOCK)
-                found += best(query_id[at], query[at], floor[at], row_id, row, top)
+                for b in range(0, len(row_id), ROW_SLICE):
+                    part = slice(b, b + ROW_SLICE)
+                    found += best(query_id[at], query[at], floor[at], row_id[part], row[part], top)
         parts = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table([pa.array(p) for p in parts], names=["query_id", "vec_id", "score"])
 

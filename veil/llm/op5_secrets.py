@@ -1,8 +1,11 @@
 """Secret scans over a ledger of content-addressed texts, in DataFrame functions only."""
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veil.functions.scan import placed
 from veil.llm.names import spare
 from veil.sources import read_table, shared_dir
 
@@ -28,8 +31,10 @@ WHOLE_PEM = (
 )
 #: What is cut out of texts: the kind pem of RULES, which the SQL of op5_secrets fixes, ends with its header line.
 REDACTED = tuple((kind, WHOLE_PEM if kind == "pem" else pattern, *more) for kind, pattern, *more in RULES)
-#: Part of the ledger's key: a change of rules scans every text again.
-VERSION, REDACTED_VERSION = "1", "1-whole-keys"
+#: Spans that may be broadcast to the documents; where there are more, they are joined.
+MOST_SPANS = 200_000
+#: Pieces into which the copies of a text are dealt where its spans are joined to them.
+SALTS = 16
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
@@ -43,16 +48,9 @@ def _spans(text: Column, rank: int, rule: tuple) -> Column:
     literal = F.lit(pattern)
     matches = F.regexp_extract_all(text, literal, F.lit(0))
     counted = F.regexp_extract_all(text, literal, F.lit(group)) if group else matches
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), matches.alias("match"), counted.alias("counted"))
-
-    def add(found, x):
-        start = F.coalesce(F.try_element_at(found, F.lit(-1))["end"], F.lit(0)) + F.length(x["gap"])
-        span = F.struct(start.alias("start"), (start + F.length(x["match"])).alias("end"), F.length(x["counted"]).alias("n"))
-        return F.when(x["match"].isNull(), found).otherwise(F.concat(found, F.array(span)))
-
-    empty = F.array().cast("array<struct<start:int,end:int,n:int>>")
-    found = F.filter(F.aggregate(parts, empty, add), lambda s: s["n"] >= least)
-    made = F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end")))
+    found = F.zip_with(placed(F.split(text, pattern, -1), matches), counted, lambda m, c: F.struct(m["start"], m["end"], F.length(c).alias("n")))
+    long_enough = F.filter(found, lambda s: s["n"] >= least)
+    made = F.transform(long_enough, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end")))
     return F.when(F.rlike(text, literal), made).otherwise(F.array().cast(SPAN))
 
 
@@ -74,14 +72,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def update_ledger(docs: DataFrame, ledger: str, text_col: str = "text", rules: tuple = RULES, version: str = VERSION) -> DataFrame:
-    """Scan the texts that the ledger has not seen under this rule version, append them, return its rows.
+def version_of(rules: tuple) -> str:
+    """Part of the ledger's key: a change of rules scans every text again."""
+    return hashlib.sha256(repr(rules).encode()).hexdigest()
+
+
+def update_ledger(docs: DataFrame, ledger: str, text_col: str = "text", rules: tuple = RULES) -> DataFrame:
+    """Scan the texts that the ledger has not seen under these rules, append them, return its rows.
 
-    The ledger is a Parquet folder of ``blob`` (SHA-256 of the text), ``version`` and ``spans``; a text
-    without findings has a row too, so that it is never read again. Copies of a text, however many, are
-    one blob and are combined before the shuffle.
+    The ledger is a Parquet folder of ``blob`` (SHA-256 of the text), ``version`` (of the rules) and ``spans``; a
+    text without findings has a row too, so that it is never read again. Copies of a text, however many,
+    are one blob and are combined before the shuffle. A blob that two writers added at once counts once.
     """
-    spark = docs.sparkSession
+    spark, version = docs.sparkSession, version_of(rules)
     texts = docs.select(F.coalesce(text_col, F.lit("")).alias("text"))
     blobs = texts.withColumn("blob", blob_id(F.col("text"))).dropDuplicates(["blob"])
     known = _exists(spark, ledger)
@@ -90,7 +93,8 @@ def update_ledger(docs: DataFrame, ledger: str, text_col: str = "text", rules: t
         blobs = blobs.join(seen, "blob", "left_anti")
     scanned = blobs.select("blob", F.lit(version).alias("version"), find_spans(F.col("text"), rules).alias("spans"))
     scanned.write.mode("append").parquet(ledger)
-    return spark.read.parquet(ledger).where(F.col("version") == version).select("blob", "spans")
+    rows = spark.read.parquet(ledger).where(F.col("version") == version).select("blob", "spans")
+    return rows.dropDuplicates(["blob"]) if known else rows
 
 
 def new_ledger(spark: SparkSession) -> str:
@@ -100,12 +104,24 @@ def new_ledger(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/veil-ledger-{uuid.uuid4().hex}"
 
 
-def _with_spans(docs: DataFrame, ledger: str | None, text_col: str, rules: tuple = RULES, version: str = VERSION) -> tuple[DataFrame, str]:
-    """``docs`` with the spans of each text, and the name of that column."""
-    blob, spans = spare(docs, "blob", "spans")
-    found = update_ledger(docs, ledger or new_ledger(docs.sparkSession), text_col, rules, version).where(F.size("spans") > 0)
+def _with_spans(docs: DataFrame, ledger: str | None, text_col: str, rules: tuple = RULES) -> tuple[DataFrame, str]:
+    """``docs`` with the spans of each text, and the name of that column.
+
+    The texts with findings are few as a rule and are sent to where the documents are. Where they have more
+    than MOST_SPANS spans, they are joined, with the documents of one text dealt to SALTS tasks.
+    """
+    blob, spans, salt = spare(docs, "blob", "spans", "salt")
+    found = update_ledger(docs, ledger or new_ledger(docs.sparkSession), text_col, rules).where(F.size("spans") > 0)
+    many = (found.agg(F.sum(F.size("spans"))).first()[0] or 0) > MOST_SPANS
     found = found.select(F.col("blob").alias(blob), F.col("spans").alias(spans))
-    joined_back = docs.withColumn(blob, blob_id(F.col(text_col))).join(found, blob, "left").drop(blob)
+    keyed = docs.withColumn(blob, blob_id(F.col(text_col)))
+    if many:
+        others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+        keyed = keyed.withColumn(salt, F.pmod(F.xxhash64(*others), F.lit(SALTS)) if others else F.lit(0).cast("long"))
+        found = found.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined_back = keyed.join(found, [blob, salt], "left").drop(blob, salt)
+    else:
+        joined_back = keyed.join(F.broadcast(found), blob, "left").drop(blob)
     return joined_back.withColumn(spans, F.coalesce(spans, F.array().cast(SPAN))), spans
 
 
@@ -121,8 +137,12 @@ def scan_secrets(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_
 
 
 def redact(docs: DataFrame, ledger: str | None = None, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every found span of the text replaced by ``mark``, private keys whole; overlapping spans are one."""
-    rows, spans = _with_spans(docs, ledger, text_col, REDACTED, REDACTED_VERSION)
+    """``docs`` with every found span of the text replaced by ``mark``, private keys whole; overlapping spans are one.
+
+    Null and empty texts, and texts without a secret, stay as they are, as do all other columns; repeated
+    rows give repeated rows and an empty table an empty one.
+    """
+    rows, spans = _with_spans(docs, ledger, text_col, REDACTED)
     found, text = F.col(spans), F.col(text_col)
 
     def cut(acc, s):

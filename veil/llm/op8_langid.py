@@ -1,21 +1,22 @@
 """Language identification: script ranges, per-word trigram scores and a Viterbi path over languages."""
 
+import itertools
 import re
-import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veil.sources import read_table, ship
+from veil.llm.counts import HOLD, POOLS, bounded, rows_of, summed, table
+from veil.sources import drop_table, materialize, read_table, ship
 
+#: Runs of word characters less digits and the underscore; they may hold number signs, which are no letters.
 WORD = re.compile(r"[^\W\d_]+")
-#: Trigrams are counted in this many slots a language, which bounds the model.
-SLOTS = 1 << 16
-#: Languages a model may have: the driver and every worker hold SLOTS counts for each.
-MOST_LANGUAGES = 512
+#: Trigram counts of all languages that are sent to the workers one by one; beyond, rare trigrams are pooled.
+CELLS = 1 << 24
 ALPHA = 0.05
 #: Cost, in nats, of a change of language between two words.
 SWITCH = 8.0
@@ -35,29 +36,48 @@ N_SCRIPTS = int(_SCRIPT.max()) + 1
 REMEMBER = 300_000
 
 
-def script(word: str) -> int:
-    return int(_SCRIPT[max(0, np.searchsorted(_BOUNDS, ord(word[0]), "right") - 1)])
+def letters(text: str) -> list[tuple[int, str]]:
+    """Runs of letters and where they start."""
+    out = []
+    for m in WORD.finditer(text):
+        at, word = m.start(), m.group()
+        if not word.isalpha():
+            for alpha, run in itertools.groupby(enumerate(word), lambda x: x[1].isalpha()):
+                part = list(run)
+                if alpha:
+                    out.append((at + part[0][0], "".join(c for _, c in part)))
+        else:
+            out.append((at, word))
+    return out
 
 
-def slot(gram: str) -> int:
-    return zlib.crc32(gram.encode("utf-8", "surrogatepass")) % SLOTS
+def words_of(text: str) -> list[str]:
+    """Runs of letters in lower case."""
+    text = text.lower()
+    found = WORD.findall(text)
+    return found if not found or "".join(found).isalpha() else [word for _, word in letters(text)]
 
 
-def features(counts: Counter) -> Counter:
-    """Slot counts of trigrams (with word ends), and of scripts at SLOTS and above."""
-    grams: defaultdict = defaultdict(int)
-    scripts: defaultdict = defaultdict(int)
-    for word, n in counts.items():
-        scripts[word[0]] += n
-        padded = f"<{word}>"
-        for i in range(len(padded) - 2):
-            grams[padded[i : i + 3]] += n
-    out: Counter = Counter()
-    for gram, n in grams.items():
-        out[slot(gram)] += n
-    for letter, n in scripts.items():
-        out[SLOTS + script(letter)] += n
-    return out
+def scripts_of(words: list[str]) -> np.ndarray:
+    """Script of the first letter of each word."""
+    first = np.fromiter((ord(w[0]) for w in words), np.int64, len(words))
+    return _SCRIPT[np.maximum(0, np.searchsorted(_BOUNDS, first, "right") - 1)]
+
+
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the trigrams of all words, which start with ``<`` and end with ``>``, and the number of each word's."""
+    chars = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    place = np.arange(len(chars)) - np.repeat(np.cumsum(sizes + 2) - sizes - 2, sizes + 2)
+    inside = place < np.repeat(sizes, sizes + 2)
+    return ((chars[:-2] << 42) | (chars[1:-1] << 21) | chars[2:])[inside[:-2]], sizes
+
+
+def features(counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+    """Codes with their counts: of trigrams, which are large numbers, and of scripts, which are small ones."""
+    words, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+    codes, sizes = grams(words)
+    return summed(np.r_[codes, scripts_of(words)], np.r_[np.repeat(n, sizes), n])
 
 
 def _remainder(column, base: int):
@@ -65,55 +85,76 @@ def _remainder(column, base: int):
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> "Model":
-    """Count trigrams and scripts of all given texts with a non-null language; counts are combined before the shuffle."""
+    """Count trigrams and scripts of all given texts with a non-null language; counts are combined before the shuffle.
+
+    All trigrams are counted. Where they are more than CELLS over the number of languages, the rarest share
+    pools. The values of the language column, its different ones, are held on the driver.
+    """
     ship(docs.sparkSession)
     source = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
 
     def run(batches):
         held: defaultdict = defaultdict(Counter)
-        total: defaultdict = defaultdict(Counter)
+        total: dict[str, tuple] = {}
 
         def fold():
             for lang, words in held.items():
-                total[lang].update(features(words))
+                more = features(words)
+                total[lang] = summed(*(np.concatenate(x) for x in zip(total[lang], more, strict=True))) if lang in total else more
             held.clear()
 
+        def emit():
+            for lang, (key, n) in total.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key), pa.array(n)], names=["lang", "key", "n"])
+            total.clear()
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held[lang].update(WORD.findall(text.lower()))
+                words = words_of(text)
+                if words:
+                    held[lang].update(words)
             if sum(map(len, held.values())) > REMEMBER:
                 fold()
+                if sum(len(k) for k, _ in total.values()) > HOLD:
+                    yield from emit()
         fold()
-        rows = [(lang, k, n) for lang, c in total.items() for k, n in c.items()]
-        if rows:
-            lang, k, n = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(k, pa.int64()), pa.array(n, pa.int64())], names=["lang", "slot", "n"])
-
-    counts = source.mapInArrow(run, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).persist()
-    langs = [r[0] for r in counts.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    model = Model(counts.collect())
-    counts.unpersist()
+        yield from emit()
+
+    counts = materialize(source.mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")))
+    langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
+    found = bounded(counts.where(F.col("key") >= N_SCRIPTS), CELLS // max(1, len(langs)))
+    trigrams = counts.where(F.col("key") >= N_SCRIPTS).select("key").distinct().count()
+    model = Model(langs, found.select("lang", "key", "n").toArrow(), counts.where(F.col("key") < N_SCRIPTS).select("lang", "key", "n").toArrow(), trigrams)
+    drop_table(counts)
     return model
 
 
 class Model:
-    """Log probabilities: ``table[slot, language]`` for trigrams, ``scripts[script, language]`` for candidates."""
-
-    def __init__(self, rows: list):
-        self.langs = sorted({r[0] for r in rows})
-        at = {x: i for i, x in enumerate(self.langs)}
-        n = np.zeros((SLOTS + N_SCRIPTS, max(1, len(self.langs))))
-        for lang, k, c in rows:
-            n[k, at[lang]] += c
-        grams, scripts = n[:SLOTS], n[SLOTS:]
-        self.table = np.log((grams + ALPHA) / (grams.sum(axis=0) + ALPHA * SLOTS)).astype(np.float32)
-        share = scripts / np.maximum(scripts.sum(axis=0), 1)
+    """Log probabilities: ``table[row, language]`` for trigrams (see ``counts.rows_of``), ``scripts[script, language]`` for candidates."""
+
+    def __init__(self, langs: list[str], counted: pa.Table, scripts: pa.Table, trigrams: int):
+        self.langs = langs
+        column = lambda t: pc.index_in(t.column("lang"), pa.array(langs, pa.string())).to_numpy().astype(np.int64)
+        width = max(1, len(langs))
+        self.keys, n = table(counted.column("key").to_numpy(), column(counted), counted.column("n").to_numpy(), width)
+        # A pool's count is shared by the trigrams that may be in it; a trigram never seen is in one too.
+        total = n.sum(axis=0)
+        n[len(self.keys) :] /= max(1.0, (trigrams - len(self.keys)) / POOLS)
+        self.table = np.log((n + ALPHA) / (total + ALPHA * (trigrams + 1))).astype(np.float32)
+        share = np.zeros((N_SCRIPTS, width))
+        np.add.at(share, (scripts.column("key").to_numpy(), column(scripts)), scripts.column("n").to_numpy())
+        share = share / np.maximum(share.sum(axis=0), 1)
         fits = share >= SCRIPT_SHARE
         fits |= ~fits.any(axis=1, keepdims=True)  # a script that no language has narrows nothing
         self.scripts = np.where(fits, 0, NOT_CANDIDATE).astype(np.float32)
 
+    def words(self, words: list[str]) -> np.ndarray:
+        """Score of each word in each language."""
+        codes, sizes = grams(words)
+        distinct, inverse = np.unique(codes, return_inverse=True)
+        scores = self.table[rows_of(self.keys, distinct)][inverse]
+        return np.add.reduceat(scores, np.r_[0, np.cumsum(sizes)[:-1]], axis=0) + self.scripts[scripts_of(words)]
+
 
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Language of each word on the best path; ties go to the earlier language."""
@@ -147,36 +188,23 @@ class Labeller:
     def __init__(self, model: Model, switch: float = SWITCH):
         self.model, self.switch = model, switch
         self._forget()
-        self.slots: dict[str, int] = {}
 
     def _forget(self):
         self.index: dict[str, int] = {}
-        self.rows = np.zeros((0, len(self.model.langs)), np.float32)
+        self.rows = np.zeros((1 << 16, len(self.model.langs)), np.float32)
 
     def _learn(self, fresh: list[str]) -> None:
         if not fresh:
             return
-        flat, sizes, slots = [], [], self.slots
-        for w in fresh:
-            p = f"<{w}>"
-            grams = [p[i : i + 3] for i in range(len(p) - 2)]
-            sizes.append(len(grams))
-            for g in grams:
-                if g not in slots:
-                    slots[g] = slot(g)
-                flat.append(slots[g])
-        if len(slots) > REMEMBER:
-            slots.clear()
-        starts = np.r_[0, np.cumsum(sizes)[:-1]]
-        rows = np.add.reduceat(self.model.table[np.array(flat)], starts, axis=0)
-        first = np.array([ord(w[0]) for w in fresh])
-        rows += self.model.scripts[_SCRIPT[np.maximum(0, np.searchsorted(_BOUNDS, first, "right") - 1)]]
-        self.index.update(zip(fresh, range(len(self.rows), len(self.rows) + len(fresh)), strict=True))
-        self.rows = np.concatenate([self.rows, rows])
+        known, now = len(self.index), len(self.index) + len(fresh)
+        if now > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((max(now, 2 * len(self.rows)) - len(self.rows), self.rows.shape[1]), np.float32)])
+        self.rows[known:now] = self.model.words(fresh)
+        self.index.update(zip(fresh, range(known, now), strict=True))
 
     def paths(self, texts: list[str | None]) -> list[tuple[list[str], np.ndarray]]:
         """Words of each text, lower-cased, and the language number of each."""
-        split = [WORD.findall(t.lower()) if t else [] for t in texts]
+        split = [words_of(t) if t else [] for t in texts]
         if len(self.index) > REMEMBER:
             self._forget()
         self._learn(list({w for words in split for w in words} - self.index.keys()))
@@ -205,18 +233,18 @@ class Labeller:
         out: list[dict] = []
         if not text or not self.model.langs:
             return out
-        places = list(WORD.finditer(text))
-        words = [m.group().lower() for m in places]
-        self._learn(list({w for w in words if w} - self.index.keys()))
+        places = letters(text)
+        words = [w.lower() for _, w in places]
         if not words:
             return out
+        self._learn(list(set(words) - self.index.keys()))
         path = viterbi(self.rows[[self.index[w] for w in words]], self.switch)
-        for m, k in zip(places, path, strict=True):
+        for (at, word), k in zip(places, path, strict=True):
             lang = self.model.langs[k]
             if out and out[-1]["lang"] == lang:
-                out[-1]["end"] = m.end()
+                out[-1]["end"] = at + len(word)
             else:
-                out.append({"lang": lang, "start": m.start(), "end": m.end()})
+                out.append({"lang": lang, "start": at, "end": at + len(word)})
         return out
 
 
@@ -250,7 +278,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text has letters and one language for ``least`` of them."""
+    """The rows of ``docs``, with all their columns, whose text has letters and one language for ``least`` of them.
+
+    Null and empty texts, and those of numbers and signs alone, go; where nothing was learned, all rows go.
+    Repeated rows stay or go together, and an empty table gives an empty one.
+    """
     spark = ship(docs.sparkSession)
     sent, at = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
 

@@ -154,7 +154,11 @@ def contamination(
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text", window: int = WINDOW, one_in: int = ONE_IN, shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are not contaminated."""
+    """The rows of ``docs``, with all their columns, that are not contaminated.
+
+    Null and empty texts have no words and stay; items without words have no window; an empty benchmark
+    drops nothing. Repeated rows stay or go together, and an empty table gives an empty one.
+    """
     ship(docs.sparkSession)
     items = bench.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null")
     shards = _shards(items, shard_chars)
