@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from veil.config import EngineConfig
 from veil.functions.language import window_language
 from veil.operators import chat, engine, ner, vault
-from veil.sources import materialize
 
 def at(text="2024-01-01 00:00:00"):
     return F.lit(text).cast("timestamp")
@@ -19,10 +18,18 @@ def text(t):
     return [("text", t)]
 
 
-def mask(spark, rows, known=None, **config):
-    known = known if known is not None else spark.createDataFrame([], vault.SCHEMA)
-    masked, found, after = engine.mask_messages(spark.createDataFrame(rows, MESSAGES), known, at(), EngineConfig(**config), key=bytes(32))
-    return {(r.chat_id, r.msg_idx): [p.text for p in r.parts] for r in masked.collect()}, found.collect(), materialize(after)
+def run(spark, rows, known=None, now=None, schema=MESSAGES, key=bytes(32), secret=None, analyzers=None, model=None, healthy=True, **config):
+    known = known or vault.Vault.empty(spark)
+    return engine.mask_messages(spark.createDataFrame(rows, schema), known, at() if now is None else now, EngineConfig(**config), key=key, secret=secret, analyzers=analyzers, model=model, vault_healthy=healthy)
+
+
+def parts(result):
+    return {(r.chat_id, r.msg_idx): [p.text for p in r.parts] for r in result.messages.collect()}
+
+
+def mask(spark, rows, known=None, **more):
+    made = run(spark, rows, known, **more)
+    return parts(made), made.detections.collect(), made.vault.materialize()
 
 
 def test_documents(spark):
@@ -39,8 +46,9 @@ def test_two_requests(spark):
     assert {(d.entity_type, d.start, d.end) for d in found if d.msg_idx == 1} == {("EMAIL", 3, 10), ("EMAIL", 12, 19)}
     second, found, _ = mask(spark, [("c", 0, "user", text("old q@r.st, a@b.com")), ("c", 1, "user", text("c@d.org q@r.st c@d.org"))], after)
     assert second == {("c", 0): ["old q@r.st, [EMAIL_1]"], ("c", 1): ["[EMAIL_2] [EMAIL_3] [EMAIL_2]"]}
-    assert [(d.original, d.start, d.end) for d in found] == [("q@r.st", 8, 14)]
-    back = engine.restore_messages(spark.createDataFrame([("c", "to [EMAIL_2] [EMAIL_9]"), ("d", "[EMAIL_2]")], "chat_id string, text string"), after, at())
+    # Known values that stand in a searched message are told too; the first message is not searched.
+    assert sorted((d.msg_idx, d.original, d.start, d.end, d.score) for d in found) == [(1, "c@d.org", 0, 7, 1.0), (1, "c@d.org", 15, 22, 1.0), (1, "q@r.st", 8, 14, 1.0)]
+    back = engine.restore_messages(spark.createDataFrame([("c", "to [EMAIL_2] [EMAIL_9]"), ("d", "[EMAIL_2]")], "chat_id string, text string"), after, at()).messages
     assert {r.chat_id: (r.text, r.restored, r.unknown) for r in back.collect()} == {"c": ("to c@d.org [EMAIL_9]", ["[EMAIL_2]"], ["[EMAIL_9]"]), "d": ("[EMAIL_2]", [], [])}
 
 
@@ -50,6 +58,119 @@ def test_switches(spark):
     assert mask(spark, rows, history_scope=False)[0] == {("c", 0): ["[EMAIL_1]"]}
 
 
+def test_maps_and_counts(spark):
+    rows = [("c", 0, "user", text("a@b.com, a@b.com")), ("c", 1, "assistant", text("c@d.org")), ("d", 0, "user", text("nothing"))]
+    made = run(spark, rows)
+    maps = {r.chat_id: (r.forward, r.reverse) for r in made.maps.collect()}
+    assert maps == {"c": ({"a@b.com": "[EMAIL_1]", "c@d.org": "[EMAIL_2]"}, {"[EMAIL_1]": "a@b.com", "[EMAIL_2]": "c@d.org"})}
+    assert {tuple(r) for r in made.summary.collect()} == {("c", 2, 3, 2, 0), ("d", 1, 0, 0, 0)}
+
+
+def test_kill_switch_publishes_maps_and_renews(spark):
+    rows = [("c", 0, "user", text("a@b.com"))]
+    after = run(spark, rows).vault.materialize()
+    made = run(spark, [("c", 0, "user", text("a@b.com q@r.st"))], after, at("2024-01-01 20:00:00"), detection_enabled=False)
+    assert parts(made) == {("c", 0): ["a@b.com q@r.st"]} and made.maps.first().reverse == {"[EMAIL_1]": "a@b.com"}
+    assert vault.live(made.vault.mappings, at("2024-01-02 10:00:00")).count() == 1
+
+
+def test_active_chat_keeps_its_values(spark):
+    """Every request and every restored answer renews the values of its chat, used or not."""
+    after = run(spark, [("c", 0, "user", text("a@b.com"))]).vault.materialize()
+    after = run(spark, [("c", 0, "user", text("hello"))], after, at("2024-01-01 20:00:00")).vault.materialize()
+    answer = spark.createDataFrame([("c", "[EMAIL_1]")], "chat_id string, text string")
+    back = engine.restore_messages(answer, after, at("2024-01-02 16:00:00"))
+    assert back.messages.first().text == "a@b.com"
+    assert [r.text for r in engine.restore_messages(answer, back.vault.materialize(), at("2024-01-03 12:00:00")).messages.collect()] == ["a@b.com"]
+    assert engine.restore_messages(answer, after, at("2024-01-03 12:00:00")).messages.first().text == "[EMAIL_1]"
+
+
+def test_published_map_comes_first(spark):
+    after = run(spark, [("c", 0, "user", text("a@b.com"))]).vault.materialize()
+    rows = [("c", "[EMAIL_1]", {"[EMAIL_1]": "x@y.z"}), ("c", "[EMAIL_1] [EMAIL_7]", {}), ("c", "[EMAIL_1]", None), ("e", "[EMAIL_1]", None), ("c", None, None)]
+    df = spark.createDataFrame(rows, "chat_id string, text string, reverse map<string,string>")
+    got = [(r.text, r.unknown) for r in engine.restore_messages(df, after, at()).messages.collect()]
+    assert sorted(got, key=repr) == sorted([("x@y.z", []), ("a@b.com [EMAIL_7]", ["[EMAIL_7]"]), ("a@b.com", []), ("[EMAIL_1]", []), (None, [])], key=repr)
+    off = engine.restore_messages(df, after, at(), EngineConfig(vault_enabled=False)).messages.collect()
+    assert sorted(str(r.text) for r in off) == ["None", "[EMAIL_1]", "[EMAIL_1]", "[EMAIL_1] [EMAIL_7]", "x@y.z"]
+
+
+def test_ephemeral_chats_expire_soon(spark):
+    after = run(spark, [(c, 0, "user", text("a@b.com")) for c in ("ephemeral:1", "c")]).vault
+    alive = {r.chat_id for r in vault.live(after.mappings, at("2024-01-01 00:30:00")).collect()}
+    assert alive == {"c"}
+
+
+def test_without_vault_values_are_numbered_in_the_request(spark):
+    rows = [("c", 0, "user", text("a@b.com, c@d.org")), ("c", 1, "user", text("a@b.com"))]
+    for more in ({"vault_enabled": False}, {"healthy": False, "degradation_mode": "passthrough"}):
+        made = run(spark, rows, key=None, **more)
+        assert parts(made) == {("c", 0): ["[EMAIL_1], [EMAIL_2]"], ("c", 1): ["[EMAIL_1]"]}
+        assert made.maps.first().forward == {"a@b.com": "[EMAIL_1]", "c@d.org": "[EMAIL_2]"} and made.vault.mappings.count() == 0
+    with pytest.raises(RuntimeError):
+        run(spark, rows, healthy=False)
+
+
+def test_keys_are_due(spark):
+    rows = [("c", 0, "user", text("a@b.com"))]
+    for more in ({"key": None}, {"encryption_enabled": True}, {"secret": bytes(32)}, {"encryption_enabled": True, "secret": b"x"}):
+        with pytest.raises(ValueError):
+            run(spark, rows, **more)
+    made = run(spark, rows, encryption_enabled=True, secret=bytes(32), key_id=7)
+    assert made.vault.mappings.first().original_value.startswith("ENC1:AQAAAAd") and made.maps.first().forward == {"a@b.com": "[EMAIL_1]"}
+
+
+def test_analyzers_and_model_in_the_flow(spark):
+    """Names of two analyzers count in text of their language, model spans everywhere; a person found twice is one."""
+    named = lambda t: ner.gazetteer(t, {"Ana Kos": "PERSON", "Ivo": "PERSON"})
+
+    def load():
+        return lambda w: [("username", "kx9", w.find("kx9"), w.find("kx9") + 3, None)] if "kx9" in w else []
+
+    rows = [("c", 0, "user", text("this is from Ana Kos and kx9, with thanks to Ivo for the help a@b.com"))]
+    made = run(spark, rows, analyzers={"hr": named, "en": named}, model=load)
+    assert parts(made) == {("c", 0): ["this is from [PERSON_1] and [USERNAME_1], with thanks to [PERSON_2] for the help [EMAIL_1]"]}
+    assert made.summary.first().n_dropped == 2
+    only = run(spark, rows, analyzers={"hr": named}, languages=("hr",))
+    assert parts(only)[("c", 0)][0].startswith("this is from Ana Kos") and only.summary.first().n_dropped == 2
+
+
+def test_parts_of_names_are_told_by_the_whole(spark):
+    named = lambda t: ner.gazetteer(t, {"Ana Kos": "PERSON", "Kos": "PERSON"})
+    made = run(spark, [("c", 0, "user", text("this is from Ana Kos. The Kos"))], analyzers={"en": named})
+    assert parts(made) == {("c", 0): ["this is from [PERSON_1]. The [PERSON_1]"]}
+    assert [(r.original, r.placeholder) for r in made.detections.collect()] == [("Ana Kos", "[PERSON_1]")]
+
+
+def test_switched_off_users(spark):
+    schema = MESSAGES + ", masking boolean"
+    made = run(spark, [("c", 0, "user", text("a@b.com"), False), ("d", 0, "user", text("a@b.com"), True)], schema=schema)
+    assert parts(made) == {("c", 0): ["a@b.com"], ("d", 0): ["[EMAIL_1]"]}
+    users = spark.createDataFrame([(1, "false"), (1, "true"), (2, "false")], "user_id int, pii_masking_enabled string")
+    on = chat.toggled(spark.createDataFrame([(1,), (2,), (3,)], "user_id int"), users).collect()
+    assert {r.user_id: r.masking for r in on} == {1: True, 2: False, 3: True} and len(on) == 3
+
+
+def test_steps_are_evaluated_once(spark):
+    """Detections have as many scans in their plan as the masked texts have: one a recognizer, and one for placeholders."""
+    from veil.plans.masks import GENERAL
+
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    plan = engine.detections(docs, GENERAL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") <= len(GENERAL) + 1
+
+
+@pytest.mark.parametrize(("text_", "want"), [
+    ("EIN 12-3456789", [("US_EIN", 4, 14, 1.0)]), ("at 2001:db8::ff00:42:8329.", [("IP_ADDRESS", 3, 25, 0.6)]), ("1:2:3:4:5:6:7:8", [("IP_ADDRESS", 0, 15, 0.6)]),
+    ("12:30:45 and a::b::c", [("IP_ADDRESS", 13, 17, 0.6)]), ("AB 12 34 56 C, AB123456C", [("UK_NINO", 0, 13, 1.0), ("UK_NINO", 15, 24, 1.0)]),
+    ("UTR 1234567890", [("UK_UTR", 4, 14, 1.0)]),
+])
+def test_detectors(spark, text_, want):
+    df = spark.createDataFrame([(1, text_)], "doc_id long, text string")
+    got = sorted((r.entity_type, r.start, r.end, r.score) for r in engine.detections(df).collect())
+    assert got == want
+
+
 def test_other_parts_stay(spark):
     got, _, _ = mask(spark, [("c", 0, "user", [("image", "a@b.com"), ("text", "a@b.com"), ("text", " ")])])
     assert got == {("c", 0): ["a@b.com", "[EMAIL_1]", " "]}
@@ -63,10 +184,13 @@ def test_degradation(spark, mode, want):
 
 
 def test_bodies(spark):
-    good = {"chat_id": "", "metadata": {"chat_id": "m", "task": "x", "more": 1}, "messages": [{"role": "user", "content": "hi"}, {"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "image"}]}]}
+    good = {"chat_id": "", "metadata": {"chat_id": "m", "task": "x", "more": 1}, "messages": [{"role": "user", "content": "hi"}, {"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "image"}]}, {"role": "user", "content": '[{"type": "text", "text": "b"}]'}]}
     bodies = [json.dumps(b) for b in (good, {}, {"messages": []}, {"messages": 3})] + ["not json"]
-    rows = chat.read_bodies(spark.createDataFrame([(b,) for b in bodies], "body string")).collect()
-    assert [(r.chat_id, r.task, r.msg_idx, [p.text for p in r.parts]) for r in rows] == [("m", "x", 0, ["hi"]), ("m", "x", 1, ["a", None])]
+    df = spark.createDataFrame([(b,) for b in bodies], "body string")
+    rows = chat.read_bodies(df).collect()
+    # A text that looks like a list of parts is a text.
+    assert [(r.chat_id, r.task, r.msg_idx, [p.text for p in r.parts]) for r in rows] == [("m", "x", 0, ["hi"]), ("m", "x", 1, ["a", None]), ("m", "x", 2, ['[{"type": "text", "text": "b"}]'])]
+    assert sorted(r.body for r in chat.passed(df).collect()) == sorted(bodies[1:])
 
 
 def test_answers(spark):

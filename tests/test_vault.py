@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from veil.functions import crypto
 from veil.operators import vault
-from veil.sources import materialize
 
 def at(text="2024-01-01 00:00:00"):
     return F.lit(text).cast("timestamp")
@@ -54,32 +53,86 @@ def test_a_hot_chat_is_numbered_over_many_ranges(spark):
     assert got == list(range(1, 3001))
 
 
-def upsert(spark, known, now, *rows, **more):
-    return materialize(vault.upsert(known, mentions(spark, *rows), ["at"], now, **more))
+def upsert(known, now, *rows, **more):
+    return vault.upsert(known, mentions(known.mappings.sparkSession, *rows), ["at"], now, KEY, **more).materialize()
+
+
+def held(known):
+    return {r.original_value: (r.placeholder, r.expires_at) for r in known.mappings.collect()}
 
 
 def test_upsert_renews_expires_and_restarts(spark):
-    empty = spark.createDataFrame([], vault.SCHEMA)
-    first = upsert(spark, empty, at(), ("a", "PERSON", "Ana"), ("a", "PERSON", "Iva"), key=KEY)
+    first = upsert(vault.Vault.empty(spark), at(), ("a", "PERSON", "Ana"), ("a", "PERSON", "Iva"))
     soon = at("2024-01-01 20:00:00")
-    second = upsert(spark, first, soon, ("a", "PERSON", "Iva"), ("a", "PERSON", "Eva"), key=KEY)
-    got = {r.original_value: (r.placeholder, r.expires_at) for r in second.collect()}
+    second = upsert(first, soon, ("a", "PERSON", "Iva"), ("a", "PERSON", "Eva"))
+    got = held(second)
     assert got["Eva"][0] == "[PERSON_3]" and got["Iva"][1] == datetime.datetime(2024, 1, 2, 20) and got["Ana"][1] == datetime.datetime(2024, 1, 2)
-    third = upsert(spark, second, at(LATER), ("a", "PERSON", "Zoe"), key=KEY)
-    assert [(r.original_value, r.placeholder) for r in third.collect()] == [("Zoe", "[PERSON_1]")]
+    third = upsert(second, at(LATER), ("a", "PERSON", "Zoe"))
+    assert [(r.original_value, r.placeholder) for r in third.mappings.collect()] == [("Zoe", "[PERSON_1]")]
+
+
+def test_a_number_given_out_is_not_given_again(spark):
+    """Ana keeps the counter alive; Bo and Cy expire, and the next person is the fourth."""
+    first = upsert(vault.Vault.empty(spark), at(), *(("a", "PERSON", v) for v in ("Ana", "Bo", "Cy")))
+    second = upsert(first, at("2024-01-01 20:00:00"), ("a", "PERSON", "Ana"))
+    third = upsert(second, at("2024-01-02 10:00:00"), ("a", "PERSON", "Dan"))
+    assert {v: p for v, (p, _) in held(third).items()} == {"Ana": "[PERSON_1]", "Dan": "[PERSON_4]"}
+    assert [r.next_value for r in third.counters.collect()] == [5]
+    bare = vault.Vault(first.mappings, spark.createDataFrame([], vault.COUNTERS))  # a table without counters goes on too
+    assert held(upsert(bare, at(), ("a", "PERSON", "Dan")))["Dan"][0] == "[PERSON_4]"
+
+
+def test_gap_counters_move_with_each_mention(spark):
+    first = upsert(vault.Vault.empty(spark), at(), ("a", "PERSON", "Ana"), ("a", "PERSON", "Ana"), ("a", "PERSON", "Iva"), mode="gap")
+    second = upsert(first, at(), ("a", "PERSON", "Ana"), ("a", "PERSON", "Eva"), mode="gap")
+    assert {v: p for v, (p, _) in held(second).items()} == {"Ana": "[PERSON_1]", "Iva": "[PERSON_3]", "Eva": "[PERSON_5]"}
+    assert second.counters.first().next_value == 6
+
+
+def test_an_active_chat_lives_on(spark):
+    known = upsert(vault.Vault.empty(spark), at(), ("a", "PERSON", "Ana"), ("b", "PERSON", "Bo"))
+    chats = spark.createDataFrame([("a",)], "chat_id string")
+    later = vault.renew_chats(known, chats, at("2024-01-01 20:00:00")).materialize()
+    alive = {r.chat_id for r in vault.live(later.mappings, at("2024-01-02 10:00:00")).collect()}
+    assert alive == {"a"} == {r.chat_id for r in vault.live(later.counters, at("2024-01-02 10:00:00")).collect()}
+    asked = spark.createDataFrame([("b", "[PERSON_1]")], "chat_id string, placeholder string")
+    hit = vault.renew(known.mappings, asked, at("2024-01-01 20:00:00"), on=("chat_id", "placeholder"))
+    assert {r.chat_id for r in vault.live(hit, at("2024-01-02 10:00:00")).collect()} == {"b"}
+    gone = vault.renew_chats(known, chats, at(LATER))
+    assert vault.live(gone.mappings, at(LATER)).count() == 0
+
+
+def test_no_vault_without_a_key(spark):
+    for key in (None, b"short"):
+        with pytest.raises(ValueError):
+            vault.upsert(vault.Vault.empty(spark), mentions(spark, ("a", "PERSON", "Ana")), ["at"], at(), key)
+
+
+@pytest.mark.parametrize("most", [1000, 1])
+def test_known_values_meet_only_texts_that_hold_them(spark, most):
+    """A conversation with few values and one with more than ``most``, joined by words, give the same masked texts."""
+    from veil.operators import masking
+
+    values = ["Ana", "Ana Kos", "+385 91", "++", "Iva"]
+    known = upsert(vault.Vault.empty(spark), at(), *(("a", "PERSON", v) for v in values))
+    rows = [("a", 1, "Ana Kos zove Ana +385 91 ++ Ivana"), ("a", 2, None), ("b", 3, "Ana")]
+    texts = spark.createDataFrame(rows, "chat_id string, n int, text string")
+    got = vault.known_in(texts, known, at(), ["n"], most=most).select("n", masking.remask(F.col("text"), F.col("forward")).alias("t")).collect()
+    assert {r.n: r.t for r in got} == {1: "[PERSON_2] zove [PERSON_1] [PERSON_3] [PERSON_4] Ivana", 2: None, 3: "Ana"}
+    before = texts.withColumn("was", at("2023-12-31"))
+    assert all(not r.forward for r in vault.known_in(before, known, at(), ["n"], before="was", most=most).collect())
 
 
 def test_snapshot_and_look_up_see_live_rows_only(spark):
-    empty = spark.createDataFrame([], vault.SCHEMA)
-    known = upsert(spark, empty, at(), ("a", "PERSON", "Ana"), ("a", "EMAIL", "Ana"), key=KEY, secret=SECRET)
-    assert all(r.original_value.startswith("ENC1:") for r in known.collect())
+    known = upsert(vault.Vault.empty(spark), at(), ("a", "PERSON", "Ana"), ("a", "EMAIL", "Ana"), secret=SECRET)
+    assert all(r.original_value.startswith("ENC1:") for r in known.mappings.collect())
     row = vault.snapshot(known, at(), SECRET).first()
     assert row.forward == {"Ana": "[EMAIL_1]"} and row.reverse == {"[PERSON_1]": "Ana", "[EMAIL_1]": "Ana"}
     assert vault.snapshot(known, at(LATER), SECRET).count() == 0 and vault.snapshot(known, at(), KEY).count() == 0
     asked = spark.createDataFrame([("a", "[PERSON_1]"), ("a", "[PERSON_9]"), ("b", "[PERSON_1]")], "chat_id string, placeholder string")
-    found = {(r.chat_id, r.placeholder): r.original for r in vault.look_up(asked, known, at(), SECRET).collect()}
+    found = {(r.chat_id, r.placeholder): r.original for r in vault.look_up(asked, known.mappings, at(), SECRET).collect()}
     assert found == {("a", "[PERSON_1]"): "Ana", ("a", "[PERSON_9]"): None, ("b", "[PERSON_1]"): None}
-    assert vault.counters(known).where("entity_type = 'PERSON'").first().next_value == 2
+    assert known.counters.where("entity_type = 'PERSON'").first().next_value == 2
 
 
 def test_envelope_layout(spark):

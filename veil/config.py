@@ -4,20 +4,27 @@ import os
 from dataclasses import dataclass, field, fields
 
 #: Whole values, and beginnings before a space, that are no person. Fixed values.
-DENY = tuple(
-    "task|tasks|json|json output|json array|json array of strings|raw|output|input|true|false|null|none|undefined|default|auto|custom|"
-    "emoji|emojis|emoji summarizing|emojis summarizing|emoji summarizing the conversation|emojis that enhance understanding|summarize|"
-    "summarization|summary|assistant|user|system|prompt|response|completion|get|post|put|delete|patch|request|endpoint|header|body|payload|"
-    "please|thank you|error|warning|info|debug|success|failed|pending|moj oib|moja oib|moj jmbg|moja jmbg|moj iban|moja iban|moj email|"
-    "moja email|moja mail|moj telefon|moj mobitel|moja adresa|moj broj|email|mail|adresa|broj|oib|jmbg|iban|ime|prezime".split("|")
-)
+DENY = (
+    "task", "tasks", "json", "json output", "json array", "json array of strings", "raw", "output", "input", "true",
+    "false", "null", "none", "undefined", "default", "auto", "custom", "emoji", "emojis", "emoji summarizing",
+    "emojis summarizing", "emoji summarizing the conversation", "emojis that enhance understanding", "summarize",
+    "summarization", "summary", "assistant", "user", "system", "prompt", "response", "completion", "get", "post",
+    "put", "delete", "patch", "request", "endpoint", "header", "body", "payload", "please", "thank you", "error",
+    "warning", "info", "debug", "success", "failed", "pending", "moj oib", "moja oib", "moj jmbg", "moja jmbg",
+    "moj iban", "moja iban", "moj email", "moja email", "moja mail", "moj telefon", "moj mobitel", "moja adresa",
+    "moj broj", "email", "mail", "adresa", "broj", "oib", "jmbg", "iban", "ime", "prezime",
+)
 #: Whole values that are no person. Fixed values.
-EXACT_DENY = tuple("claude opus sonnet haiku gpt chatgpt gemini bard copilot llama mistral mixtral grok deepseek qwen".split())
+EXACT_DENY = (
+    "claude", "opus", "sonnet", "haiku", "gpt", "chatgpt", "gemini", "bard", "copilot", "llama", "mistral", "mixtral",
+    "grok", "deepseek", "qwen",
+)
 #: Last words that are not part of a name. Fixed values.
-TRAILING = tuple(
-    "has had have is was are were be been being does did do says said say goes went go comes came come "
-    "je su ima imaju bio bila bile bili kaže rekao rekla rekli ide došao došla".split()
-)
+TRAILING = (
+    "has", "had", "have", "is", "was", "are", "were", "be", "been", "being", "does", "did", "do", "says", "said",
+    "say", "goes", "went", "go", "comes", "came", "come", "je", "su", "ima", "imaju", "bio", "bila", "bile", "bili",
+    "kaže", "rekao", "rekla", "rekli", "ide", "došao", "došla",
+)
 
 
 @dataclass(frozen=True)

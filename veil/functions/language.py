@@ -7,13 +7,15 @@ from veil.functions.scan import between
 
 #: Marker words. Fixed values.
 CROATIAN = (
-    "je su sam ću nije ima nema moj moja moje mojeg mojim tvoj naš naša ovaj ova ovo taj ta to ali nego gdje "
-    "kako što kao samo već još biti bio bila bilo"
-).split()
+    "je", "su", "sam", "ću", "nije", "ima", "nema", "moj", "moja", "moje", "mojeg", "mojim", "tvoj", "naš", "naša",
+    "ovaj", "ova", "ovo", "taj", "ta", "to", "ali", "nego", "gdje", "kako", "što", "kao", "samo", "već", "još",
+    "biti", "bio", "bila", "bilo",
+)
 ENGLISH = (
-    "the is are was were am been being have has had my your our his her its their this that these those "
-    "and but where how what with from about please thank not for into onto upon after before during"
-).split()
+    "the", "is", "are", "was", "were", "am", "been", "being", "have", "has", "had", "my", "your", "our", "his", "her",
+    "its", "their", "this", "that", "these", "those", "and", "but", "where", "how", "what", "with", "from", "about",
+    "please", "thank", "not", "for", "into", "onto", "upon", "after", "before", "during",
+)
 CROATIAN_MARKER = r"(?iU)\b(?:" + "|".join(CROATIAN) + r")\b|[čšžđć]"
 ENGLISH_MARKER = r"(?iU)\b(?:" + "|".join(ENGLISH) + r")\b"
 WINDOW = 30

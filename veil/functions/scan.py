@@ -4,7 +4,7 @@ Patterns get ``(?U)``, so that ``\\w``, ``\\b``, ``\\s`` and ``\\d`` know all of
 as Spark's ``length`` and ``substring`` count them.
 """
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MATCH = "array<struct<start:int,end:int,text:string>>"
@@ -22,14 +22,47 @@ def find_all(text: Column, pattern: str, group: int = 0) -> Column:
     fold over matches is interpreted.
     """
     literal = F.lit(unicode(pattern))
-    parts = F.arrays_zip(F.split(text, unicode(pattern), -1).alias("gap"), F.regexp_extract_all(text, literal, F.lit(group)).alias("text"))
+    return F.when(F.rlike(text, literal), placed(F.split(text, unicode(pattern), -1), F.regexp_extract_all(text, literal, F.lit(group)))).otherwise(F.array().cast(MATCH))
 
-    def add(found, x):
-        start = F.coalesce(F.try_element_at(found, F.lit(-1))["end"], F.lit(0)) + F.length(x["gap"])
-        span = F.struct(start.alias("start"), (start + F.length(x["text"])).alias("end"), x["text"].alias("text"))
-        return F.when(x["text"].isNull(), found).otherwise(F.concat(found, F.array(span)))
 
-    return F.when(F.rlike(text, literal), F.aggregate(parts, F.array().cast(MATCH), add)).otherwise(F.array().cast(MATCH))
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value evaluated once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def sums(numbers: Column) -> Column:
+    """For each of an array of integers the sum of those before it.
+
+    Sums of blocks of about the square root of their number come first, so that no array grows step by step.
+    """
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, b: a + b)
+
+    def of(x):
+        wide = F.ceil(F.sqrt(F.size(x))).cast("int")
+        block = lambda i: F.floor(i / wide).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), block(F.size(x) - 1)), lambda b: total(F.slice(x, b * wide + 1, wide)))
+        bases = let(blocks, lambda t: F.transform(t, lambda _, b: total(F.slice(t, F.lit(1), b))))
+        return let(bases, lambda base: F.transform(x, lambda _, i: F.element_at(base, block(i) + 1) + total(F.slice(x, block(i) * wide + 1, i % wide))))
+
+    return F.when(F.size(numbers) > 0, let(numbers, of)).otherwise(F.array().cast("array<int>"))
+
+
+def placed(gaps: Column, found: Column) -> Column:
+    """Matches with their places, given what lies between them and the matches."""
+
+    def of(parts):
+        before = sums(F.transform(parts, lambda p: p["gap"] + F.length(p["text"])))
+        start = lambda b, p: b + p["gap"]
+        made = lambda b, p: F.struct(start(b, p).alias("start"), (start(b, p) + F.length(p["text"])).alias("end"), p["text"].alias("text"))
+        return F.zip_with(before, parts, made)
+
+    parts = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("text")))
+    return let(F.filter(parts, lambda p: p["text"].isNotNull()), of).cast(MATCH)
+
+
+def words(text: Column) -> Column:
+    """Runs of word characters."""
+    return F.regexp_extract_all(text, F.lit(r"(?U)\w+"), F.lit(0))
 
 
 def replace_all(text: Column, pattern: Column, replacement) -> Column:
@@ -75,3 +108,12 @@ def vault_key(value: Column) -> Column:
 def placeholder_type(placeholder: Column) -> Column:
     """``PERSON`` for ``[PERSON_3]``; null if the value is no placeholder."""
     return F.nullif(F.regexp_extract(placeholder, r"^\[([A-Z_]+)_\d+\]$", 1), F.lit(""))
+
+
+def exploded(rows: DataFrame, array: Column, name: str) -> DataFrame:
+    """``rows`` with a row for each element ``name`` of a computed array; null elements have none.
+
+    ``explode`` would have Catalyst infer a filter on the array, which evaluates it, and all it is computed
+    from, once more for each condition.
+    """
+    return rows.withColumn(name, F.explode_outer(array)).where(F.col(name).isNotNull())

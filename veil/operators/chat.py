@@ -8,21 +8,32 @@ from veil.functions.scan import strip
 PART = "struct<type:string,text:string>"
 BODY = "struct<chat_id:string,messages:array<struct<role:string,content:string>>,metadata:struct<chat_id:string,task:string>,choices:array<struct<message:struct<role:string,content:string>,delta:string>>>"
 SPOKEN = ("user", "assistant")
+#: Beginning of the ids of requests without one.
+EPHEMERAL = "ephemeral:"
 
 
 def read_bodies(bodies: DataFrame, column: str = "body") -> DataFrame:
-    """One row a message of each JSON body: ``chat_id, task, msg_idx, role, parts``. Other bodies have no row."""
-    parsed = bodies.withColumn("__b", F.from_json(column, BODY))
-    rows = parsed.select("*", F.posexplode("__b.messages").alias("msg_idx", "__m"))
+    """One row a message of each JSON body: ``chat_id, task, msg_idx, role, parts``.
+
+    A body without a list of messages has none; ``passed`` has these.
+    """
+    rows = bodies.withColumn("__b", F.from_json(column, BODY)).withColumn("__v", F.try_parse_json(column))
+    rows = rows.select("*", F.posexplode_outer("__b.messages").alias("msg_idx", "__m")).where("msg_idx is not null")
+    content = F.try_variant_get("__v", F.concat(F.lit("$.messages["), "msg_idx", F.lit("].content")), "variant")
+    listed = F.startswith(F.schema_of_variant(content), F.lit("ARRAY"))
     chat, task = chat_id(F.col("__b.chat_id"), F.col("__b.metadata.chat_id")), F.nullif(F.col("__b.metadata.task"), F.lit(""))
-    return rows.select(*bodies.columns, chat.alias("chat_id"), task.alias("task"), "msg_idx", F.col("__m.role").alias("role"), parts(F.col("__m.content")).alias("parts"))
+    made = F.when(listed, F.from_json("__m.content", f"array<{PART}>")).otherwise(parts(F.col("__m.content")))
+    return rows.select(*bodies.columns, chat.alias("chat_id"), task.alias("task"), "msg_idx", F.col("__m.role").alias("role"), made.alias("parts"))
+
 
+def passed(bodies: DataFrame, column: str = "body") -> DataFrame:
+    """Bodies that pass unchanged, as they have no list of messages."""
+    return bodies.where(F.coalesce(F.size(F.from_json(column, BODY)["messages"]), F.lit(0)) <= 0)
 
-def parts(content: Column) -> Column:
-    """Content, a text or a JSON list of parts, as an array of parts."""
-    listed = F.from_json(content, f"array<{PART}>")
-    text = F.array(F.struct(F.lit("text").alias("type"), content.alias("text")))
-    return F.when(F.startswith(strip(content), F.lit("[")) & listed.isNotNull(), listed).otherwise(text).cast(f"array<{PART}>")
+
+def parts(text: Column) -> Column:
+    """A plain text as its one part."""
+    return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"))).cast(f"array<{PART}>")
 
 
 def is_text(part: Column) -> Column:
@@ -31,7 +42,7 @@ def is_text(part: Column) -> Column:
 
 def explode_parts(messages: DataFrame) -> DataFrame:
     """One row a text part that is not blank, with ``part_idx`` and ``text``."""
-    rows = messages.select("*", F.posexplode("parts").alias("part_idx", "__p"))
+    rows = messages.select("*", F.posexplode_outer("parts").alias("part_idx", "__p"))
     return rows.where(is_text(F.col("__p"))).withColumn("text", F.col("__p.text")).drop("__p", "parts")
 
 
@@ -47,7 +58,7 @@ def single_text(parts_: Column) -> Column:
 def chat_id(top: Column, nested: Column, ephemeral: bool = False) -> Column:
     """The id of the thread: an empty one counts as none. ``ephemeral`` gives a random one where there is none."""
     found = F.coalesce(F.nullif(top, F.lit("")), F.nullif(nested, F.lit("")))
-    return F.coalesce(found, F.concat(F.lit("ephemeral:"), F.uuid())) if ephemeral else found
+    return F.coalesce(found, F.concat(F.lit(EPHEMERAL), F.uuid())) if ephemeral else found
 
 
 def in_scope(messages: DataFrame, most: int = 20, scope: bool = True, chat: str = "chat_id", order: str = "msg_idx") -> DataFrame:
@@ -81,8 +92,11 @@ def detected(messages: DataFrame, known: DataFrame | None, skip_tasks: tuple[str
 
 
 def toggled(messages: DataFrame, users: DataFrame) -> DataFrame:
-    """Adds ``masking``: the user's own switch (``users``: ``user_id, pii_masking_enabled``), on where there is none."""
-    wanted = users.select("user_id", F.col("pii_masking_enabled").try_cast("boolean").alias("__on"))
+    """Adds ``masking``: the user's own switch (``users``: ``user_id, pii_masking_enabled``), on where there is none.
+
+    A user with several rows has it off only if none says on.
+    """
+    wanted = users.groupBy("user_id").agg(F.bool_or(F.coalesce(F.col("pii_masking_enabled").try_cast("boolean"), F.lit(True))).alias("__on"))
     return messages.join(wanted, "user_id", "left").withColumn("masking", F.coalesce("__on", F.lit(True))).drop("__on")
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veil.functions.scan import PLACEHOLDER, between, find_all, placeholder_type, replace_all, surface, values_pattern
+from veil.functions.scan import PLACEHOLDER, between, find_all, placed, placeholder_type, replace_all, surface, values_pattern
 from veil.operators.spans import STANDARD, same_persons
 
 ENTRY = "struct<entity_type:string,start:int,end:int,score:double,raw_entity_type:string,original:string,placeholder:string,key:string>"
@@ -75,19 +75,14 @@ def remask(text: Column, forward: Column) -> Column:
 def remask_spans(text: Column, forward: Column) -> Column:
     """What ``remask`` replaces: ``start, end`` in the original, ``original, placeholder, entity_type``."""
     pattern = values_pattern(F.map_keys(forward))
-    parts = F.arrays_zip(F.split(text, pattern, F.lit(-1)).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("text"))
     kind = "array<struct<start:int,end:int,original:string,placeholder:string,entity_type:string>>"
 
-    def step(acc, x):
-        start = F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + F.length(x["gap"])
-        placeholder = F.try_element_at(forward, x["text"])
-        made = F.struct(
-            start.alias("start"), (start + F.length(x["text"])).alias("end"), x["text"].alias("original"),
-            placeholder.alias("placeholder"), placeholder_type(placeholder).alias("entity_type"),
-        )
-        return F.when(x["text"].isNull(), acc).otherwise(F.concat(acc, F.array(made)))
+    def made(m):
+        held = F.try_element_at(forward, m["text"])
+        return F.struct(m["start"], m["end"], m["text"].alias("original"), held.alias("placeholder"), placeholder_type(held).alias("entity_type"))
 
-    return F.when(pattern.isNotNull() & F.rlike(text, pattern), F.aggregate(parts, F.array().cast(kind), step)).otherwise(F.array().cast(kind))
+    found = F.transform(placed(F.split(text, pattern, F.lit(-1)), F.regexp_extract_all(text, pattern, F.lit(0))), made)
+    return F.when(pattern.isNotNull() & F.rlike(text, pattern), found.cast(kind)).otherwise(F.array().cast(kind))
 
 
 def original_offset(position: Column, spans: Column) -> Column:
@@ -104,11 +99,13 @@ def original_offset(position: Column, spans: Column) -> Column:
     return F.aggregate(spans, begin, step, lambda a: F.when(~a["inside"], position - a["own"]))
 
 
-def restore(text: Column, reverse: Column) -> Column:
+def restore(text: Column, reverse: Column, active: Column | None = None) -> Column:
     """Struct of ``text``, with known placeholders replaced by their originals in one pass, and the sorted
-    lists ``restored`` and ``unknown`` of placeholders. Without a map nothing is replaced or reported."""
+    lists ``restored`` and ``unknown`` of placeholders. Without a map, or where not ``active``, nothing is
+    replaced or reported."""
     pattern = F.lit("(?U)" + PLACEHOLDER)
-    known = F.coalesce(F.size(F.map_keys(reverse)) > 0, F.lit(False)) & (F.length(text) > 0)
+    active = F.size(F.map_keys(reverse)) > 0 if active is None else active
+    known = F.coalesce(active, F.lit(False)) & (F.length(text) > 0)
     found = F.array_sort(F.array_distinct(F.transform(find_all(text, PLACEHOLDER), lambda m: m["text"])))
     empty = F.array().cast("array<string>")
     has = lambda p: F.map_contains_key(reverse, p)

@@ -1,12 +1,13 @@
 """Model detectors: overlapping windows of text, a pluggable function per window, one span for each finding."""
 
+import sys
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veil.functions.scan import find_all
+from veil.functions.scan import exploded, find_all
 from veil.operators.spans import SPANS, collapse_contained, span
 from veil.sources import ship
 
@@ -60,23 +61,28 @@ def model_spans(
 ) -> DataFrame:
     """``id_col`` and ``spans`` for texts in which the model finds something.
 
-    ``load`` runs once a task and returns the model. A window on which it fails is skipped. Findings of
+    ``load`` runs once a task and returns the model. A window on which it fails is skipped and told on the
+    task's standard error; where all windows of a task fail, so does the task. Findings of
     unmapped labels or below the threshold are dropped; one without a score has the threshold's. Of equal
     findings in overlapping windows the best score stays. Filter ``texts`` before the call: a Python
     function runs for every row that reaches it.
     """
     ship(texts.sparkSession)
     types = LABELS if labels is None else labels
-    cut = texts.select(F.col(id_col).alias("id"), F.explode(windows(F.col(text_col), size, overlap)).alias("w")).select("id", "w.offset", "w.text")
+    cut = exploded(texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("__t")), windows(F.col("__t"), size, overlap), "w").select("id", "w.offset", "w.text")
 
     def run(frames):
         model = load()
+        tried = failed = 0
         for frame in frames:
             rows = []
             for who, offset, window in zip(frame["id"], frame["offset"], frame["text"], strict=True):
+                tried += 1
                 try:
                     found = model(window)
-                except Exception:  # noqa: BLE001  one bad window must not lose the others
+                except Exception as e:  # noqa: BLE001  one bad window must not lose the others
+                    failed, last = failed + 1, e
+                    print(f"model failed on a window: {type(e).__name__}", file=sys.stderr)
                     continue
                 for label, value, start, end, score in found:
                     at, kind = place(window, value, start, end), types.get(label)
@@ -84,6 +90,8 @@ def model_spans(
                     if at and kind and score >= threshold:
                         rows.append((who, kind, offset + at[0], offset + at[1], score))
             yield pd.DataFrame(rows, columns=["id", "entity_type", "start", "end", "score"])
+        if failed > 1 and failed == tried:
+            raise RuntimeError("the model failed on every window") from last
 
     schema = cut.select("id", F.lit("").alias("entity_type"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0.0).alias("score")).schema
     best = cut.mapInPandas(run, schema).groupBy("id", "entity_type", "start", "end").agg(F.max("score").alias("score"))

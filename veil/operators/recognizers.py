@@ -13,13 +13,13 @@ from veil.operators.spans import none, span
 
 @dataclass(frozen=True)
 class Recognizer:
-    """``score`` is that of an unchecked candidate; a candidate that passes ``valid`` scores 1.
+    """``pattern`` may be several, tried one after the other. ``score`` is that of an unchecked candidate; a candidate that passes ``valid`` scores 1.
 
     Context words, if any stands in the 30 characters before, raise an unchecked score by ``boost``.
     """
 
     entity_type: str
-    pattern: str
+    pattern: str | tuple[str, ...]
     score: float
     valid: Callable[[Column], Column] | None = None
     languages: tuple[str, ...] = ("hr", "en")
@@ -28,33 +28,43 @@ class Recognizer:
     needs_digit: bool = True
 
 
-def iban(country: str, length: int, entity_type: str, languages: tuple[str, ...] = ("hr", "en")) -> Recognizer:
-    """IBAN of a country whose account part has ``length`` characters, in groups of four or without spaces."""
-    rest = length % 4
-    last = rf"\s?[A-Z0-9]{{{rest}}}" if rest else ""
-    return Recognizer(entity_type, rf"\b{country}\d{{2}}(?:\s?[A-Z0-9]{{4}}){{{length // 4}}}{last}\b", 0.5, checksums.mod97, languages)
+def iban(country: str, account: int, entity_type: str, languages: tuple[str, ...] = ("hr", "en")) -> Recognizer:
+    """IBAN of a country: its two letters, two check digits, and ``account`` letters or digits.
+
+    It is written in one piece or in groups of four from its start, of which the last may be shorter.
+    """
+    group = r"(?:\s?[A-Z0-9]{4})"
+    whole, short = divmod(account, 4)
+    pieces = [rf"\b{country}\d{{2}}", f"{group}{{{whole}}}", rf"\s?[A-Z0-9]{{{short}}}" if short else "", r"\b"]
+    return Recognizer(entity_type, "".join(pieces), 0.5, checksums.mod97, languages)
 
 
-#: Order is that of registration and breaks ties.
+#: Patterns, scores and context phrases of the national types are fixed values. Order is that of registration and breaks ties.
 NATIONAL = (
     Recognizer("HR_OIB", r"\b\d{11}\b", 0.4, checksums.oib),
     Recognizer("HR_JMBG", r"\b\d{13}\b", 0.4, checksums.jmbg),
     Recognizer("HR_IBAN", r"\bHR\d{2}(?:\s?\d{4}){4}\s?\d\b", 0.5, checksums.mod97),
     Recognizer("IE_PPSN", r"\b\d{7}[A-W][AB]?\b", 0.4, checksums.ppsn),
     Recognizer("RO_CNP", r"\b\d{13}\b", 0.4, checksums.cnp),
-    Recognizer("UK_NINO", r"\b[A-Z]{2}(?:\s\d{2}\s\d{2}\s\d{2}\s|\d{6})[A-D]\b", 0.7, checksums.nino),
+    Recognizer("UK_NINO", (r"\b[A-Z]{2}\s\d{2}\s\d{2}\s\d{2}\s[A-D]\b", r"\b[A-Z]{2}\d{6}[A-D]\b"), 0.7, checksums.nino),
     Recognizer("UK_UTR", r"(?<=\b(?:UTR|utr)\s)\d{10}\b", 0.5, checksums.utr),
     Recognizer("US_SSN", r"\b\d{3}-\d{2}-\d{4}\b", 0.7, checksums.ssn),
-    Recognizer("US_EIN", r"\b\d{2}-\d{7}\b", 0.6, context=("ein", "employer", "tax id")),
+    Recognizer("US_EIN", r"\b\d{2}-\d{7}\b", 0.6, checksums.ein, context=("EIN", "Employer Identification", "Federal Tax ID", "Tax ID")),
     iban("IE", 18, "IE_IBAN"),
     iban("RO", 20, "RO_IBAN"),
     iban("GB", 18, "GB_IBAN"),
 )
+_HEX = "[0-9A-Fa-f]{1,4}"
+#: An IPv6 address that starts with a group: eight groups, or at most seven with two colons among or after them.
+IPV6 = (
+    rf"\b(?:(?:{_HEX}:){{7}}{_HEX}|" + "|".join(rf"(?:{_HEX}:){{1,{k}}}(?::{_HEX}){{1,{7 - k}}}" for k in range(1, 7)) + rf")\b|\b(?:{_HEX}:){{1,7}}:"
+)
 #: Our own patterns for common types. Numbers of any country are not told apart as a telephone library would.
 GENERAL = (
     Recognizer("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0, needs_digit=False),
     Recognizer("CREDIT_CARD", r"\b\d(?:[ -]?\d){12,18}\b", 0.3, checksums.luhn),
     Recognizer("IP_ADDRESS", r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b", 0.6),
+    Recognizer("IP_ADDRESS", IPV6, 0.6),
     Recognizer("PHONE_NUMBER", r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}\b", 0.5),
     Recognizer("SECRET", r"(?i:password|passwd|secret|token|api_?key)[\"']?\s*[:=]\s*[\"']?[A-Za-z0-9+/_.=-]{6,}", 0.8, needs_digit=False),
     Recognizer("UK_NHS", r"\b\d{3}[ -]?\d{3}[ -]?\d{4}\b", 0.5, checksums.nhs, ("en",)),
@@ -70,7 +80,8 @@ def registry(language: str | None = None, more: tuple[Recognizer, ...] = (), wit
 
 def recognize(text: Column, r: Recognizer, ord_: int = 0) -> Column:
     """Spans of one recognizer; candidates that fail its check are dropped."""
-    found = find_all(text, r.pattern)
+    patterns = (r.pattern,) if isinstance(r.pattern, str) else r.pattern
+    found = F.concat(*(find_all(text, p) for p in patterns)) if len(patterns) > 1 else find_all(text, patterns[0])
     if r.valid:
         found = F.filter(found, lambda m: r.valid(m["text"]))
     score = F.lit(1.0 if r.valid else r.score)

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from veil.functions import checksums
-from veil.operators.recognizers import recognize
+from veil.functions.scan import exploded
+from veil.operators.recognizers import GENERAL, IPV6, NATIONAL, recognize
 from veil.plans import sql
 from veil.sources import read_table
 
@@ -16,7 +17,7 @@ def _detector(kind: str, table: str, key: str, text: str):
 
     def query(spark, sf_dir):
         t = F.col(text)
-        rows = read_table(spark, sf_dir, table).select(key, t, F.explode(recognize(t, r)).alias("s"))
+        rows = exploded(read_table(spark, sf_dir, table).select(key, t), recognize(t, r), "s")
         return rows.select(key, "s.start", "s.end", F.substring(t, F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"))
 
     check = f"WHERE {sql.luhn('v')}" if kind == "CREDIT_CARD" else ""
@@ -71,3 +72,47 @@ def _validator(check, candidate: str, test: str):
 
 for _name, _check in CHECKS.items():
     QUERIES[f"validate_{_name}"], ORACLE_SQL[f"validate_{_name}"] = _validator(*_check)
+
+#: Types that are detected in texts with their candidates: name, type, name of the check, and what the SQL's pattern has before the value.
+NATIONAL_KINDS = (
+    ("hr_oib", "HR_OIB", "oib", ""), ("hr_jmbg", "HR_JMBG", "jmbg", ""), ("hr_iban", "HR_IBAN", "iban_hr", ""), ("ie_ppsn", "IE_PPSN", "ppsn", ""),
+    ("ro_cnp", "RO_CNP", "cnp", ""), ("uk_nino", "UK_NINO", "nino", ""), ("uk_utr", "UK_UTR", "utr", "UTR "), ("us_ssn", "US_SSN", "ssn", ""),
+    ("us_ein", "US_EIN", "ein", ""), ("ie_iban", "IE_IBAN", "iban_ie", ""), ("ro_iban", "RO_IBAN", "iban_ro", ""), ("gb_iban", "GB_IBAN", "iban_gb", ""),
+)
+#: A candidate after a keyword or another word, and again inside longer words.
+_TEXT = "concat(CASE WHEN k % 2 = 0 THEN 'UTR ' ELSE 'no ' END, v, ', x', v, ' ', v, '9.')"
+
+
+def _national(kind: str, check: str, before: str):
+    r = next(r for r in NATIONAL if r.entity_type == kind)
+    _, candidate, test = CHECKS[check]
+
+    def query(spark, sf_dir):
+        rows = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).selectExpr("k", f"{candidate} AS v").selectExpr("k AS o_orderkey", f"{_TEXT} AS t")
+        found = exploded(rows, recognize(F.col("t"), r), "s")
+        return found.select("o_orderkey", "s.start", "s.end", "s.score", F.substring("t", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"))
+
+    patterns = (r.pattern,) if isinstance(r.pattern, str) else r.pattern
+    patterns = (rf"\b{before}\d{{10}}\b",) if before else patterns
+    source = f"SELECT o_orderkey, {_TEXT} AS t FROM (SELECT k AS o_orderkey, k, {candidate} AS v FROM (SELECT o_orderkey AS k FROM orders))"
+    ctes = ", ".join(sql.matches(f"f{i}", source, p, "o_orderkey") for i, p in enumerate(patterns))
+    skip = len(before)
+    rows = " UNION ALL ".join(f"SELECT o_orderkey, s + {skip} AS s, e, substr(v, {skip + 1}) AS v FROM f{i}" for i in range(len(patterns)))
+    return query, f'WITH {ctes}, a AS ({rows}) SELECT o_orderkey, CAST(s AS INT) AS start, e AS "end", 1.0::DOUBLE AS score, v AS value FROM a WHERE {test}'
+
+
+for _name, _kind, _check, _before in NATIONAL_KINDS:
+    QUERIES[f"detect_{_name}"], ORACLE_SQL[f"detect_{_name}"] = _national(_kind, _check, _before)
+
+_V6 = "concat('to 2001:db8:', CAST(o_orderkey % 9999 AS VARCHAR(20)), '::', CAST(o_orderkey % 10 AS VARCHAR(20)), ', 12:30:45 and fe80:0:0:0:1:2:3:', CAST(o_orderkey % 7777 AS VARCHAR(20)))"
+
+
+def detect_ipv6(spark, sf_dir):
+    """Addresses made of order keys, beside a time of day."""
+    rows = read_table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_V6} AS t")
+    r = next(r for r in GENERAL if r.pattern == IPV6)
+    return exploded(rows, recognize(F.col("t"), r), "s").select("o_orderkey", "s.start", "s.end")
+
+
+QUERIES["detect_ipv6"] = detect_ipv6
+ORACLE_SQL["detect_ipv6"] = f"""WITH {sql.matches("f", f"SELECT o_orderkey, {_V6} AS t FROM orders", IPV6, "o_orderkey")} SELECT o_orderkey, s AS start, e AS "end" FROM f"""

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from veil.functions import crypto
-from veil.functions.scan import find_all
+from veil.functions.scan import exploded, find_all
 from veil.operators import engine, masking, report
 from veil.plans import sql
 from veil.plans.detectors import KINDS
@@ -97,7 +97,7 @@ WHERE NOT EXISTS (SELECT 1 FROM p o WHERE o.doc_id = p.doc_id AND o.ph = p.ph AN
 def mask_report(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     rows = engine.mask_documents(docs, recognizers=GENERAL).where("n_spans > 0").join(docs.select("doc_id", "text"), "doc_id")
-    return rows.select("doc_id", F.explode(report.mask_report(F.col("text"), F.col("entries"))).alias("r")).select("doc_id", "r.value", "r.placeholder", "r.n", "r.first")
+    return exploded(rows, report.mask_report(F.col("text"), F.col("entries")), "r").select("doc_id", "r.value", "r.placeholder", "r.n", "r.first")
 
 
 #: In these queries the values of a turn are its long capitalised words, and each stands for its length.
@@ -124,7 +124,7 @@ def mask_all_occurrences(spark, sf_dir):
 
 @register("remask_spans", f"""WITH {_GUARDED} SELECT {KEYS}, s AS start, e AS "end", v AS original, ph AS placeholder FROM h WHERE ph IS NOT NULL""")
 def remask_spans(spark, sf_dir):
-    rows = _known(turns(spark, sf_dir)).select("conv_id", "turn", F.explode(masking.remask_spans(F.col("t"), F.col("forward"))).alias("s"))
+    rows = exploded(_known(turns(spark, sf_dir)), masking.remask_spans(F.col("t"), F.col("forward")), "s")
     return rows.select("conv_id", "turn", "s.start", "s.end", "s.original", "s.placeholder")
 
 
@@ -135,7 +135,7 @@ def offset_translate(spark, sf_dir):
     """Where each word of a masked turn was in the original."""
     rows = _known(turns(spark, sf_dir)).withColumn("shifts", masking.remask_spans(F.col("t"), F.col("forward")))
     rows = rows.withColumn("masked", masking.remask(F.col("t"), F.col("forward")))
-    rows = rows.select("conv_id", "turn", "shifts", F.explode(find_all(F.col("masked"), r"\[PERSON_\d+\]|" + sql.WORD)).alias("w"))
+    rows = exploded(rows, find_all(F.col("masked"), r"\[PERSON_\d+\]|" + sql.WORD), "w")
     return rows.select("conv_id", "turn", F.col("w.start").alias("masked_at"), masking.original_offset(F.col("w.start"), F.col("shifts")).alias("original_at"))
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from veil.functions.language import CROATIAN, ENGLISH, window_language
-from veil.functions.scan import find_all
+from veil.functions.scan import exploded, find_all
 from veil.operators import spans as algebra
 from veil.operators.ner import windows
 from veil.operators.spans import SPANS, span
@@ -36,7 +36,7 @@ def words(pattern: str, kind, score=0.5, text=None):
 
 
 def spread(rows, *keys):
-    return rows.select(*keys, F.explode("x").alias("s")).select(*keys, "s.entity_type", "s.start", "s.end", "s.score")
+    return exploded(rows, F.col("x"), "s").select(*keys, "s.entity_type", "s.start", "s.end", "s.score")
 
 
 def ranges(spark, sf_dir):
@@ -158,7 +158,7 @@ _LANG = f"CASE WHEN {_COUNT(ENGLISH)} > {_COUNT(CROATIAN)} + len(regexp_extract_
 
 @register("window_language", f"WITH {sql.matches('f', TURNS, '[A-Z][a-z]+', KEYS)} SELECT {KEYS}, s AS start, {_LANG} AS lang FROM f")
 def window_language_query(spark, sf_dir):
-    rows = turns(spark, sf_dir).select("conv_id", "turn", "t", F.explode(words("[A-Z][a-z]+", "PERSON")).alias("s"))
+    rows = exploded(turns(spark, sf_dir), words("[A-Z][a-z]+", "PERSON"), "s")
     return rows.select("conv_id", "turn", "s.start", window_language(F.col("t"), F.col("s.start"), F.col("s.end")).alias("lang"))
 
 
@@ -178,7 +178,8 @@ full_names AS (SELECT {KEYS}, lower(w[2]) AS last, min(v) AS name FROM k WHERE l
 SELECT k.conv_id, k.turn, k.s AS start, name AS full_name FROM k LEFT JOIN full_names ON len(w) = 1 AND k.conv_id = full_names.conv_id AND k.turn = full_names.turn AND lower(k.w[1]) = last""")
 def coreference(spark, sf_dir):
     rows = turns(spark, sf_dir).withColumn("x", words(_TWO_WORDS, "PERSON"))
-    both = rows.withColumn("n", algebra.same_persons(F.col("x"), F.col("t"))).select("conv_id", "turn", F.explode(F.arrays_zip("x", "n")).alias("z"))
+    both = rows.withColumn("n", algebra.same_persons(F.col("x"), F.col("t")))
+    both = exploded(both, F.arrays_zip("x", "n"), "z")
     return both.select("conv_id", "turn", F.col("z.x.start").alias("start"), F.col("z.n").alias("full_name"))
 
 
@@ -187,13 +188,13 @@ SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.conv_id = k.conv_id
 def subsumed_values(spark, sf_dir):
     entry = lambda m: F.struct(F.lower(m["text"]).alias("value"), F.concat(F.lit("[PERSON_"), (F.length(m["text"]) % 2).cast("string"), F.lit("]")).alias("placeholder"))
     rows = turns(spark, sf_dir).withColumn("x", F.array_distinct(F.transform(find_all(F.col("t"), "[A-Z][a-z]+"), entry)))
-    return rows.select("conv_id", "turn", F.explode(algebra.without_subsumed(F.col("x"))).alias("s")).select("conv_id", "turn", "s.value", "s.placeholder")
+    return exploded(rows, algebra.without_subsumed(F.col("x")), "s").select("conv_id", "turn", "s.value", "s.placeholder")
 
 
 @register("chunk_windows", """SELECT doc_id, CAST(i * 768 AS INT) AS "offset", length(substr(text, i * 768 + 1, 1024)) AS n_chars, md5(substr(text, i * 768 + 1, 1024)) AS digest
 FROM documents, unnest(range(0, CAST(greatest(0, ceil((length(text) - 1024) / 768.0)) AS BIGINT) + 1)) AS u(i)""")
 def chunk_windows(spark, sf_dir):
-    rows = read_table(spark, sf_dir, "documents").select("doc_id", F.explode(windows(F.col("text"))).alias("w"))
+    rows = exploded(read_table(spark, sf_dir, "documents").select("doc_id", "text"), windows(F.col("text")), "w")
     return rows.select("doc_id", F.col("w.offset").alias("offset"), F.length("w.text").cast("long").alias("n_chars"), F.md5(F.col("w.text").cast("binary")).alias("digest"))
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from veil.functions.scan import find_all, vault_key
+from veil.functions.scan import exploded, find_all, vault_key
 from veil.operators import chat, masking, vault
 from veil.plans import sql
 from veil.plans.span_algebra import KEYS, TURNS, turns
@@ -10,6 +10,14 @@ from veil.sources import read_table
 
 QUERIES, ORACLE_SQL = {}, {}
 NOW = "2024-01-20 00:00:00"
+#: Blind index key of the queries: a test value, not a secret of anyone.
+KEY = bytes(range(32))
+
+
+def at(text):
+    return F.lit(text).cast("timestamp")
+
+
 _VALUE = "[A-Z][a-z]{4,}"
 _KIND = "CASE WHEN length(v) % 2 = 0 THEN 'PERSON' ELSE 'USERNAME' END"
 _F = f"{sql.matches('f', TURNS, _VALUE, KEYS)}, k AS (SELECT *, {_KIND} AS y FROM f)"
@@ -27,7 +35,7 @@ def register(name, text):
 
 def mentions(spark, sf_dir):
     kind = F.when(F.length("m.text") % 2 == 0, "PERSON").otherwise("USERNAME")
-    rows = turns(spark, sf_dir).select("conv_id", "turn", F.explode(find_all(F.col("t"), _VALUE)).alias("m"))
+    rows = exploded(turns(spark, sf_dir), find_all(F.col("t"), _VALUE), "m")
     return rows.select(F.col("conv_id").cast("string").alias("chat_id"), kind.alias("entity_type"), F.col("m.text").alias("value"), "turn", "m.start")
 
 
@@ -61,37 +69,34 @@ def vault_untyped(spark, sf_dir):
 
 
 def _vault(spark, sf_dir):
-    now = F.lit(NOW).cast("timestamp")
-    empty = spark.createDataFrame([], vault.SCHEMA)
-    return vault.upsert(empty, mentions(spark, sf_dir), ORDER, now)
+    return vault.upsert(vault.Vault.empty(spark), mentions(spark, sf_dir), ORDER, at(NOW), KEY)
 
 
 @register("vault_snapshot", f"WITH {_F}, {_NUMBER} SELECT CAST(conv_id AS VARCHAR) AS chat_id, v AS value, concat('[', y, '_', CAST(c AS VARCHAR), ']') AS placeholder FROM n")
 def vault_snapshot(spark, sf_dir):
-    maps = vault.snapshot(_vault(spark, sf_dir), F.lit(NOW).cast("timestamp"))
-    return maps.select("chat_id", F.explode("forward").alias("value", "placeholder"))
+    maps = vault.snapshot(_vault(spark, sf_dir), at(NOW))
+    return exploded(maps, F.map_entries("forward"), "e").select("chat_id", F.col("e.key").alias("value"), F.col("e.value").alias("placeholder"))
 
 
 @register("vault_restore", f"""WITH {_F}, {_NUMBER} SELECT CAST(k.conv_id AS VARCHAR) AS chat_id, turn, s AS start, k.v AS original FROM k""")
 def vault_restore(spark, sf_dir):
     """Each mention's placeholder, looked up again."""
-    kept = _vault(spark, sf_dir)
+    kept = _vault(spark, sf_dir).mappings
     asked = mentions(spark, sf_dir).join(kept.select("chat_id", "entity_type", F.col("original_value").alias("value"), "placeholder"), ["chat_id", "entity_type", "value"])
-    return vault.look_up(asked.select("chat_id", "placeholder", "turn", "start"), kept, F.lit(NOW).cast("timestamp")).select("chat_id", "turn", "start", "original")
+    return vault.look_up(asked.select("chat_id", "placeholder", "turn", "start"), kept, at(NOW)).select("chat_id", "turn", "start", "original")
 
 
 @register("vault_incremental", f"WITH {_F}, {_NUMBER} SELECT {_ROW} FROM n")
 def vault_incremental(spark, sf_dir):
     """First turns first, then all turns: numbers go on and known values keep theirs."""
-    now = F.lit(NOW).cast("timestamp")
     rows = mentions(spark, sf_dir)
-    first = vault.upsert(spark.createDataFrame([], vault.SCHEMA), rows.where("turn = 0"), ORDER, now)
-    return vault.upsert(first, rows, ORDER, now).select(*MINTED)
+    first = vault.upsert(vault.Vault.empty(spark), rows.where("turn = 0"), ORDER, at(NOW), KEY).materialize()
+    return vault.upsert(first, rows, ORDER, at(NOW), KEY).mappings.select(*MINTED)
 
 
 @register("vault_counters", f"WITH {_F}, {_NUMBER} SELECT CAST(conv_id AS VARCHAR) AS chat_id, y AS entity_type, max(c) + 1 AS next_value FROM n GROUP BY 1, 2")
 def vault_counters(spark, sf_dir):
-    return vault.counters(_vault(spark, sf_dir)).select("chat_id", "entity_type", "next_value")
+    return _vault(spark, sf_dir).counters.select("chat_id", "entity_type", "next_value")
 
 
 def _touched(spark, sf_dir):
@@ -109,20 +114,20 @@ _T = "t AS (SELECT CAST(user_id AS VARCHAR) AS chat_id, upper(event_type) AS ent
 
 @register("vault_ttl", f"WITH {_T} SELECT chat_id, entity_type FROM t WHERE ends > TIMESTAMP '{NOW}'")
 def vault_ttl(spark, sf_dir):
-    return vault.live(_touched(spark, sf_dir), F.lit(NOW).cast("timestamp")).select("chat_id", "entity_type")
+    return vault.live(_touched(spark, sf_dir), at(NOW)).select("chat_id", "entity_type")
 
 
 @register("vault_purge", f"WITH {_T} SELECT chat_id, entity_type FROM t WHERE ends > TIMESTAMP '{NOW}' OR chat_id NOT IN (SELECT CAST(user_id AS VARCHAR) FROM events WHERE event_type = 'purchase')")
 def vault_purge(spark, sf_dir):
     chats = read_table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").cast("string").alias("chat_id"))
-    return vault.purge(_touched(spark, sf_dir), F.lit(NOW).cast("timestamp"), chats).select("chat_id", "entity_type")
+    return vault.purge(_touched(spark, sf_dir), at(NOW), chats).select("chat_id", "entity_type")
 
 
 @register("vault_renew", f"""WITH {_T} SELECT chat_id, entity_type, CASE WHEN ends > TIMESTAMP '{NOW}' AND chat_id IN (SELECT CAST(user_id AS VARCHAR) FROM events WHERE event_type = 'purchase')
 THEN TIMESTAMP '{NOW}' + INTERVAL 86400 SECOND ELSE ends END AS expires_at FROM t""")
 def vault_renew(spark, sf_dir):
     chats = read_table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").cast("string").alias("chat_id"))
-    return vault.renew(_touched(spark, sf_dir), chats, F.lit(NOW).cast("timestamp")).select("chat_id", "entity_type", "expires_at")
+    return vault.renew(_touched(spark, sf_dir), chats, at(NOW)).select("chat_id", "entity_type", "expires_at")
 
 
 @register("vault_normalised_key", r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS key FROM documents")
@@ -140,11 +145,10 @@ def remask_prior_turns(spark, sf_dir):
     first = mentions(spark, sf_dir)
     made = vault.mint(first, ORDER)
     seen = first.groupBy("chat_id", "entity_type", F.col("value").alias("original_value")).agg(F.min("turn").alias("turn"))
-    known = made.join(seen, ["chat_id", "entity_type", "original_value"]).select("chat_id", "original_value", "placeholder", second("turn").alias("created_at"), F.lit("2999-01-01").cast("timestamp").alias("expires_at"))
+    known = made.join(seen, ["chat_id", "entity_type", "original_value"]).withColumn("created_at", second("turn")).withColumn("expires_at", at("2999-01-01"))
     rows = turns(spark, sf_dir).withColumn("chat_id", F.col("conv_id").cast("string")).withColumn("turn_at", second("turn"))
-    maps = vault.prior_values(known, rows.select("chat_id", "turn", "turn_at"), F.lit(NOW).cast("timestamp"))
-    rows = rows.join(maps, ["chat_id", "turn"], "left")
-    return rows.select("chat_id", "turn", F.when(F.col("forward").isNull(), F.col("t")).otherwise(masking.remask(F.col("t"), F.col("forward"))).alias("masked"))
+    rows = vault.known_in(rows, vault.Vault(known, None), at(NOW), ["turn"], "t", "turn_at")
+    return rows.select("chat_id", "turn", masking.remask(F.col("t"), F.col("forward")).alias("masked"))
 
 
 def messages(spark, sf_dir):
@@ -213,7 +217,7 @@ def request_bodies(spark, sf_dir):
 SELECT f.conv_id AS chat_id, {_KIND} AS type, s AS start, e AS "end" FROM f JOIN l ON l.conv_id = f.conv_id AND l.turn = f.turn WHERE role = 'user'""")
 def card_public(spark, sf_dir):
     rows = messages(spark, sf_dir).withColumn("parts", chat.parts(F.col("text")))
-    found = rows.select("chat_id", "msg_idx", F.explode(find_all(F.col("text"), _VALUE)).alias("m"))
+    found = exploded(rows, find_all(F.col("text"), _VALUE), "m")
     kind = F.when(F.length("m.text") % 2 == 0, "PERSON").otherwise("USERNAME")
     return chat.card_rows(found.select("chat_id", "msg_idx", kind.alias("entity_type"), "m.start", "m.end"), rows)
 
