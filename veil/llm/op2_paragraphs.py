@@ -39,6 +39,8 @@ HOLD = 300_000
 #: Flags of a paragraph that may be repeated: it has an equal one; it shares a band with a different one.
 EQUAL, SHARED = 1, 2
 _A, _B, _MIX = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
+#: Odd factors of the words of a paragraph, by their place.
+_PLACE = np.array([pow(int(_A), i, 1 << 64) for i in range(1, MOST_WORDS + RADIUS + 2)], np.uint64)
 
 
 def _minima(x: np.ndarray, r: int) -> np.ndarray:
@@ -68,22 +70,36 @@ def _starts(hashes: np.ndarray) -> list[int]:
     return out
 
 
-def _split(text: str):
-    """Yield (start, end, words, hashes of the words, starts of the words) of the paragraphs of a text."""
+def _cut(text: str):
+    """Words of a text, their hashes and starts, and the numbers of the words at which its paragraphs start and the last one ends."""
     raw = text.encode("utf-8", "surrogatepass")
     folded = raw.translate(FOLD)
     words = folded.split()
-    if not words:
-        return
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     inside = np.frombuffer(b" " + folded, np.uint8) != 32
     first = np.flatnonzero(inside[1:] & ~inside[:-1])
     if len(raw) > len(text):
         first = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)[first] - 1
-    starts = _starts(hashes)
+    return words, hashes, first, np.array(_starts(hashes) if words else [0])
+
+
+def _split(text: str):
+    """Yield (start, end, words, starts of the words) of the paragraphs of a text."""
+    words, _, first, starts = _cut(text)
     at = [*first[starts[:-1]].tolist(), len(text)]
-    for k, (i, j) in enumerate(zip(starts, starts[1:], strict=False)):
-        yield at[k], at[k] + len(text[at[k] : at[k + 1]].rstrip()), words[i:j], hashes[i:j], first[i:j]
+    for k, (i, j) in enumerate(zip(starts.tolist(), starts[1:].tolist(), strict=False)):
+        yield at[k], at[k] + len(text[at[k] : at[k + 1]].rstrip()), words[i:j], first[i:j]
+
+
+def _numbers(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A number for each paragraph of ``sizes`` words, by the hashes of its words: equal ones have equal numbers."""
+    if not len(sizes):
+        return np.zeros(0, np.int64)
+    begin = np.cumsum(sizes) - sizes
+    x = (hashes ^ (hashes >> np.uint64(31))) * _PLACE[np.arange(len(hashes)) - np.repeat(begin, sizes)]
+    x = (np.add.reduceat(x, begin) + sizes.astype(np.uint64)) * _B
+    x = (x ^ (x >> np.uint64(29))) * _MIX
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
 
 
 def paragraphs(text: str):
@@ -102,27 +118,25 @@ def shingles(words: list[bytes], n: int = SHINGLE) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[i:] for i in range(n)), strict=False))) or [b" ".join(words)]
 
 
-def signatures(units: list[np.ndarray], n: int = SHINGLE) -> np.ndarray:
-    """The BANDS keys of each paragraph, given by the hashes of its words, as a row of longs.
+def signatures(hashes: np.ndarray, sizes: np.ndarray, n: int = SHINGLE) -> np.ndarray:
+    """The BANDS keys of each paragraph of ``sizes`` words, given by the hashes of its words, as a row of longs.
 
     A key hashes MINIMA least values of the paragraph's shingles, and its last three bits are the band's number.
     """
-    sizes = np.array([len(u) for u in units], np.int64)
+    if not len(sizes):
+        return np.zeros((0, BANDS), np.int64)
     # A paragraph of fewer than n words is one shingle: it is filled up with zeros.
     padded = np.maximum(sizes, n)
     ends = np.cumsum(padded)
-    x = np.zeros(int(ends[-1]) if len(units) else 0, np.uint64)
-    for u, at in zip(units, (ends - padded).tolist(), strict=True):
-        x[at : at + len(u)] = u
-    if not len(x):
-        return np.zeros((0, BANDS), np.int64)
+    x = np.zeros(int(ends[-1]), np.uint64)
+    x[np.arange(len(hashes)) + np.repeat(ends - padded - np.cumsum(sizes) + sizes, sizes)] = hashes
     grams = np.zeros(len(x) - n + 1, np.uint64)
     for k in range(n):
         grams = (grams ^ (grams >> np.uint64(29))) * _MIX + x[k : len(x) - n + 1 + k] * _A
     whole = np.arange(len(grams)) + n <= np.repeat(ends, padded)[: len(grams)]
     grams = grams[whole]
     first = np.r_[0, np.cumsum(padded - n + 1)[:-1]]
-    out = np.zeros((len(units), BANDS), np.uint64)
+    out = np.zeros((len(sizes), BANDS), np.uint64)
     for p in range(BANDS * MINIMA):
         turned = (grams ^ np.uint64((p + 1) * int(_B) % (1 << 64))) * _A
         turned = (turned ^ (turned >> np.uint64(31))) * _MIX
@@ -228,19 +242,11 @@ def _banded(source: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 17)]) for c in part[:2]] + [pa.array(part[2][at : at + (1 << 17)].astype(np.int32))], names=["band", "k", "n"])
 
         for batch in blocks(batches, STEP):
-            names: dict[bytes, int] = {}
-            count: Counter = Counter()
-            units = []
-            for text in batch.column(0).to_pylist():
-                for _, _, words, hashes, _ in _split(text or ""):
-                    line = b" ".join(words)
-                    if line not in names:
-                        names[line] = len(units)
-                        units.append(hashes)
-                    count[line] += 1
-            if units:
-                k = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names)).view(np.int64)
-                held.append((k, np.fromiter(map(count.__getitem__, names), np.int64, len(names)), signatures(units)))
+            cuts = [_cut(text) for text in batch.column(0).to_pylist() if text]
+            if cuts:
+                hashes, sizes = np.concatenate([c[1] for c in cuts]), np.concatenate([np.diff(c[3]) for c in cuts])
+                k, at, n = np.unique(_numbers(hashes, sizes), return_index=True, return_counts=True)
+                held.append((k, n, signatures(hashes, sizes)[at]))
             if sum(len(k) for k, _, _ in held) > HOLD:
                 yield from emit()
         if held:
@@ -256,12 +262,14 @@ def _placed(source: DataFrame) -> DataFrame:
         for batch in blocks(batches, STEP):
             row, pos, k = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                made = [xxhash.xxh3_64_intdigest(b" ".join(words)) for _, _, words, *_ in _split(text or "")]
-                row += [i] * len(made)
-                pos += range(len(made))
-                k += made
+                if text:
+                    _, hashes, _, starts = _cut(text)
+                    row.append(np.full(len(starts) - 1, i))
+                    pos.append(np.arange(len(starts) - 1, dtype=np.int32))
+                    k.append(_numbers(hashes, np.diff(starts)))
+            row, pos, k = (np.concatenate([*x, np.zeros(0, t)]) for x, t in ((row, np.int64), (pos, np.int32), (k, np.int64)))
             at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(pos, pa.int32()), pa.array(np.array(k, np.uint64).view(np.int64))], names=["key", "pos", "k"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(pos), pa.array(k)], names=["key", "pos", "k"])
 
     return source.select("key", "text").mapInArrow(run, "key binary, pos int, k long")
 
@@ -289,7 +297,7 @@ def _candidates(chosen: DataFrame, least_run: float) -> DataFrame:
         F.lit(0).cast("long").alias("uid"), "doc_id", whole.alias("pos"), whole.alias("start"), whole.alias("end"), whole.alias("word"), whole.alias("n_words"), none.cast("long").alias("k"),
         none.cast("binary").alias("h"), none.cast("binary").alias("words"), none.cast("int").alias("side"), none.cast("array<int>").alias("edge"), none.cast("array<int>").alias("places"),
     ).schema
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.uint64(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
     def run(batches):
         seen = set()
@@ -305,34 +313,35 @@ def _candidates(chosen: DataFrame, least_run: float) -> DataFrame:
 
             for i, (text, at) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 flags = {x >> 2: x & 3 for x in at}
-                units = list(_split(text or ""))
-                bounds = np.cumsum([0, *(len(u[2]) for u in units)]).tolist()
-                names = {}
+                words, hashes, first, bounds = _cut(text or "")
+                numbers, bounds = _numbers(hashes, np.diff(bounds)).tolist(), bounds.tolist()
+                begins = [*(first[bounds[:-1]].tolist()), len(text or "")]
                 for pos in sorted(flags):
-                    line = b" ".join(units[pos][2])
-                    h, names[pos] = xxhash.xxh3_128_digest(line), xxhash.xxh3_64_intdigest(line)
-                    add(i, uid + i, pos, *units[pos][:2], bounds[pos], len(units[pos][2]), names[pos], h, None if h in seen else line, flags[pos], None, None)
+                    low, high, start = bounds[pos], bounds[pos + 1], begins[pos]
+                    line = b" ".join(words[low:high])
+                    h = xxhash.xxh3_128_digest(line)
+                    end = start + len(text[start : begins[pos + 1]].rstrip())
+                    add(i, uid + i, pos, start, end, low, high - low, numbers[pos], h, None if h in seen else line, flags[pos], None, None)
                     seen.add(h)
                 # A stretch of chosen paragraphs that may be a passage, or hold one, with what is next to it.
                 stretch: list[int] = []
                 for pos in [*sorted(flags), None]:
                     if stretch and (pos is None or pos > stretch[-1] + 1):
-                        near = units[max(0, stretch[0] - 1) : stretch[-1] + 2]
-                        if sum(len(u[2]) for u in near) + 2 * RADIUS >= least_run:
+                        low, high = bounds[max(0, stretch[0] - 1)], bounds[min(len(bounds) - 1, stretch[-1] + 2)]
+                        if high - low + 2 * RADIUS >= least_run:
                             for p in stretch:
                                 for side, beside in ((0, p - 1), (1, p + 1)):
-                                    if flags[p] & EQUAL and 0 <= beside < len(units) and not flags.get(beside, 0) & EQUAL:
-                                        part = units[p + 1 : p + 9] if side else units[max(0, p - 8) : p][::-1]
-                                        step, most = 1 if side else -1, len(units[beside][2]) + RADIUS
-                                        words = [w for u in part for w in u[2][::step]][:most]
-                                        edge, places = _edge(words, [x for u in part for x in u[4][::step].tolist()][:most], side)
-                                        add(i, uid + i, p, 0, 0, 0, 0, names[p], None, None, side, edge, places)
+                                    if flags[p] & EQUAL and 0 <= beside < len(numbers) and not flags.get(beside, 0) & EQUAL:
+                                        most = bounds[beside + 1] - bounds[beside] + RADIUS
+                                        part = slice(bounds[p + 1], bounds[p + 1] + most) if side else slice(max(0, bounds[p] - most), bounds[p])
+                                        step = 1 if side else -1
+                                        edge, places = _edge(words[part][::step], first[part].tolist()[::step], side)
+                                        add(i, uid + i, p, 0, 0, 0, 0, numbers[p], None, None, side, edge, places)
                         stretch = []
                     stretch.append(pos)
             if len(seen) > HOLD:
                 seen.clear()
             arrays = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
-            arrays = [a.view(pa.int64()) if a.type == pa.uint64() else a for a in arrays]
             yield pa.RecordBatch.from_arrays([arrays[0], batch.column(0).take(pa.array(row, pa.int64())), *arrays[1:]], names=schema.names)
             uid += batch.num_rows
 
