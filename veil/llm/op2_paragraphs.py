@@ -24,6 +24,8 @@ LEAST_RUN = 51
 RADIUS = 6
 #: Where no such pair is within APART words on either side, one that is the least of INNER words on either side does.
 APART, INNER = 7, 3
+#: Words on either side that say whether a paragraph starts at a word.
+AROUND = APART + RADIUS + 2
 #: Words after which a paragraph ends where none of these comes; RADIUS words or fewer that are left over stay with it.
 MOST_WORDS = 24
 #: Members of a bucket that one task compares; larger buckets are cut into blocks and all pairs of blocks compared.
@@ -327,12 +329,14 @@ def _candidates(chosen: DataFrame, least_run: float) -> DataFrame:
                 stretch: list[int] = []
                 for pos in [*sorted(flags), None]:
                     if stretch and (pos is None or pos > stretch[-1] + 1):
-                        low, high = bounds[max(0, stretch[0] - 1)], bounds[min(len(bounds) - 1, stretch[-1] + 2)]
-                        if high - low + 2 * RADIUS >= least_run:
+                        # A text of fewer words than a passage has none; any other may, whatever its stretch.
+                        if bounds[-1] >= least_run:
+                            own = bounds[stretch[-1] + 1] - bounds[stretch[0]]
                             for p in stretch:
                                 for side, beside in ((0, p - 1), (1, p + 1)):
                                     if flags[p] & EQUAL and 0 <= beside < len(numbers) and not flags.get(beside, 0) & EQUAL:
-                                        most = bounds[beside + 1] - bounds[beside] + RADIUS
+                                        # The neighbour and what its cut depends on, or as many words as the stretch lacks.
+                                        most = int(max(bounds[beside + 1] - bounds[beside] + AROUND, least_run - own))
                                         part = slice(bounds[p + 1], bounds[p + 1] + most) if side else slice(max(0, bounds[p] - most), bounds[p])
                                         step = 1 if side else -1
                                         edge, places = _edge(words[part][::step], first[part].tolist()[::step], side)
