@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from veil.llm.arrow import blocks
 from veil.llm.graph import components
 from veil.llm.op9_decontaminate import FOLD
-from veil.sources import drop_table, materialize, read_table, ship
+from veil.sources import materialize, read_table, ship
 
 #: Words of a shingle, and least Jaccard similarity of a near copy.
 SHINGLE, SIMILAR = 5, 0.8
@@ -276,13 +276,30 @@ def _placed(source: DataFrame) -> DataFrame:
     return source.select("key", "text").mapInArrow(run, "key binary, pos int, k long")
 
 
-def _edge(words: list[bytes], starts: list[int], side: int) -> tuple[list[int], list[int]]:
+def _edge(words: list[bytes], starts: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the first 1, 2 and so on of the words that follow (side 1) or precede (0) a paragraph, and their outer ends."""
-    state, hashes = xxhash.xxh3_64(), []
-    for word in words:
+    state, hashes = xxhash.xxh3_64(), np.zeros(len(words), np.int32)
+    for i, word in enumerate(words):
         state.update(word + b" ")
-        hashes.append((state.intdigest() & 0xFFFFFFFF) - (1 << 31))
-    return hashes, [at + len(w.decode("utf-8", "surrogatepass")) for w, at in zip(words, starts, strict=True)] if side else starts
+        hashes[i] = (state.intdigest() & 0xFFFFFFFF) - (1 << 31)
+    return hashes, starts + np.array([len(w.decode("utf-8", "surrogatepass")) for w in words], np.int64) if side else starts
+
+
+def _reach(bounds: list[int], first: int, last: int, right: bool) -> int:
+    """How many words next to equal paragraphs ``first`` to ``last`` may belong to a passage that has them.
+
+    Farther out the next start of a paragraph, and all that it depends on, would be in the passage too. The
+    paragraph before that start would then have an equal one.
+    """
+    if right:
+        stop = last + 2
+        while stop < len(bounds) - 1 and bounds[stop] - bounds[first] < AROUND:
+            stop += 1
+        return bounds[min(stop, len(bounds) - 1)] - bounds[last + 1] + AROUND
+    stop = first - 1
+    while stop > 0 and bounds[last + 1] - bounds[stop] < AROUND:
+        stop -= 1
+    return bounds[first] - bounds[max(0, stop)] + AROUND
 
 
 def _candidates(chosen: DataFrame, least_run: float) -> DataFrame:
@@ -325,24 +342,18 @@ def _candidates(chosen: DataFrame, least_run: float) -> DataFrame:
                     end = start + len(text[start : begins[pos + 1]].rstrip())
                     add(i, uid + i, pos, start, end, low, high - low, numbers[pos], h, None if h in seen else line, flags[pos], None, None)
                     seen.add(h)
-                # A stretch of chosen paragraphs that may be a passage, or hold one, with what is next to it.
-                stretch: list[int] = []
-                for pos in [*sorted(flags), None]:
-                    if stretch and (pos is None or pos > stretch[-1] + 1):
-                        # A text of fewer words than a passage has none; any other may, whatever its stretch.
-                        if bounds[-1] >= least_run:
-                            own = bounds[stretch[-1] + 1] - bounds[stretch[0]]
-                            for p in stretch:
-                                for side, beside in ((0, p - 1), (1, p + 1)):
-                                    if flags[p] & EQUAL and 0 <= beside < len(numbers) and not flags.get(beside, 0) & EQUAL:
-                                        # The neighbour and what its cut depends on, or as many words as the stretch lacks.
-                                        most = int(max(bounds[beside + 1] - bounds[beside] + AROUND, least_run - own))
-                                        part = slice(bounds[p + 1], bounds[p + 1] + most) if side else slice(max(0, bounds[p] - most), bounds[p])
-                                        step = 1 if side else -1
-                                        edge, places = _edge(words[part][::step], first[part].tolist()[::step], side)
-                                        add(i, uid + i, p, 0, 0, 0, 0, numbers[p], None, None, side, edge, places)
-                        stretch = []
-                    stretch.append(pos)
+                # What is next to runs of equal paragraphs, in texts that are long enough for a passage.
+                equal = sorted(p for p in flags if flags[p] & EQUAL) if bounds[-1] >= least_run else []
+                firsts = [p for p in equal if not flags.get(p - 1, 0) & EQUAL]
+                lasts = [p for p in equal if not flags.get(p + 1, 0) & EQUAL]
+                for head, tail in zip(firsts, lasts, strict=True):
+                    for side, p, beside in ((0, head, head - 1), (1, tail, tail + 1)):
+                        if 0 <= beside < len(numbers):
+                            most = _reach(bounds, head, tail, bool(side))
+                            part = slice(bounds[p + 1], bounds[p + 1] + most) if side else slice(max(0, bounds[p] - most), bounds[p])
+                            step = 1 if side else -1
+                            edge, places = _edge(words[part][::step], first[part][::step], side)
+                            add(i, uid + i, p, 0, 0, 0, 0, numbers[p], None, None, side, edge, places)
             if len(seen) > HOLD:
                 seen.clear()
             arrays = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
@@ -356,7 +367,7 @@ def _beside(batches):
     """The edges of paragraphs at neighbours that have an equal one too: ``k``, ``side`` and the ``words`` of the neighbour."""
     for batch in batches:
         split = [line.split(b" ")[:: 1 if side else -1] for side, line in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        edges = [_edge(words, [0] * len(words), 0)[0] for words in split]
+        edges = [_edge(words, None, 0)[0] for words in split]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(edges, pa.list_(pa.int32()))], names=["k", "side", "edge"])
 
 
