@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veil.llm.arrow import blocks
-from veil.sources import drop_table, materialize, read_table, ship
+from veil.sources import materialize, read_table, ship
 
 #: Least number of occurrences of a phrase in its language, and the most words it has.
 LEAST, MOST_WORDS = 10, 3
@@ -23,7 +23,7 @@ CAPACITY, PARTITIONS = 1 << 21, 1 << 20
 #: Bits of the table that tells which hashes survived. Hashes that share a bit only cost a count in vain.
 BITS = 28
 #: Bytes of text in one piece of work of a task, and distinct n-grams that a task holds before it sends them.
-STEP, HOLD = 1 << 24, 4_000_000
+STEP, HOLD = 1 << 22, 2_000_000
 #: Keys in one row of a summary.
 ROW = 1 << 14
 #: Parts in which the best phrases of a language are chosen before all of them are ranked.
@@ -47,7 +47,7 @@ class Words:
         data = LOWER[raw[inside[1:]]]
         coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
         self.ids, self.distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-        self.piece = np.cumsum(kind == 2)[starts]
+        self.piece = np.searchsorted(np.flatnonzero(kind == 2), starts)
         self.langs, of_text = np.unique(np.array(langs, dtype=object), return_inverse=True)
         sizes = np.array([len(t) + 1 if t else 1 for t in texts])
         self.lang = of_text[np.searchsorted(np.cumsum(sizes), starts, "right")]
