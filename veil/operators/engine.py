@@ -11,6 +11,7 @@ from veil.functions.scan import PLACEHOLDER, surface
 from veil.operators import chat, masking, ner, spans, vault
 from veil.operators.recognizers import REGISTRY, Recognizer, detect
 from veil.operators.vault import Vault
+from veil.sources import materialize
 
 PART = ["chat_id", "msg_idx", "part_idx"]
 FOUND = "chat_id string, msg_idx int, part_idx int, entity_type string, start int, end int, score double, original string, placeholder string"
@@ -108,7 +109,8 @@ def mask_messages(
     analyzers: dict[str, Analyzer] | None = None,
     model: Callable[[], Callable] | None = None,
     vault_healthy: bool = True,
-    hold: Callable[[DataFrame], DataFrame] = DataFrame.persist,
+    hold: Callable[[DataFrame], DataFrame] = materialize,
+    keep: Callable[[Vault], Vault] = Vault.materialize,
 ) -> Masked:
     """One request of each chat: its masked messages, what was found, and the vault afterwards.
 
@@ -127,9 +129,9 @@ def mask_messages(
     numbered within the request, a value of two types once, and ``known`` comes back as it was. An
     unhealthy vault is an error otherwise.
 
-    All results read the spans found, so these are passed through ``hold``: Spark's cache, which recomputes
-    the blocks of a lost executor, or for instance ``veil.sources.materialize``. The cache holds texts in the
-    clear unless spark.io.encryption.enabled is set, and is freed by ``spark.catalog.clearCache()``.
+    All results read the spans found and the vault afterwards, so these pass through ``hold`` and ``keep``: tables
+    in the shared folder, written now, which end the lineage and keep plans short. ``hold`` has texts in the clear.
+    ``keep`` may put the vault elsewhere (see ``vault_store``) and returns it as it is read from there.
     """
     config = (config or EngineConfig()).validate()
     spark = messages.sparkSession
@@ -143,10 +145,12 @@ def mask_messages(
     lives = ttl(config)
     if stored:
         sealing = _sealing(config, secret)
-        known = vault.renew_chats(known, wanted.select("chat_id"), now, lives)
+        # Renewal moves the ends of live values only, so known values are looked up in the vault as it came.
+        renewed = vault.renew_chats(known, wanted.select("chat_id"), now, lives)
     published = lambda table, chats: vault.snapshot(table, now, sealing, config.encryption_strict).join(chats, "chat_id", "left_semi")
     if not config.detection_enabled:
-        return Masked(messages, empty(FOUND), known, published(known, wanted) if stored else empty(MAPS), empty(SUMMARY))
+        after = keep(renewed) if stored else known
+        return Masked(messages, empty(FOUND), after, published(after, wanted) if stored else empty(MAPS), empty(SUMMARY))
     spoken = chat.in_scope(wanted, config.history_messages, config.history_scope)
     spoken = chat.detected(spoken, vault.live(known.mappings, now) if stored else None, config.skip_tasks)
     texts = chat.explode_parts(spoken).select(*PART, "text", "detect")
@@ -162,7 +166,7 @@ def mask_messages(
     mentioned, order = _mentions(texts, text, config), ["msg_idx", "part_idx", "span_idx"]
     asked = mentioned.select("chat_id", "entity_type", "value", *order)
     if stored:
-        after = vault.upsert(known, asked, order, now, key, lives, sealing, config.key_id)
+        after = keep(vault.upsert(renewed, asked, order, now, key, lives, sealing, config.key_id))
         match = ["chat_id", "entity_type", "lookup_hash"]
         named = vault.keyed(mentioned, key).join(after.mappings.select(*match, "placeholder"), match)
         maps = published(after, texts)
