@@ -60,6 +60,6 @@ def test_context_raises_an_unchecked_score(spark):
     """A recognizer without check digits; one that has them scores 1 with and without context."""
     ticket = (Recognizer("TICKET", r"\bT-[0-9]{4}\b", 0.45, context=("ticket",)),)
     df = spark.createDataFrame([("ticket T-1234",), ("x T-1234",)], "t string").select(detect(F.col("t"), ticket).alias("s"))
-    assert [[s.score for s in r.s] for r in df.collect()] == [[0.8], [0.45]]
+    assert [[s.score for s in r.s] for r in df.collect()] == [[0.65], [0.45]]
     df = spark.createDataFrame([("EIN 12-3456789",), ("x 12-3456789",)], "t string").select(detect(F.col("t")).alias("s"))
     assert [[s.score for s in r.s if s.entity_type == "US_EIN"] for r in df.collect()] == [[1.0], [1.0]]

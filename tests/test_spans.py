@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from veil.config import DENY, EXACT_DENY, TRAILING, EngineConfig
-from veil.operators import masking
+from veil.functions.scan import running, sums
+from veil.operators import engine, masking
 from veil.operators import spans as a
-from veil.operators.spans import SPANS
+from veil.operators.spans import SPANS, merge_analyzers
 
 SCHEMA = f"t string, x {SPANS}"
 
@@ -77,7 +78,8 @@ def model_cities(text, spans):
 
 def test_overlaps_like_the_model(spark):
     rows = cases(200, 1)
-    assert run(spark, rows, lambda x, t: a.without_overlaps(x)) == [model_overlaps(s) for _, s in rows]
+    out = a.without_overlaps(spark.createDataFrame(rows, SCHEMA), "x").collect()
+    assert [[(s.entity_type, s.start, s.end, s.score) for s in r.x] for r in out] == [model_overlaps(s) for _, s in rows]
 
 
 def test_containment_like_the_model(spark):
@@ -162,7 +164,48 @@ def test_coreference(spark):
 def test_masking_numbers_by_first_occurrence(spark):
     text = "Ana x Iva x Ana x Kos"
     rows = spark.createDataFrame([(text, [("PERSON", 0, 3, 0.8, 0), ("PERSON", 6, 9, 0.8, 1), ("PERSON", 12, 15, 0.8, 2), ("EMAIL_ADDRESS", 18, 21, 0.8, 3)])], SCHEMA)
-    entries = masking.number(F.col("x"), F.col("t"))
-    out = rows.select(masking.splice(F.col("t"), entries).alias("m"), masking.forward_map(entries).alias("f")).first()
+    entries = F.col("e")
+    out = masking.number(rows, "e", "x", F.col("t")).select(masking.splice(F.col("t"), entries).alias("m"), masking.forward_map(entries).alias("f")).first()
     assert out.m == "[PERSON_1] x [PERSON_2] x [PERSON_1] x [EMAIL_1]"
     assert out.f == {"Ana": "[PERSON_1]", "Iva": "[PERSON_2]", "Kos": "[EMAIL_1]"}
+
+
+def test_texts_with_very_many_spans(spark):
+    """Selection, numbering and splicing of 20,000 spans in one text, some of which overlap, against a plain loop."""
+    words = [f"u{k % 700}@x.org" if k % 3 else f"{k % 256}.1.2.3" for k in range(20_000)]
+    text, want, numbers, at = " ".join(words), [], {}, 0
+    for w in words:
+        kind = "EMAIL" if "@" in w else "IP_ADDRESS"
+        names = numbers.setdefault(kind, {})
+        want.append((kind, at, at + len(w), f"[{kind}_{names.setdefault(w, len(names) + 1)}]"))
+        at += len(w) + 1
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    got = {r.doc_id: r for r in engine.mask_documents(docs).collect()}
+    assert [(e.entity_type, e.start, e.end, e.placeholder) for e in got[1].entries] == want
+    assert got[1].masked_text == " ".join(w[3] for w in want) and got[2].masked_text is None and got[3].masked_text == ""
+
+
+def test_running_is_a_prefix_scan(spark):
+    df = spark.createDataFrame([([5, 1, 2] * n,) for n in range(6)] + [(None,)], "v array<int>")
+    got = df.select("v", running(F.col("v"), lambda a, b: a + b, "array<int>").alias("s"), sums(F.col("v")).alias("b")).collect()
+    for r in got[:-1]:
+        assert r.s == [sum(r.v[: i + 1]) for i in range(len(r.v))] and r.b == [sum(r.v[:i]) for i in range(len(r.v))]
+    assert got[-1].s is None
+
+
+def test_union_of_analyzers_keeps_places_and_best_scores(spark):
+    """Like a loop that swaps a span for an equal one of a better score, where it stands."""
+    rng = random.Random(8)
+    for _ in range(5):
+        make = lambda: [(rng.choice(["EMAIL", "SECRET"]), a := rng.randint(0, 6), a + rng.randint(1, 2), rng.choice([0.5, 0.7, 0.9]), 0) for _ in range(rng.randint(0, 9))]
+        one, two = make(), make()
+        want = []
+        for s in one + two:
+            k = next((i for i, w in enumerate(want) if w[:3] == s[:3]), None)
+            if k is None:
+                want.append(s)
+            elif want[k][3] < s[3]:
+                want[k] = s
+        df = spark.createDataFrame([(one, two)], f"a {SPANS}, b {SPANS}")
+        got = df.select(merge_analyzers(F.col("a"), F.col("b"), F.lit("x" * 20), 100).alias("m")).first().m
+        assert [tuple(s) for s in got.spans] == [(*w[:4], 100 + i) for i, w in enumerate(want)] and got.dropped == 0

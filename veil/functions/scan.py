@@ -30,21 +30,21 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def sums(numbers: Column) -> Column:
-    """For each of an array of integers the sum of those before it.
+def running(values: Column, combine, kind: str) -> Column:
+    """For each value its combination with all before it; ``combine`` is associative and takes the earlier one first.
 
-    Sums of blocks of about the square root of their number come first, so that no array grows step by step.
+    Each pass combines a value with the one twice as far before it, so that an array is passed as often as its
+    length has binary digits, and no array grows step by step.
     """
-    total = lambda part: F.aggregate(part, F.lit(0), lambda a, b: a + b)
+    distances = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(values))).cast("int")), lambda k: F.power(F.lit(2), k).cast("int"))
+    one = lambda acc, d: F.transform(acc, lambda x, i: F.when(i >= d, combine(F.try_element_at(acc, F.greatest(i + 1 - d, F.lit(1))), x)).otherwise(x))
+    return F.when(F.size(values) > 1, F.aggregate(distances, values.cast(kind), one)).otherwise(values.cast(kind))
 
-    def of(x):
-        wide = F.ceil(F.sqrt(F.size(x))).cast("int")
-        block = lambda i: F.floor(i / wide).cast("int")
-        blocks = F.transform(F.sequence(F.lit(0), block(F.size(x) - 1)), lambda b: total(F.slice(x, b * wide + 1, wide)))
-        bases = let(blocks, lambda t: F.transform(t, lambda _, b: total(F.slice(t, F.lit(1), b))))
-        return let(bases, lambda base: F.transform(x, lambda _, i: F.element_at(base, block(i) + 1) + total(F.slice(x, block(i) * wide + 1, i % wide))))
 
-    return F.when(F.size(numbers) > 0, let(numbers, of)).otherwise(F.array().cast("array<int>"))
+def sums(numbers: Column) -> Column:
+    """For each of an array of integers the sum of those before it."""
+    upto = running(numbers, lambda a, b: a + b, "array<int>")
+    return F.zip_with(upto, numbers, lambda u, x: u - x)
 
 
 def placed(gaps: Column, found: Column) -> Column:
@@ -96,6 +96,22 @@ def between(text: Column, start: Column, end: Column) -> Column:
     return F.when(end > start, F.substring(text, start + 1, end - start)).otherwise(F.lit(""))
 
 
+#: Code points in a block of ``blocks``.
+BLOCK = 1024
+
+
+def blocks(text: Column) -> Column:
+    """The text in blocks of BLOCK code points, for ``cut_out``: finding a place in a long text means to walk there from its start."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def cut_out(parts: Column, start: Column, end: Column) -> Column:
+    """``text[start:end]`` of a text given by its ``blocks``; only those are read in which the range lies."""
+    block = lambda at: F.floor(at / BLOCK).cast("int")
+    joined = F.array_join(F.slice(parts, block(start) + 1, block(end - 1) - block(start) + 1), "")
+    return F.when(end > start, F.substring(joined, start - block(start) * BLOCK + 1, end - start)).otherwise(F.lit(""))
+
+
 def strip(value: Column) -> Column:
     return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
 
@@ -117,3 +133,11 @@ def exploded(rows: DataFrame, array: Column, name: str) -> DataFrame:
     from, once more for each condition.
     """
     return rows.withColumn(name, F.explode_outer(array)).where(F.col(name).isNotNull())
+
+
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a computed column that is evaluated once, whoever reads it.
+
+    A filter on a plain column would be pushed below the steps that compute it, and evaluate all of them again.
+    """
+    return rows.withColumn(name, F.explode_outer(F.array(value)))

@@ -44,7 +44,7 @@ def mask_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.col("__text")
     rows = docs.select(id_col, F.col(text_col).alias("__text"))
     rows = spans.select(rows, "__found", detect(text, recognizers), text, config)
-    rows = rows.withColumn("entries", masking.number(F.col("__found"), text, config.coreference if config else False))
+    rows = masking.number(rows, "entries", "__found", text, config.coreference if config else False)
     return rows.select(id_col, masking.splice(text, F.col("entries")).alias("masked_text"), F.size("entries").alias("n_spans"), "entries")
 
 
@@ -85,7 +85,7 @@ def _analyzed(texts: DataFrame, text: Column, config: EngineConfig, recognizers,
     Recognizers of several languages give equal spans, of which one stays: each is evaluated once.
     """
     chosen = tuple(r for r in recognizers if set(r.languages) & set(config.languages))
-    both = spans.merge_analyzers(*((analyzers[x](text) if x in analyzers and x in config.languages else spans.none()) for x in ("hr", "en")), text)
+    both = spans.merge_analyzers(*((analyzers[x](text) if x in analyzers and x in config.languages else spans.none()) for x in ("hr", "en")), text, len(chosen))
     none = F.struct(spans.none().alias("spans"), F.lit(0).alias("dropped"))
     rows = texts.withColumn("__both", F.when(F.col("detect"), both).otherwise(none) if analyzers else none)
     parts = [F.when(F.col("detect"), detect(text, chosen)).otherwise(spans.none()), F.col("__both.spans")]
@@ -94,7 +94,8 @@ def _analyzed(texts: DataFrame, text: Column, config: EngineConfig, recognizers,
         more = ner.model_spans(asked, model, "id", "text", config.detector_threshold)
         more = more.select(*(F.col(f"id.{c}").alias(c) for c in PART), F.col("spans").alias("__model"))
         rows = rows.join(more, PART, "left")
-        parts.append(F.coalesce("__model", spans.none()))
+        last = F.lit(len(chosen)) + F.size("__both.spans")  # the model comes after all others
+        parts.append(F.transform(F.coalesce("__model", spans.none()), lambda s, i: s.withField("ord", (last + i).cast("int"))))
     return rows.withColumn("found", F.concat(*parts)).withColumn("dropped", F.col("__both.dropped")).drop("__both", "__model")
 
 

@@ -1,9 +1,9 @@
 """Masking and restoring: placeholders in, originals out, offsets kept in step."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veil.functions.scan import PLACEHOLDER, between, find_all, placed, placeholder_type, replace_all, surface, values_pattern
+from veil.functions.scan import PLACEHOLDER, blocks, cut_out, find_all, let, once, placed, placeholder_type, replace_all, running, surface, values_pattern
 from veil.operators.spans import STANDARD, same_persons
 
 ENTRY = "struct<entity_type:string,start:int,end:int,score:double,raw_entity_type:string,original:string,placeholder:string,key:string>"
@@ -18,41 +18,54 @@ def standard_type(kind: Column, types: dict[str, str] = STANDARD) -> Column:
     return out
 
 
-def number(spans: Column, text: Column, coreference: bool = False) -> Column:
-    """Accepted spans with their placeholders, numbered by first occurrence of each value within its type.
+def number(df: DataFrame, name: str, spans: str, text: Column, coreference: bool = False) -> DataFrame:
+    """``df`` with column ``name``: the accepted spans of column ``spans`` with their placeholders.
 
-    A value seen before has its placeholder whatever its type. With ``coreference`` a bare surname has the
-    placeholder of the one full name in the text that ends with it.
+    Values are numbered by first occurrence within their type; one seen before has its placeholder
+    whatever its type. With ``coreference`` a bare surname has the placeholder of the one full name in the text that
+    ends with it. Equal values, and then equal types, are brought together by sorting, so the work does not
+    grow with the square of a text's spans. Each step is a column of its own, as in ``spans.select``.
     """
-    names = same_persons(spans, text) if coreference else F.transform(spans, lambda s: F.lit(None).cast("string"))
-    keyed = F.zip_with(spans, names, lambda s, n: F.struct(s.alias("s"), F.coalesce(n, surface(text, s)).alias("key")))
-
-    def step(acc, x):
-        kind = standard_type(x["s"]["entity_type"])
-        known = F.filter(acc, lambda a: a["key"] == x["key"])
-        # Placeholders of a type are numbered without gaps, so their distinct number is the last one.
-        taken = F.size(F.array_distinct(F.transform(F.filter(acc, lambda a: F.startswith(a["placeholder"], F.concat(F.lit("["), kind, F.lit("_")))), lambda a: a["placeholder"])))
-        fresh = F.concat(F.lit("["), kind, F.lit("_"), (taken + 1).cast("string"), F.lit("]"))
-        made = F.struct(
-            kind.alias("entity_type"), x["s"]["start"].alias("start"), x["s"]["end"].alias("end"), x["s"]["score"].alias("score"),
-            x["s"]["entity_type"].alias("raw_entity_type"), surface(text, x["s"]).alias("original"),
-            F.coalesce(F.try_element_at(known, F.lit(1))["placeholder"], fresh).alias("placeholder"), x["key"].alias("key"),
+    at = lambda x, i: F.element_at(x, i + 1)
+    kept = lambda x, field, value: running(F.transform(x, lambda v, i: F.when((i == 0) | (F.try_element_at(x, F.greatest(i, F.lit(1)))[field] != v[field]), value(v, i))), lambda a, b: F.coalesce(b, a), "array<int>")
+    shown = lambda parts: F.transform(F.col(spans), lambda s: cut_out(parts, s["start"], s["end"]))
+    full = same_persons(F.col(spans), text) if coreference else F.transform(spans, lambda s: F.lit(None).cast("string"))
+    kind = lambda s, i: standard_type(s["entity_type"]).alias("kind")
+    x, by_key, first, kinds, begin, numbers, rank = (F.col(f"__n{k}") for k in range(7))
+    steps = [
+        F.zip_with(let(blocks(text), shown), full, lambda v, n: F.struct(v.alias("value"), F.coalesce(n, v).alias("key"))),
+        F.array_sort(F.zip_with(x, F.transform(spans, lambda s, i: F.struct(i.alias("i"), kind(s, i))), lambda v, s: F.struct(v["key"].alias("key"), s["i"].alias("i"), s["kind"].alias("kind")))),
+        # For each span, in the order of the text, the place of the first one with its key.
+        F.transform(F.array_sort(F.zip_with(by_key, kept(by_key, "key", lambda v, i: v["i"]), lambda v, f: F.struct(v["i"].alias("i"), f.alias("f")))), lambda v: v["f"]),
+        # Firsts in the order of their types; a type's number is the distance from its begin.
+        F.array_sort(F.transform(F.filter(by_key, lambda v: at(first, v["i"]) == v["i"]), lambda v: F.struct(v["kind"].alias("kind"), v["i"].alias("i")))),
+        kept(kinds, "kind", lambda v, i: i),
+        F.array_sort(F.transform(kinds, lambda v, i: F.struct(v["i"].alias("i"), (i + 1 - at(begin, i)).alias("n"), v["kind"].alias("kind")))),
+        running(F.transform(first, lambda f, i: (f == i).cast("int")), lambda a, b: a + b, "array<int>"),
+    ]
+    for k, step in enumerate(steps):
+        df = df.withColumn(f"__n{k}", F.when(F.size(spans) > 0, step))
+
+    def entry(s, i):
+        made, own = F.element_at(numbers, at(rank, at(first, i))), at(x, i)
+        return F.struct(
+            kind(s, i).alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"), s["entity_type"].alias("raw_entity_type"),
+            own["value"].alias("original"), F.concat(F.lit("["), made["kind"], F.lit("_"), made["n"].cast("string"), F.lit("]")).alias("placeholder"), own["key"].alias("key"),
         )
-        return F.concat(acc, F.array(made))
 
-    return F.aggregate(keyed, F.array().cast(ENTRIES), step)
+    out = once(df, name, F.when(F.size(spans) > 0, F.transform(spans, entry).cast(ENTRIES)).otherwise(F.array().cast(ENTRIES)))
+    return out.drop(*(f"__n{k}" for k in range(7)))
 
 
 def splice(text: Column, entries: Column) -> Column:
     """The text with each entry's range replaced by its placeholder; ranges are sorted and apart."""
 
-    def step(acc, e):
-        piece = F.concat(between(text, acc["at"], e["start"]), e["placeholder"])
-        return F.struct(e["end"].alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
+    def spliced(parts):
+        before = lambda i: F.when(i == 0, 0).otherwise(F.try_element_at(entries, i)["end"])
+        pieces = F.transform(entries, lambda e, i: F.concat(cut_out(parts, before(i), e["start"]), e["placeholder"]))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, F.try_element_at(entries, F.lit(-1))["end"] + 1, F.length(text)))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    whole = F.aggregate(entries, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(entries) > 0, whole).otherwise(text)
+    return F.when(F.size(entries) > 0, let(blocks(text), spliced)).otherwise(text)
 
 
 def forward_map(entries: Column) -> Column:

@@ -15,7 +15,9 @@ from veil.operators.spans import none, span
 class Recognizer:
     """``pattern`` may be several, tried one after the other. ``score`` is that of an unchecked candidate; a candidate that passes ``valid`` scores 1.
 
-    Context words, if any stands in the 30 characters before, raise an unchecked score by ``boost``.
+    Context words, if any stands in the 30 characters before, raise an unchecked score by ``boost``. A text
+    without a ``hint``, or without the ``gate`` where there is none, is not searched: they say no more than the pattern does, and are
+    the same for many recognizers, so that a text is looked through once for all of them.
     """
 
     entity_type: str
@@ -25,7 +27,9 @@ class Recognizer:
     languages: tuple[str, ...] = ("hr", "en")
     context: tuple[str, ...] = ()
     boost: float = 0.2
-    needs_digit: bool = True
+    #: What a text must hold for the pattern to match it: one of some strings, or else a pattern that is cheaper to look for.
+    hint: tuple[str, ...] = ()
+    gate: str = r"[0-9\P{ASCII}]"
 
 
 def iban(country: str, account: int, entity_type: str, languages: tuple[str, ...] = ("hr", "en")) -> Recognizer:
@@ -36,20 +40,22 @@ def iban(country: str, account: int, entity_type: str, languages: tuple[str, ...
     group = r"(?:\s?[A-Z0-9]{4})"
     whole, short = divmod(account, 4)
     pieces = [rf"\b{country}\d{{2}}", f"{group}{{{whole}}}", rf"\s?[A-Z0-9]{{{short}}}" if short else "", r"\b"]
-    return Recognizer(entity_type, "".join(pieces), 0.5, checksums.mod97, languages)
+    return Recognizer(entity_type, "".join(pieces), 0.5, checksums.mod97, languages, gate=CODED)
 
 
+#: Gates: some digits in a row, letters before or after digits, a group between colons; letters and digits other than ASCII pass, as the patterns know all of Unicode.
+RUN, CODED, LETTERED, SIXTH = r"[0-9\P{ASCII}]{7}", r"[A-Z]{2}[\s\P{ASCII}]?[0-9\P{ASCII}]", r"[0-9\P{ASCII}]{7}[A-W]", r":[0-9A-Fa-f]{1,4}:"
 #: Patterns, scores and context phrases of the national types are fixed values. Order is that of registration and breaks ties.
 NATIONAL = (
-    Recognizer("HR_OIB", r"\b\d{11}\b", 0.4, checksums.oib),
-    Recognizer("HR_JMBG", r"\b\d{13}\b", 0.4, checksums.jmbg),
-    Recognizer("HR_IBAN", r"\bHR\d{2}(?:\s?\d{4}){4}\s?\d\b", 0.5, checksums.mod97),
-    Recognizer("IE_PPSN", r"\b\d{7}[A-W][AB]?\b", 0.4, checksums.ppsn),
-    Recognizer("RO_CNP", r"\b\d{13}\b", 0.4, checksums.cnp),
-    Recognizer("UK_NINO", (r"\b[A-Z]{2}\s\d{2}\s\d{2}\s\d{2}\s[A-D]\b", r"\b[A-Z]{2}\d{6}[A-D]\b"), 0.7, checksums.nino),
-    Recognizer("UK_UTR", r"(?<=\b(?:UTR|utr)\s)\d{10}\b", 0.5, checksums.utr),
-    Recognizer("US_SSN", r"\b\d{3}-\d{2}-\d{4}\b", 0.7, checksums.ssn),
-    Recognizer("US_EIN", r"\b\d{2}-\d{7}\b", 0.6, checksums.ein, context=("EIN", "Employer Identification", "Federal Tax ID", "Tax ID")),
+    Recognizer("HR_OIB", r"\b\d{11}\b", 0.4, checksums.oib, gate=RUN),
+    Recognizer("HR_JMBG", r"\b\d{13}\b", 0.4, checksums.jmbg, gate=RUN),
+    Recognizer("HR_IBAN", r"\bHR\d{2}(?:\s?\d{4}){4}\s?\d\b", 0.5, checksums.mod97, gate=CODED),
+    Recognizer("IE_PPSN", r"\b\d{7}[A-W][AB]?\b", 0.4, checksums.ppsn, gate=LETTERED),
+    Recognizer("RO_CNP", r"\b\d{13}\b", 0.4, checksums.cnp, gate=RUN),
+    Recognizer("UK_NINO", (r"\b[A-Z]{2}\s\d{2}\s\d{2}\s\d{2}\s[A-D]\b", r"\b[A-Z]{2}\d{6}[A-D]\b"), 0.7, checksums.nino, gate=CODED),
+    Recognizer("UK_UTR", r"(?<=\b(?:UTR|utr)\s)\d{10}\b", 0.5, checksums.utr, hint=("UTR", "utr")),
+    Recognizer("US_SSN", r"\b\d{3}-\d{2}-\d{4}\b", 0.7, checksums.ssn, hint=("-",)),
+    Recognizer("US_EIN", r"\b\d{2}-\d{7}\b", 0.6, checksums.ein, context=("EIN", "Employer Identification", "Federal Tax ID", "Tax ID"), hint=("-",)),
     iban("IE", 18, "IE_IBAN"),
     iban("RO", 20, "RO_IBAN"),
     iban("GB", 18, "GB_IBAN"),
@@ -59,16 +65,22 @@ _HEX = "[0-9A-Fa-f]{1,4}"
 IPV6 = (
     rf"\b(?:(?:{_HEX}:){{7}}{_HEX}|" + "|".join(rf"(?:{_HEX}:){{1,{k}}}(?::{_HEX}){{1,{7 - k}}}" for k in range(1, 7)) + rf")\b|\b(?:{_HEX}:){{1,7}}:"
 )
+IPV4 = r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"
+#: One whose last two groups are written as an IPv4 address, and one that starts with two colons.
+IPV6_MIXED = rf"\b(?:(?:{_HEX}:){{6}}|(?:{_HEX}:){{1,5}}:(?:{_HEX}:){{0,4}}){IPV4}"
+IPV6_LEADING = rf"(?<![\w:.])::(?:(?:{_HEX}:){{0,5}}{IPV4}|(?:{_HEX}:){{0,6}}{_HEX}\b)"
 #: Our own patterns for common types. Numbers of any country are not told apart as a telephone library would.
 GENERAL = (
-    Recognizer("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0, needs_digit=False),
-    Recognizer("CREDIT_CARD", r"\b\d(?:[ -]?\d){12,18}\b", 0.3, checksums.luhn),
-    Recognizer("IP_ADDRESS", r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b", 0.6),
-    Recognizer("IP_ADDRESS", IPV6, 0.6),
-    Recognizer("PHONE_NUMBER", r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}\b", 0.5),
-    Recognizer("SECRET", r"(?i:password|passwd|secret|token|api_?key)[\"']?\s*[:=]\s*[\"']?[A-Za-z0-9+/_.=-]{6,}", 0.8, needs_digit=False),
-    Recognizer("UK_NHS", r"\b\d{3}[ -]?\d{3}[ -]?\d{4}\b", 0.5, checksums.nhs, ("en",)),
-    Recognizer("IBAN_CODE", r"\b[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){2,7}(?:\s?[A-Z0-9]{1,3})?\b", 0.5, checksums.mod97, ("en",)),
+    Recognizer("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0, hint=("@",)),
+    Recognizer("CREDIT_CARD", r"\b\d(?:[ -]?\d){12,18}\b", 0.3, checksums.luhn, gate=r"(?:[0-9\P{ASCII}][ -]?){12}[0-9\P{ASCII}]"),
+    Recognizer("IP_ADDRESS", IPV6_MIXED, 0.6, hint=("::",), gate=SIXTH),
+    Recognizer("IP_ADDRESS", IPV6_LEADING, 0.6, hint=("::",)),
+    Recognizer("IP_ADDRESS", IPV4, 0.6, hint=(".",)),
+    Recognizer("IP_ADDRESS", IPV6, 0.6, hint=("::",), gate=SIXTH),
+    Recognizer("PHONE_NUMBER", r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}\b", 0.5, hint=("+",)),
+    Recognizer("SECRET", r"(?i:password|passwd|secret|token|api_?key)[\"']?\s*[:=]\s*[\"']?[A-Za-z0-9+/_.=-]{6,}", 0.8, hint=(":", "=")),
+    Recognizer("UK_NHS", r"\b\d{3}[ -]?\d{3}[ -]?\d{4}\b", 0.5, checksums.nhs, ("en",), gate=r"(?:[0-9\P{ASCII}]{3}[ -]?){2}"),
+    Recognizer("IBAN_CODE", r"\b[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){2,7}(?:\s?[A-Z0-9]{1,3})?\b", 0.5, checksums.mod97, ("en",), gate=CODED),
 )
 REGISTRY = NATIONAL + GENERAL
 
@@ -96,10 +108,18 @@ def recognize(text: Column, r: Recognizer, ord_: int = 0) -> Column:
     return F.transform(found, make)
 
 
+def possible(text: Column, r: Recognizer) -> Column:
+    """Whether a text may hold what the recognizer finds: has one of its hints, or its gate where no hint is given or found."""
+    tests = [F.contains(text, F.lit(h)) for h in r.hint]
+    if not r.hint or r.gate != Recognizer.gate:
+        tests.append(text.rlike(r.gate))
+    out = tests[0]
+    for test in tests[1:]:
+        out = out | test
+    return out
+
+
 def detect(text: Column, recognizers: tuple[Recognizer, ...] = REGISTRY) -> Column:
-    """Spans of all recognizers. Patterns that need a digit are not tried on texts without one."""
-    digits = [recognize(text, r, k) for k, r in enumerate(recognizers) if r.needs_digit]
-    others = [recognize(text, r, k) for k, r in enumerate(recognizers) if not r.needs_digit]
-    if digits:
-        others.append(F.when(text.rlike(r"\p{Nd}"), F.concat(*digits)).otherwise(none()))
-    return F.coalesce(F.concat(*others), none()) if others else none()
+    """Spans of all recognizers, each of which looks at texts that may hold one of its own only."""
+    found = [F.when(possible(text, r), recognize(text, r, k)).otherwise(none()) for k, r in enumerate(recognizers)]
+    return F.coalesce(F.concat(*found), none()) if found else none()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veil.config import EngineConfig
 from veil.functions.language import window_language
-from veil.functions.scan import PLACEHOLDER, between, find_all, strip, surface
+from veil.functions.scan import PLACEHOLDER, between, find_all, let, once, running, strip, surface
 
 SPAN_FIELDS = "struct<entity_type:string,start:int,end:int,score:double,ord:int>"
 SPANS = f"array<{SPAN_FIELDS}>"
@@ -110,8 +110,8 @@ def resolve_cities(spans: Column, text: Column, gap: int = CITY_GAP) -> Column:
 
 def outside_placeholders(spans: Column, text: Column) -> Column:
     """Spans that touch no placeholder already in the text, so masking twice changes nothing."""
-    held = find_all(text, PLACEHOLDER)
-    return F.filter(spans, lambda s: ~F.exists(held, lambda p: (s["start"] < p["end"]) & (s["end"] > p["start"])))
+    touches = lambda held: F.filter(spans, lambda s: ~F.exists(held, lambda p: (s["start"] < p["end"]) & (s["end"] > p["start"])))
+    return let(find_all(text, PLACEHOLDER), lambda held: F.when(F.size(held) > 0, touches(held)).otherwise(spans))
 
 
 def whitelisted(spans: Column, types: dict[str, str] = STANDARD) -> Column:
@@ -160,16 +160,32 @@ def without_phones(spans: Column, text: Column, window: int) -> Column:
     return F.filter(spans, lambda s: ~bad(s))
 
 
-def without_overlaps(spans: Column) -> Column:
-    """The best of overlapping spans: by score, then custom types, then start, then ``ord``; sorted by start."""
+def without_overlaps(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the best of overlapping spans in ``name``: by score, then custom types, then start, then ``ord``; sorted by start.
+
+    Only spans that hang together by overlaps are compared, so the work grows with a text's spans, not with their square.
+    """
     custom = lambda s: F.when(s["entity_type"].isin(*CUSTOM_TYPES), 0).otherwise(1)
-    ordered = by(F.filter(spans, lambda s: s["start"] < s["end"]), lambda s: -s["score"], custom, lambda s: s["start"])
 
     def step(acc, s):
         clash = F.exists(acc, lambda a: (s["end"] > a["start"]) & (a["end"] > s["start"]))
         return F.when(clash, acc).otherwise(F.concat(acc, F.array(s)))
 
-    return by(F.aggregate(ordered, none(), step), lambda s: s["start"])
+    def best(island):
+        ordered = by(island, lambda s: -s["score"], custom, lambda s: s["start"])
+        return F.when(F.size(island) > 1, by(F.aggregate(ordered, none(), step), lambda s: s["start"])).otherwise(island)
+
+    spans, furthest, starts, islands = (F.col(f"__o{k}") for k in range(4))
+    apart = lambda i: (i == 1) | (F.element_at(spans, i)["start"] >= F.try_element_at(furthest, F.greatest(i - 1, F.lit(1))))
+    steps = [
+        by(F.filter(name, lambda s: s["start"] < s["end"]), lambda s: s["start"]),
+        running(F.transform(spans, lambda s: s["end"]), F.greatest, "array<int>"),
+        F.filter(F.sequence(F.lit(1), F.greatest(F.size(spans), F.lit(1))), apart),
+        F.transform(starts, lambda a, i: F.slice(spans, a, F.coalesce(F.try_element_at(starts, i + 2), F.size(spans) + 1) - a)),
+    ]
+    for k, step_ in enumerate(steps):
+        df = df.withColumn(f"__o{k}", F.when(F.size(spans if k else name) > 0, step_))
+    return once(df, name, F.coalesce(F.flatten(F.transform(islands, best)), none())).drop(*(f"__o{k}" for k in range(4)))
 
 
 def select(df: DataFrame, name: str, spans: Column, text: Column, config: EngineConfig | None = None) -> DataFrame:
@@ -185,17 +201,18 @@ def select(df: DataFrame, name: str, spans: Column, text: Column, config: Engine
             lambda s: strip_trailing(s, text, config.trailing),
             lambda s: without_phones(s, text, config.oib_phone_window),
         ]
-    steps.append(lambda s: F.when(F.length(text) > 0, without_overlaps(s)).otherwise(none()))
-    out = df.withColumn("__spans", spans)
+    steps.append(lambda s: F.when(F.length(text) > 0, s).otherwise(none()))
+    out = once(df, "__spans", spans)
     for step in steps:
         now = F.col("__spans")
         out = out.withColumn("__spans", F.when(F.size(now) > 0, step(now)).otherwise(none()))
-    return out.withColumn(name, F.col("__spans")).drop("__spans")
+    return without_overlaps(out, "__spans").withColumn(name, F.col("__spans")).drop("__spans")
 
 
-def merge_analyzers(croatian: Column, english: Column, text: Column) -> Column:
+def merge_analyzers(croatian: Column, english: Column, text: Column, first: int = 0) -> Column:
     """Struct of ``spans``, the union of two analyzers' spans, and ``dropped``, the number of persons and
-    places of the other language. Of equal spans the Croatian one stays unless the English one scores more."""
+    places of the other language. Of equal spans the Croatian one stays unless the English one scores more.
+    ``ord`` counts from ``first``: what finds spans before the analyzers, such as recognizers, wins ties with them."""
     fits = lambda lang: lambda s: ~s["entity_type"].isin(*LANGUAGE_BOUND) | (window_language(text, s["start"], s["end"]) == lang)
     left, right = F.filter(croatian, fits("hr")), F.filter(english, fits("en"))
     same = lambda a, b: (a["start"] == b["start"]) & (a["end"] == b["end"]) & (a["entity_type"] == b["entity_type"])
@@ -207,7 +224,7 @@ def merge_analyzers(croatian: Column, english: Column, text: Column) -> Column:
         return F.when(at == 0, F.concat(acc, F.array(s))).when(better, swapped).otherwise(acc)
 
     merged = F.aggregate(F.concat(left, right), none(), step)
-    numbered = F.transform(merged, lambda s, i: span(s["entity_type"], s["start"], s["end"], s["score"], i))
+    numbered = F.transform(merged, lambda s, i: span(s["entity_type"], s["start"], s["end"], s["score"], i + first))
     dropped = F.size(croatian) + F.size(english) - F.size(left) - F.size(right)
     return F.struct(numbered.alias("spans"), dropped.alias("dropped"))
 
@@ -228,12 +245,12 @@ def same_persons(spans: Column, text: Column) -> Column:
     person = lambda s: s["entity_type"] == "PERSON"
     words = lambda v: F.split(strip(v), r"(?U)\s+")
     raw = F.transform(F.filter(spans, person), lambda s: surface(text, s))
-    names = F.array_distinct(F.filter(raw, lambda v: F.size(words(v)) >= 2))
+    full = F.array_distinct(F.filter(raw, lambda v: F.size(words(v)) >= 2))
 
-    def name_of(s):
+    def name_of(s, names):
         value = surface(text, s)
         found = F.filter(names, lambda n: F.lower(F.try_element_at(words(n), F.lit(-1))) == F.lower(strip(value)))
         alone = person(s) & (F.size(words(value)) == 1) & (strip(value) != "")
         return F.when(alone & (F.size(found) == 1), F.try_element_at(found, F.lit(1)))
 
-    return F.transform(spans, name_of)
+    return let(full, lambda names: F.transform(spans, lambda s: name_of(s, names)))

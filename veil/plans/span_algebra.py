@@ -67,7 +67,7 @@ st AS (
 f AS (SELECT l_orderkey, arg_max(acc, n) AS acc FROM st GROUP BY 1)
 SELECT l_orderkey, a.y AS entity_type, a.s AS start, a.e AS "end", a.score AS score FROM (SELECT l_orderkey, unnest(acc) AS a FROM f)""")
 def select_overlap(spark, sf_dir):
-    return spread(ranges(spark, sf_dir).withColumn("x", algebra.without_overlaps(F.col("x"))), "l_orderkey")
+    return spread(algebra.without_overlaps(ranges(spark, sf_dir), "x"), "l_orderkey")
 
 
 @register("whitelist_filter", f"""WITH {RANGES} SELECT l_orderkey, entity_type, {OUT}, score FROM r WHERE entity_type IN ('A', 'R')""")
