@@ -41,8 +41,8 @@ HOLD = 300_000
 #: Flags of a paragraph that may be repeated: it has an equal one; it shares a band with a different one.
 EQUAL, SHARED = 1, 2
 _A, _B, _MIX = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
-#: Odd factors of the words of a paragraph, by their place.
-_PLACE = np.array([pow(int(_A), i, 1 << 64) for i in range(1, MOST_WORDS + RADIUS + 2)], np.uint64)
+#: Odd factors of the words of a paragraph, or next to it, by their place.
+_PLACE = np.array([pow(int(_A), i, 1 << 64) for i in range(1, 4 * (MOST_WORDS + RADIUS + AROUND))], np.uint64)
 
 
 def _minima(x: np.ndarray, r: int) -> np.ndarray:
@@ -276,13 +276,18 @@ def _placed(source: DataFrame) -> DataFrame:
     return source.select("key", "text").mapInArrow(run, "key binary, pos int, k long")
 
 
-def _edge(words: list[bytes], starts: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the first 1, 2 and so on of the words that follow (side 1) or precede (0) a paragraph, and their outer ends."""
-    state, hashes = xxhash.xxh3_64(), np.zeros(len(words), np.int32)
-    for i, word in enumerate(words):
-        state.update(word + b" ")
-        hashes[i] = (state.intdigest() & 0xFFFFFFFF) - (1 << 31)
-    return hashes, starts + np.array([len(w.decode("utf-8", "surrogatepass")) for w in words], np.int64) if side else starts
+def _edges(hashes: np.ndarray, low: np.ndarray, high: np.ndarray, side: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each range of words the hashes of its first 1, 2 and so on, from its end backwards where ``side`` is 0, and the words' numbers."""
+    size = high - low
+    upto = np.cumsum(size)
+    place = np.arange(int(upto[-1]) if len(upto) else 0) - np.repeat(upto - size, size)
+    at = np.where(np.repeat(side, size) == 1, np.repeat(low, size) + place, np.repeat(high, size) - 1 - place)
+    x = hashes[at]
+    total = np.r_[np.uint64(0), np.cumsum((x ^ (x >> np.uint64(31))) * _PLACE[place])]
+    x = (total[1:] - np.repeat(total[upto - size], size)) * _B
+    x = (x ^ (x >> np.uint64(29))) * _MIX
+    parts = upto[:-1]
+    return np.split((x >> np.uint64(32)).astype(np.uint32).view(np.int32), parts), np.split(at, parts)
 
 
 def _reach(bounds: list[int], first: int, last: int, right: bool) -> int:
@@ -346,14 +351,17 @@ def _candidates(chosen: DataFrame, least_run: float) -> DataFrame:
                 equal = sorted(p for p in flags if flags[p] & EQUAL) if bounds[-1] >= least_run else []
                 firsts = [p for p in equal if not flags.get(p - 1, 0) & EQUAL]
                 lasts = [p for p in equal if not flags.get(p + 1, 0) & EQUAL]
+                beside = []
                 for head, tail in zip(firsts, lasts, strict=True):
-                    for side, p, beside in ((0, head, head - 1), (1, tail, tail + 1)):
-                        if 0 <= beside < len(numbers):
-                            most = _reach(bounds, head, tail, bool(side))
-                            part = slice(bounds[p + 1], bounds[p + 1] + most) if side else slice(max(0, bounds[p] - most), bounds[p])
-                            step = 1 if side else -1
-                            edge, places = _edge(words[part][::step], first[part][::step], side)
-                            add(i, uid + i, p, 0, 0, 0, 0, numbers[p], None, None, side, edge, places)
+                    if head:
+                        beside.append((head, 0, max(0, bounds[head] - _reach(bounds, head, tail, False)), bounds[head]))
+                    if tail + 1 < len(numbers):
+                        beside.append((tail, 1, bounds[tail + 1], min(len(words), bounds[tail + 1] + _reach(bounds, head, tail, True))))
+                if beside:
+                    at_, side, low, high = np.array(beside).T
+                    for p, s, edge, n in zip(at_.tolist(), side.tolist(), *_edges(hashes, low, high, side), strict=True):
+                        places = first[n] + [len(words[k].decode("utf-8", "surrogatepass")) for k in n.tolist()] if s else first[n]
+                        add(i, uid + i, p, 0, 0, 0, 0, numbers[p], None, None, s, edge, places)
             if len(seen) > HOLD:
                 seen.clear()
             arrays = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
@@ -366,8 +374,11 @@ def _candidates(chosen: DataFrame, least_run: float) -> DataFrame:
 def _beside(batches):
     """The edges of paragraphs at neighbours that have an equal one too: ``k``, ``side`` and the ``words`` of the neighbour."""
     for batch in batches:
-        split = [line.split(b" ")[:: 1 if side else -1] for side, line in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        edges = [_edge(words, None, 0)[0] for words in split]
+        split = [line.split(b" ") for line in batch.column(2).to_pylist()]
+        sizes = np.array(list(map(len, split)), np.int64)
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for words in split for w in words), np.uint64, int(sizes.sum()))
+        high = np.cumsum(sizes)
+        edges = _edges(hashes, high - sizes, high, batch.column(1).to_numpy())[0] if len(split) else []
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(edges, pa.list_(pa.int32()))], names=["k", "side", "edge"])
 
 
