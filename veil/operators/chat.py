@@ -22,7 +22,12 @@ def read_bodies(bodies: DataFrame, column: str = "body") -> DataFrame:
     content = F.try_variant_get("__v", F.concat(F.lit("$.messages["), "msg_idx", F.lit("].content")), "variant")
     listed = F.startswith(F.schema_of_variant(content), F.lit("ARRAY"))
     chat, task = chat_id(F.col("__b.chat_id"), F.col("__b.metadata.chat_id")), F.nullif(F.col("__b.metadata.task"), F.lit(""))
-    made = F.when(listed, F.from_json("__m.content", f"array<{PART}>")).otherwise(parts(F.col("__m.content")))
+    # Items of a list may be anything; only texts that are strings count.
+    field = lambda v, name: F.try_variant_get(v, F.lit(f"$.{name}"), "variant")
+    string = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, F.lit("$"), "string"))
+    item = lambda v: F.struct(string(field(v, "type")).alias("type"), string(field(v, "text")).alias("text"))
+    items = F.transform(F.try_variant_get(content, F.lit("$"), "array<variant>"), item)
+    made = F.when(listed, items).otherwise(parts(F.col("__m.content")))
     return rows.select(*bodies.columns, chat.alias("chat_id"), task.alias("task"), "msg_idx", F.col("__m.role").alias("role"), made.alias("parts"))
 
 
