@@ -145,8 +145,8 @@ def test_recognizers_win_ties_with_analyzers_and_these_with_the_model(spark):
     load = lambda: lambda w: [("address", w[:17], 0, 17, 0.8)]
     rows = [("c", 0, "user", text("password=hunter22"))]
     assert parts(run(spark, rows, analyzers={"en": same("USERNAME")}, model=load)) == {("c", 0): ["[SECRET_1]"]}
-    rows = [("c", 0, "user", text("is what the cat is"))]
-    assert parts(run(spark, rows, analyzers={"en": same("USERNAME")}, model=load)) == {("c", 0): ["[USERNAME_1]s"]}
+    rows = [("c", 0, "user", text("is what the cat s and"))]
+    assert parts(run(spark, rows, analyzers={"en": same("USERNAME")}, model=load)) == {("c", 0): ["[USERNAME_1] and"]}
 
 
 def test_parts_of_names_are_told_by_the_whole(spark):
@@ -178,7 +178,7 @@ def test_steps_are_evaluated_once(spark):
     ("EIN 12-3456789", [("US_EIN", 4, 14, 1.0)]), ("at 2001:db8::ff00:42:8329.", [("IP_ADDRESS", 3, 25, 0.6)]), ("1:2:3:4:5:6:7:8", [("IP_ADDRESS", 0, 15, 0.6)]),
     ("12:30:45 and a::b::c", [("IP_ADDRESS", 13, 17, 0.6)]), ("AB 12 34 56 C, AB123456C", [("UK_NINO", 0, 13, 1.0), ("UK_NINO", 15, 24, 1.0)]),
     ("UTR 1234567890", [("UK_UTR", 4, 14, 1.0)]), ("ping ::1 or (::ffff:10.0.0.1)", [("IP_ADDRESS", 5, 8, 0.6), ("IP_ADDRESS", 13, 28, 0.6)]), ("64:ff9b::192.0.2.33", [("IP_ADDRESS", 0, 19, 0.6)]),
-    ("std::vector a:::1 x::", []), ("٣٤٥ ١٢٣-٤٥-٦٧٨٩ 😀123-45-6789", [("US_SSN", 17, 28, 1.0)]),
+    ("std::vector y:::1 x::", []), ("٣٤٥ ١٢٣-٤٥-٦٧٨٩ 😀123-45-6789", [("US_SSN", 17, 28, 1.0)]),
 ])
 def test_detectors(spark, text_, want):
     df = spark.createDataFrame([(1, text_)], "doc_id long, text string")
