@@ -171,7 +171,7 @@ def test_stream_mints_like_a_batch(spark, tmp_path):
     source = tmp_path / "in"
     frame = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
     frame(("a", 0, "PERSON", "Ana"), ("a", 1, "PERSON", "Iva"), ("b", 0, "PERSON", "Iva"))
-    out = mint_stream(spark.readStream.schema(schema).parquet(str(source)))
+    out = mint_stream(spark.readStream.schema(schema).parquet(str(source)), KEY)
     run = lambda: out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
     run()
     frame(("a", 2, "PERSON", "Ana"), ("a", 3, "PERSON", "Eva"), ("a", 4, "EMAIL", "Eva"))

@@ -1,54 +1,177 @@
-"""Placeholders minted by a stateful stream. One chat is one key, so there are no races."""
+"""The vault as state of a stream: placeholders minted and looked up. One chat is one key, so there are no races."""
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from veil.functions.crypto import decrypt, encrypt
+from veil.operators.vault import TTL_SECONDS, Vault, keyed
 from veil.sources import ship
 
-OUTPUT = "chat_id string, turn long, entity_type string, value string, placeholder string"
+COLUMNS = ["chat_id", "action", "turn", "start", "entity_type", "sealed", "placeholder"]
+OUTPUT = "chat_id string, action string, turn long, start long, entity_type string, sealed string, placeholder string"
+#: Rows of an output frame, and entries that a timer looks at before it removes what has expired.
+STEP = 10_000
 
 
-def _minter(ttl_seconds: int) -> StatefulProcessor:
+def _keeper(ttl_seconds: int) -> StatefulProcessor:
     """A class of its own for each call: it travels to the workers whole and needs no library there."""
     ttl = ttl_seconds * 1000
 
-    class Minter(StatefulProcessor):
-        """Keeps each value's placeholder, and each type's next number, until the time to live has passed unused."""
+    class Keeper(StatefulProcessor):
+        """Values by keyed hash, values by placeholder and the next number of each type, each with the time it lives until.
+
+        Rows are taken frame by frame. What depends on values that are new in this batch waits in the state store;
+        only the new values themselves, a hash and a place each, are held.
+        """
 
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.values = handle.getMapState("values", "entity_type string, key string", "placeholder string", ttl)
-            self.next = handle.getMapState("next", "entity_type string", "n int", ttl)
+            self.handle = handle
+            self.values = handle.getMapState("values", "entity_type string, hash string", "placeholder string")
+            self.held = handle.getMapState("held", "placeholder string", "sealed string, entity_type string, hash string, until long")
+            self.next = handle.getMapState("next", "entity_type string", "n int, until long")
+            self.waiting = handle.getListState("waiting", "action string, turn long, start long, entity_type string, hash string, sealed string, placeholder string")
+
+        def handleInitialState(self, key, frame: pd.DataFrame, timer_values) -> None:  # noqa: N802
+            now = timer_values.getCurrentProcessingTimeInMs()
+            for kind, hashed, sealed, placeholder, number, until in zip(*(frame[c] for c in frame.columns[1:]), strict=True):
+                if until <= now:
+                    continue
+                n, least = self._number(kind, now)
+                self.next.updateValue((kind,), (max(n, int(number)), max(least, int(until))))
+                if hashed is not None:
+                    self._keep(kind, hashed, placeholder, sealed, int(until))
+            self._wake(now)
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-            frame = pd.concat(list(rows)).sort_values(["turn", "entity_type", "value"], kind="stable")
-            out = []
-            for turn, kind, value in zip(frame["turn"], frame["entity_type"], frame["value"], strict=True):
-                name = (kind, " ".join(value.split()))
-                held = self.values.getValue(name)
-                if held is None:
-                    n = (self.next.getValue((kind,)) or (1,))[0]
-                    self.next.updateValue((kind,), (n + 1,))
-                    held = (f"[{kind}_{n}]",)
-                else:
-                    self.next.updateValue((kind,), self.next.getValue((kind,)) or (1,))
-                self.values.updateValue(name, held)  # a touch renews the time to live
-                out.append((key[0], turn, kind, value, held[0]))
-            yield pd.DataFrame(out, columns=["chat_id", "turn", "entity_type", "value", "placeholder"])
+            now = timer_values.getCurrentProcessingTimeInMs()
+            fresh: dict[tuple, tuple] = {}
+            numbers: dict[str, int] = {}
+            for frame in rows:
+                out, wait, known = [], [], {}
+                for row in self._plain(frame):
+                    action, turn, start, kind, hashed, sealed, placeholder = row
+                    asked = placeholder if action == "restore" else (kind, hashed)
+                    if asked not in known:
+                        known[asked] = None if asked in fresh else self._renewed(asked, now)
+                    if action != "restore" and kind not in numbers:
+                        numbers[kind] = self._number(kind, now)[0]
+                    if known[asked]:
+                        out.append(self._answer(key, row, known[asked]))
+                        continue
+                    wait.append(row)
+                    if action != "restore":
+                        fresh[asked] = min(fresh.get(asked, (turn, start, sealed)), (turn, start, sealed))
+                if wait:
+                    self.waiting.appendList(wait)
+                if out:
+                    yield pd.DataFrame(out, columns=COLUMNS)
+            for (kind, hashed), (_, _, sealed) in sorted(fresh.items(), key=lambda x: (x[1], x[0])):
+                placeholder = f"[{kind}_{numbers[kind]}]"
+                numbers[kind] += 1
+                self._keep(kind, hashed, placeholder, sealed, now + ttl)
+                fresh[kind, hashed] = placeholder, sealed, kind
+            for kind, n in numbers.items():
+                self.next.updateValue((kind,), (n, now + ttl))
+            waiting = self.waiting.get() if fresh or self.waiting.exists() else iter(())
+            while part := list(islice(waiting, STEP)):
+                found = {p: self._renewed(p, now) for p in {r[6] for r in part if r[0] == "restore"}}
+                yield pd.DataFrame([self._answer(key, r, found[r[6]] if r[0] == "restore" else fresh[r[3], r[4]]) for r in part], columns=COLUMNS)
+            self.waiting.clear()
+            self._wake(now)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            now = timerValues.getCurrentProcessingTimeInMs()
+            for table, end in ((self.held, 3), (self.next, 1)):
+                while gone := list(islice(((k, v) for k, v in table.iterator() if v[end] <= now), STEP)):
+                    for k, v in gone:
+                        if table is self.held and self.values.getValue((v[1], v[2])) == tuple(k):
+                            self.values.removeKey((v[1], v[2]))
+                        table.removeKey(tuple(k))
+            self._wake(now)
+            yield pd.DataFrame(columns=COLUMNS)
 
         def close(self) -> None:
             pass
 
-    return Minter()
+        @staticmethod
+        def _plain(frame):
+            text = lambda c: frame[c].astype(object).where(frame[c].notna(), None)
+            return zip(text("action"), frame["turn"].tolist(), frame["start"].tolist(), *map(text, ("entity_type", "hash", "sealed", "placeholder")), strict=True)
+
+        def _number(self, kind, now):
+            """A type's next number, and until when it is remembered."""
+            held = self.next.getValue((kind,))
+            return (held[0], held[1]) if held and held[1] > now else (1, 0)
+
+        def _keep(self, kind, hashed, placeholder, sealed, until):
+            self.values.updateValue((kind, hashed), (placeholder,))
+            self.held.updateValue((placeholder,), (sealed, kind, hashed, until))
+
+        def _renewed(self, asked, now):
+            """Placeholder, value and type of what lives, by its placeholder or its type and hash; it then lives on."""
+            found = (asked,) if isinstance(asked, str) else self.values.getValue(asked)
+            held = found and self.held.getValue((found[0],))
+            if not held or held[3] <= now or not isinstance(asked, str) and (held[1], held[2]) != asked:
+                return None
+            self.held.updateValue((found[0],), (held[0], held[1], held[2], max(held[3], now + ttl)))
+            return found[0], held[0], held[1]
 
+        @staticmethod
+        def _answer(key, row, known):
+            """A look-up gets the value, or none; a mention keeps its own form and gets the placeholder."""
+            action, turn, start, kind, _, sealed, placeholder = row
+            if action == "restore":
+                return key[0], action, turn, start, known and known[2], known and known[1], placeholder
+            return key[0], action, turn, start, kind, sealed, known and known[0]
 
-def mint_stream(mentions: DataFrame, ttl_seconds: int = 86_400) -> DataFrame:
-    """A stream of ``chat_id, turn, entity_type, value`` with its placeholders. Needs the RocksDB state store.
+        def _wake(self, now):
+            """One timer a chat, as long as it has anything that will expire."""
+            if not any(t > now for t in self.handle.listTimers()) and (self.next.exists() or self.held.exists()):
+                self.handle.registerTimer(now + ttl)
 
-    With an availableNow trigger, set spark.sql.streaming.noDataMicroBatches.enabled to false: times to live
-    would otherwise ask for one batch without data after another.
+    return Keeper()
+
+
+def vault_stream(rows: DataFrame, key: bytes, ttl_seconds: int = TTL_SECONDS, secret: bytes | None = None, initial: Vault | None = None, key_id: int = 1) -> DataFrame:
+    """Mentions get placeholders and placeholders their values, from the state of a chat.
+
+    ``rows``, a stream, has ``chat_id``, ``action`` (``mask``, or ``restore`` for a look-up), ``turn``, ``start``,
+    ``entity_type``, ``value`` and ``placeholder``; a mention has type and value, a look-up a placeholder. The same columns come
+    back, filled in; ``value`` is null where a placeholder is unknown or expired. A mention without type or value is left
+    out. New values of a batch are numbered by turn and start, as ``vault.mint`` numbers them, and look-ups come after the
+    mentions of their batch. With ``initial``, a vault made by batches, numbers go on from its counters and its values
+    live as long as they would have there; it is read once, when the stream first starts. Values are known by the hash
+    keyed with ``key``; with ``secret`` they are stored encrypted, and only so pass through Python.
+
+    Needs the RocksDB state store. With an availableNow trigger, set spark.sql.streaming.noDataMicroBatches.enabled to
+    false: timers would otherwise ask for one batch without data after another.
     """
-    ship(mentions.sparkSession)
-    return mentions.groupBy("chat_id").transformWithStateInPandas(_minter(ttl_seconds), OUTPUT, "Append", "ProcessingTime")
+    ship(rows.sparkSession)
+    seal = lambda c: encrypt(F.col(c), secret, key_id) if secret else F.col(c)
+    is_mask = F.col("action") == "mask"
+    wanted = (is_mask & F.col("entity_type").isNotNull() & F.col("value").isNotNull()) | ((F.col("action") == "restore") & F.col("placeholder").isNotNull())
+    place = [F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ("turn", "start")]
+    hashed = F.when(is_mask, F.hex("lookup_hash")).alias("hash")
+    source = keyed(rows.where(wanted), key).select("chat_id", "action", *place, "entity_type", hashed, F.when(is_mask, seal("value")).alias("sealed"), "placeholder")
+    state = None
+    if initial is not None:
+        until = F.unix_millis("expires_at").alias("until")
+        known = initial.mappings.select("chat_id", "entity_type", F.hex("lookup_hash").alias("hash"), F.col("original_value").alias("sealed"), "placeholder", (F.col("counter_index") + 1).alias("n"), until)
+        none = lambda c: F.lit(None).cast("string").alias(c)
+        numbers = initial.counters.select("chat_id", "entity_type", none("hash"), none("sealed"), none("placeholder"), F.col("next_value").alias("n"), until)
+        state = known.unionByName(numbers).groupBy("chat_id")
+    out = source.groupBy("chat_id").transformWithStateInPandas(_keeper(ttl_seconds), OUTPUT, "Append", "ProcessingTime", initialState=state)
+    value = decrypt(F.col("sealed"), secret) if secret else F.col("sealed")
+    return out.select("chat_id", "action", "turn", "start", "entity_type", value.alias("value"), "placeholder")
+
+
+def mint_stream(mentions: DataFrame, key: bytes, ttl_seconds: int = TTL_SECONDS, secret: bytes | None = None, initial: Vault | None = None) -> DataFrame:
+    """A stream of ``chat_id, turn, entity_type, value`` (and ``start``, if it has one) with its placeholders; see ``vault_stream``."""
+    start = F.col("start") if "start" in mentions.columns else F.lit(0)
+    rows = mentions.select("chat_id", F.lit("mask").alias("action"), "turn", start.alias("start"), "entity_type", "value", F.lit(None).cast("string").alias("placeholder"))
+    return vault_stream(rows, key, ttl_seconds, secret, initial).select("chat_id", "turn", "start", "entity_type", "value", "placeholder")
