@@ -18,8 +18,10 @@ def _parts(text: Column) -> Column:
 
 def _joined(parts: Column, at: Column, size: Column) -> Column:
     """The text of ``size`` words from the place ``at``, counted from 1, without what follows the last one."""
-    inner = F.transform(F.slice(parts, at, size - 1), lambda p: F.concat(p["word"], p["gap"]))
-    return F.concat(F.array_join(F.when(size > 1, inner).otherwise(F.array().cast("array<string>")), ""), F.element_at(parts, at + size - 1)["word"])
+    # By single places: ``slice`` would copy the whole array for each word.
+    before = F.when(size > 1, F.sequence(at, at + size - 2)).otherwise(F.array().cast("array<int>"))
+    part = lambda p: F.concat(p["word"], p["gap"])
+    return F.concat(F.array_join(F.transform(before, lambda j: part(F.try_element_at(parts, j))), ""), F.try_element_at(parts, at + size - 1)["word"])
 
 
 def name_table(names: DataFrame, name_col: str = "name", type_col: str = "entity_type") -> DataFrame:
@@ -58,7 +60,7 @@ def listed_spans(texts: DataFrame, names: DataFrame, id_col: str = "doc_id", tex
 
     def begun(word, i):
         fits = F.filter(wanted, lambda k: i + k <= F.size(parts))
-        made = lambda k: F.struct(word["start"].alias("start"), F.element_at(parts, i + k)["end"].alias("end"), _joined(parts, i + 1, k).alias("name"))
+        made = lambda k: F.struct(word["start"].alias("start"), F.try_element_at(parts, i + k)["end"].alias("end"), _joined(parts, i + 1, k).alias("name"))
         return F.transform(fits, made)
 
     sequences = exploded(source, F.flatten(F.transform(parts, begun)), "s").select("id", "__of", "s.start", "s.end", "s.name")

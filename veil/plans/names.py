@@ -2,13 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from veil.functions.scan import exploded, find_all
+from veil.functions.scan import exploded
 from veil.operators.names import listed_spans
 from veil.plans import sql
 from veil.sources import read_table
 
-#: Of a document, the words from the first to the second of these are a name, by the remainder of its number by three.
-RANGES = ((1, 2), (1, 3), (2, 3))
+#: A document names its first two words, its first three or its second and third, by the remainder of its number by three.
+OPENINGS = (r"(?U)^\W*(\w+\W+\w+)", r"(?U)^\W*(\w+\W+\w+\W+\w+)", r"(?U)^\W*\w+\W+(\w+\W+\w+)")
 _TEXT = "SELECT doc_id, coalesce(text, '') AS t FROM documents"
 _SPACE = r"regexp_replace(lead(gap, {0}) OVER w, '\s+', ' ', 'g')"
 SQL = f"""WITH {sql.matches("f", _TEXT, sql.WORD, "doc_id")},
@@ -27,12 +27,9 @@ SELECT doc_id, z.y AS entity_type, z.s AS start, CAST(z.e AS INT) AS "end" FROM
 def listed_names(spark, sf_dir):
     """Names that documents open with, found in all documents: the longest from the left."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = docs.select("doc_id", "text", find_all(F.col("text"), r"\w+").alias("w"))
-    ranges = [F.when(F.col("doc_id") % 3 == r, F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))) for r, (a, b) in enumerate(RANGES)]
-    words = words.withColumn("r", F.coalesce(*ranges)).where(F.size("w") >= F.col("r.b"))
-    start, end = F.element_at("w", F.col("r.a"))["start"], F.element_at("w", F.col("r.b"))["end"]
+    opening = F.coalesce(*(F.when(F.col("doc_id") % 3 == r, F.regexp_extract("text", p, 1)) for r, p in enumerate(OPENINGS)))
     kind = F.when(F.col("doc_id") % 2 == 0, "PERSON").otherwise("USERNAME")
-    names = words.select(F.substring("text", start + 1, end - start).alias("name"), kind.alias("entity_type"))
+    names = docs.select(opening.alias("name"), kind.alias("entity_type"))
     found = exploded(listed_spans(docs, names), F.col("spans"), "s")
     return found.select("doc_id", "s.entity_type", "s.start", "s.end")
 
