@@ -10,18 +10,18 @@ WORD = r"\w+"
 
 
 def _parts(text: Column) -> Column:
-    """Words with their places and what follows each, runs of white space there as one space."""
-    gaps = F.slice(F.split(text, f"(?U){WORD}", -1), 2, 1 << 30)
+    """Words with their places and what stands before each, runs of white space there as one space."""
+    gaps = F.split(text, f"(?U){WORD}", -1)
     space = lambda g: F.regexp_replace(g, r"(?U)\s+", " ")
-    return F.zip_with(find_all(text, WORD), gaps, lambda w, g: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["text"].alias("word"), space(g).alias("gap")))
+    made = lambda w, g: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["text"].alias("word"), space(g).alias("gap"))
+    return F.zip_with(find_all(text, WORD), F.slice(gaps, F.lit(1), F.size(gaps) - 1), made)
 
 
-def _joined(parts: Column, at: Column, size: Column) -> Column:
-    """The text of ``size`` words from the place ``at``, counted from 1, without what follows the last one."""
-    # By single places: ``slice`` would copy the whole array for each word.
-    before = F.when(size > 1, F.sequence(at, at + size - 2)).otherwise(F.array().cast("array<int>"))
-    part = lambda p: F.concat(p["word"], p["gap"])
-    return F.concat(F.array_join(F.transform(before, lambda j: part(F.try_element_at(parts, j))), ""), F.try_element_at(parts, at + size - 1)["word"])
+def _grown(shorter: Column, parts: Column, size: int) -> Column:
+    """The sequences of ``size`` words of a text from those of one word less."""
+    n = F.greatest(F.size(parts) - (size - 1), F.lit(0))
+    more = lambda a, p: F.struct(a["start"].alias("start"), p["end"].alias("end"), F.concat(a["name"], p["gap"], p["word"]).alias("name"))
+    return F.zip_with(F.slice(shorter, F.lit(1), n), F.slice(parts, F.lit(size), n), more)
 
 
 def name_table(names: DataFrame, name_col: str = "name", type_col: str = "entity_type") -> DataFrame:
@@ -31,7 +31,8 @@ def name_table(names: DataFrame, name_col: str = "name", type_col: str = "entity
     a name with several types has the first by alphabet.
     """
     source = once(names.select(F.col(name_col).alias("__n"), F.col(type_col).alias("entity_type")).where("__n is not null and entity_type is not null"), "__p", _parts(F.col("__n")))
-    source = source.where(F.size("__p") > 0).select(_joined(F.col("__p"), F.lit(1), F.size("__p")).alias("name"), "entity_type", F.size("__p").alias("size"))
+    whole = F.array_join(F.transform("__p", lambda p, i: F.when(i == 0, p["word"]).otherwise(F.concat(p["gap"], p["word"]))), "")
+    source = source.where(F.size("__p") > 0).select(whole.alias("name"), "entity_type", F.size("__p").alias("size"))
     return source.groupBy("name", "size").agg(F.min("entity_type").alias("entity_type"))
 
 
@@ -56,14 +57,11 @@ def listed_spans(texts: DataFrame, names: DataFrame, id_col: str = "doc_id", tex
         return empty
     # Of texts that share an id, each has its own hash, so that their words do not mix.
     source = once(source.select("id", F.xxhash64("__t", F.length("__t")).alias("__of"), "__t"), "__p", _parts(F.col("__t")))
-    parts, wanted = F.col("__p"), F.array(*map(F.lit, sizes))
-
-    def begun(word, i):
-        fits = F.filter(wanted, lambda k: i + k <= F.size(parts))
-        made = lambda k: F.struct(word["start"].alias("start"), F.try_element_at(parts, i + k)["end"].alias("end"), _joined(parts, i + 1, k).alias("name"))
-        return F.transform(fits, made)
-
-    sequences = exploded(source, F.flatten(F.transform(parts, begun)), "s").select("id", "__of", "s.start", "s.end", "s.name")
+    one = F.transform("__p", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["word"].alias("name")))
+    source = once(source, "__s1", one)
+    for size in range(2, sizes[-1] + 1):  # a step of the plan for each word of the longest name
+        source = once(source, f"__s{size}", _grown(F.col(f"__s{size - 1}"), F.col("__p"), size))
+    sequences = exploded(source.select("id", "__of", F.concat(*(f"__s{k}" for k in sizes)).alias("__all")), F.col("__all"), "s").select("id", "__of", "s.start", "s.end", "s.name")
     met = sequences.join(listed.select("name", "entity_type"), "name").select("id", "__of", "start", "end", "entity_type").distinct()
     order = Window.partitionBy("id", "__of").orderBy("start", F.desc("end"))
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
