@@ -28,7 +28,7 @@ def stream(spark, sf_dir):
     """Mentions of all turns, read as a stream upon a vault with those of the first turns, and look-ups in each conversation."""
     known = upsert(Vault.empty(spark), mentions(spark, sf_dir).where("turn = 0"), ORDER, F.current_timestamp(), KEY).materialize()
     schema = read_table(spark, sf_dir, "conversations").schema
-    turns = spark.readStream.schema(schema).option("pathGlobFilter", "conversations*").option("recursiveFileLookup", "true").parquet(sf_dir)
+    turns = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations.parque[t]")  # a stream takes a single file only by a glob
     turns = turns.select(F.col("conv_id").cast("string").alias("chat_id"), "turn", F.coalesce("text", F.lit("")).alias("t"))
     none = F.lit(None).cast("string")
     kind = F.when(F.length("m.text") % 2 == 0, "PERSON").otherwise("USERNAME")
