@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from veil.functions import crypto
 from veil.functions.scan import exploded, find_all
 from veil.operators import engine, masking, report
+from veil.operators.recognizers import IPV4, REGISTRY, Recognizer
 from veil.plans import sql
 from veil.plans.detectors import KINDS
 from veil.plans.span_algebra import KEYS, TURNS, turns
@@ -13,6 +14,8 @@ from veil.sources import read_table
 QUERIES, ORACLE_SQL = {}, {}
 GENERAL = tuple(sql.recognizer(k) for k in KINDS.values())
 EMAIL = (sql.recognizer("EMAIL_ADDRESS"),)
+#: The same kinds with addresses of IP version 4; ``sql.recognizer`` takes the first of a type, which finds version 6 only.
+ROLLED = tuple(next(x for x in REGISTRY if x.pattern == IPV4) if r.entity_type == "IP_ADDRESS" else r for r in GENERAL)
 #: Keys of the queries over made-up secrets: test values, not secrets of anyone.
 KEY, SECRET = bytes(range(32)), bytes(range(32, 64))
 
@@ -27,10 +30,10 @@ def register(name, text):
     return keep
 
 
-def _found(source: str, key: str) -> str:
+def _found(source: str, key: str, recognizers: tuple[Recognizer, ...] = GENERAL) -> str:
     """CTEs ending in ``acc``: the greedy choice among the general recognizers' matches, at most one row a span."""
     parts, union = [], []
-    for k, r in enumerate(GENERAL):
+    for k, r in enumerate(recognizers):
         parts.append(sql.matches(f"f{k}", source, r.pattern, key))
         check = f" WHERE {sql.luhn('v')}" if r.entity_type == "CREDIT_CARD" else ""
         name = {"EMAIL_ADDRESS": "EMAIL", "PHONE_NUMBER": "PHONE"}.get(r.entity_type, r.entity_type)
@@ -86,9 +89,9 @@ def pii_summary(spark, sf_dir):
     return report.summary(engine.detections(read_table(spark, sf_dir, "documents"), GENERAL))
 
 
-@register("pii_rollup", f"""WITH RECURSIVE {_found(_DOCS, 'doc_id')} SELECT source, y AS entity_type, count(*) AS n_detections FROM acc JOIN documents USING (doc_id) GROUP BY ROLLUP (source, y)""")
+@register("pii_rollup", f"""WITH RECURSIVE {_found(_DOCS, 'doc_id', ROLLED)} SELECT source, y AS entity_type, count(*) AS n_detections FROM acc JOIN documents USING (doc_id) GROUP BY ROLLUP (source, y)""")
 def pii_rollup(spark, sf_dir):
-    return report.rollup(engine.detections(read_table(spark, sf_dir, "documents"), GENERAL, keep=("doc_id", "source")))
+    return report.rollup(engine.detections(read_table(spark, sf_dir, "documents"), ROLLED, keep=("doc_id", "source")))
 
 
 @register("mask_report", f"""WITH RECURSIVE {_found(_DOCS, 'doc_id')}, {_NUMBERED}, p AS (SELECT DISTINCT doc_id, v, ph FROM z)
