@@ -57,3 +57,17 @@ def test_no_shuffle_of_texts_and_no_python(spark):
     docs = spark.createDataFrame([(1, "Ana Kos")], "doc_id long, text string")
     plan = listed_spans(docs, table(spark, {"Ana": "PERSON"}))._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Cartesian" not in plan
+
+
+def test_names_beyond_what_is_broadcast(spark, monkeypatch):
+    """The same spans whether hashes of names are sent or shuffled; letters beyond 16 bits, a name of very many words, gaps at both ends."""
+    long = " ".join(f"w{i % 7}" for i in range(300))
+    names = {"𝒜na Kos": "PERSON", "Kos": "USERNAME", long: "ADDRESS"}
+    texts = ["?! 𝒜na \n Kos, Kos 𝒜na😀", f"  x {long} w6 w0", "𝒜𝒜na Kos-", "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {0: [("PERSON", 3, 12), ("USERNAME", 14, 17)], 1: [("ADDRESS", 4, 4 + len(long))], 2: [("USERNAME", 5, 8)]}
+    assert spans(listed_spans(docs, table(spark, names))) == want
+    plan = listed_spans(docs, table(spark, names))._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and "LeftSemi" in plan
+    monkeypatch.setattr("veil.operators.names.HASHES", 2)
+    assert spans(listed_spans(docs, table(spark, names))) == want

@@ -3,25 +3,29 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veil.functions.scan import exploded, find_all, once
+from veil.functions.scan import let, once, sums
 from veil.operators.spans import SPANS, span
 
 WORD = r"\w+"
+#: Names whose hashes are sent to all workers at most.
+HASHES = 1 << 21
 
 
-def _parts(text: Column) -> Column:
-    """Words with their places and what stands before each, runs of white space there as one space."""
-    gaps = F.split(text, f"(?U){WORD}", -1)
-    space = lambda g: F.regexp_replace(g, r"(?U)\s+", " ")
-    made = lambda w, g: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["text"].alias("word"), space(g).alias("gap"))
-    return F.zip_with(find_all(text, WORD), F.slice(gaps, F.lit(1), F.size(gaps) - 1), made)
+def _sequence(size: int) -> str:
+    """Pattern that finds nothing but a place: of the first of ``size`` words in a row, which are its group."""
+    return r"(?U)\b(?=(\w++" + r"\W++\w++" * (size - 1) + "))"
 
 
-def _grown(shorter: Column, parts: Column, size: int) -> Column:
-    """The sequences of ``size`` words of a text from those of one word less."""
-    n = F.greatest(F.size(parts) - (size - 1), F.lit(0))
-    more = lambda a, p: F.struct(a["start"].alias("start"), p["end"].alias("end"), F.concat(a["name"], p["gap"], p["word"]).alias("name"))
-    return F.zip_with(F.slice(shorter, F.lit(1), n), F.slice(parts, F.lit(size), n), more)
+def _starts(text: Column) -> Column:
+    """Places of the words of a text."""
+    sizes = F.transform(F.regexp_extract_all(text, F.lit(r"(?U)^\W++|\w++\W*+"), F.lit(0)), F.length)
+    whole = let(F.when(F.rlike(text, F.lit(r"(?U)^\W")), sizes).otherwise(F.concat(F.array(F.lit(0)), sizes)), sums)
+    return F.slice(whole, F.lit(2), F.greatest(F.size(whole) - 1, F.lit(0)))
+
+
+def _plain(text: Column) -> Column:
+    """Runs of white space as one space."""
+    return F.regexp_replace(text, r"(?U)\s+", " ")
 
 
 def name_table(names: DataFrame, name_col: str = "name", type_col: str = "entity_type") -> DataFrame:
@@ -30,10 +34,10 @@ def name_table(names: DataFrame, name_col: str = "name", type_col: str = "entity
     Runs of white space count as one space. Null names, those without words and those without a type are left out;
     a name with several types has the first by alphabet.
     """
-    source = once(names.select(F.col(name_col).alias("__n"), F.col(type_col).alias("entity_type")).where("__n is not null and entity_type is not null"), "__p", _parts(F.col("__n")))
-    whole = F.array_join(F.transform("__p", lambda p, i: F.when(i == 0, p["word"]).otherwise(F.concat(p["gap"], p["word"]))), "")
-    source = source.where(F.size("__p") > 0).select(whole.alias("name"), "entity_type", F.size("__p").alias("size"))
-    return source.groupBy("name", "size").agg(F.min("entity_type").alias("entity_type"))
+    whole = _plain(F.regexp_extract("name", r"(?Us)\w(?:.*\w)?", 0))
+    source = names.select(F.col(name_col).alias("name"), F.col(type_col).alias("entity_type")).where("name is not null and entity_type is not null")
+    source = source.select(whole.alias("name"), "entity_type", F.size(F.regexp_extract_all("name", F.lit(f"(?U){WORD}"), F.lit(0))).alias("size"))
+    return source.where("size > 0").groupBy("name", "size").agg(F.min("entity_type").alias("entity_type"))
 
 
 def listed_spans(texts: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text", score: float = 0.9, ord_: int = 1000, name_col: str = "name", type_col: str = "entity_type") -> DataFrame:
@@ -44,25 +48,27 @@ def listed_spans(texts: DataFrame, names: DataFrame, id_col: str = "doc_id", tex
     names of each, taken by themselves. Null and empty texts, and an empty table of names, give no rows. Other columns
     are not looked at.
 
-    Each word begins one sequence for each size that names have, and sequences meet names by a join on their text: names are
-    broadcast where Spark finds them small, and else shuffled; a word that is in most texts makes a skewed partition, which
-    adaptive execution splits. Texts themselves are not shuffled. The driver sees the sizes only, as many as there are
-    different numbers of words in a name.
+    Each word begins one sequence for each size that names have, which a pattern finds. Sequences whose hash no name has are
+    left out where they are found, as long as the names are at most HASHES, whose hashes are broadcast; beyond, they are shuffled. Those
+    that are left meet the names by a join on their text. Texts themselves are not shuffled. The driver sees the number of names
+    of each size, as many as there are different numbers of words in a name.
     """
     listed = name_table(names, name_col, type_col)
-    sizes = sorted(r[0] for r in listed.select("size").distinct().collect())
+    sizes = {r[0]: r[1] for r in listed.groupBy("size").count().collect()}
     source = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("__t")).where("__t is not null")
     empty = source.select("id", F.array().cast(SPANS).alias("spans")).withColumnRenamed("id", id_col).limit(0)
     if not sizes:
         return empty
     # Of texts that share an id, each has its own hash, so that their words do not mix.
-    source = once(source.select("id", F.xxhash64("__t", F.length("__t")).alias("__of"), "__t"), "__p", _parts(F.col("__t")))
-    one = F.transform("__p", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["word"].alias("name")))
-    source = once(source, "__s1", one)
-    for size in range(2, sizes[-1] + 1):  # a step of the plan for each word of the longest name
-        source = once(source, f"__s{size}", _grown(F.col(f"__s{size - 1}"), F.col("__p"), size))
-    sequences = exploded(source.select("id", "__of", F.concat(*(f"__s{k}" for k in sizes)).alias("__all")), F.col("__all"), "s").select("id", "__of", "s.start", "s.end", "s.name")
-    met = sequences.join(listed.select("name", "entity_type"), "name").select("id", "__of", "start", "end", "entity_type").distinct()
+    found = F.array(*(F.regexp_extract_all("__t", F.lit(_sequence(k)), F.lit(1)) for k in sorted(sizes)))
+    source = once(source.select("id", F.xxhash64("__t", F.length("__t")).alias("__of"), "__t"), "__at", _starts(F.col("__t")))
+    source = source.select("id", "__of", "__at", F.explode_outer(found).alias("__s"))
+    start = F.get("__at", F.col("__i"))
+    sequences = source.select("id", "__of", "__at", F.posexplode_outer("__s").alias("__i", "__n")).where("__n is not null")
+    sequences = sequences.select("id", "__of", start.alias("start"), (start + F.length("__n")).alias("end"), _plain(F.col("__n")).alias("name"))
+    hashes = listed.select(F.xxhash64("name").alias("__h")).distinct()
+    known = sequences.withColumn("__h", F.xxhash64("name")).join(F.broadcast(hashes) if sum(sizes.values()) <= HASHES else hashes, "__h", "left_semi")
+    met = known.join(listed.select("name", "entity_type"), "name").select("id", "__of", "start", "end", "entity_type").distinct()
     order = Window.partitionBy("id", "__of").orderBy("start", F.desc("end"))
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     apart = F.coalesce((F.col("start") >= reach).cast("int"), F.lit(1))
