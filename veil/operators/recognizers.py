@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veil.functions import checksums
-from veil.functions.scan import find_all
+from veil.functions.scan import find_all, let
 from veil.operators.spans import none, span
 
 
@@ -45,6 +45,10 @@ def iban(country: str, account: int, entity_type: str, languages: tuple[str, ...
 
 #: Gates: some digits in a row, letters before or after digits, a group between colons; letters and digits other than ASCII pass, as the patterns know all of Unicode.
 RUN, CODED, LETTERED, SIXTH = r"[0-9\P{ASCII}]{7}", r"[A-Z]{2}[\s\P{ASCII}]?[0-9\P{ASCII}]", r"[0-9\P{ASCII}]{7}[A-W]", r":[0-9A-Fa-f]{1,4}:"
+#: Six digits, which all that matches one of LONG holds, and two with a point between.
+DIGITS, DOTTED = r"[0-9\P{ASCII}](?:[ -]?[0-9\P{ASCII}]){5}", r"[0-9\P{ASCII}]\.[0-9\P{ASCII}]"
+CARD, HEALTH = r"(?:[0-9\P{ASCII}][ -]?){12}[0-9\P{ASCII}]", r"(?:[0-9\P{ASCII}]{3}[ -]?){2}"
+LONG = (RUN, LETTERED, CARD, HEALTH)
 #: Patterns, scores and context phrases of the national types are fixed values. Order is that of registration and breaks ties.
 NATIONAL = (
     Recognizer("HR_OIB", r"\b\d{11}\b", 0.4, checksums.oib, gate=RUN),
@@ -72,14 +76,14 @@ IPV6_LEADING = rf"(?<![\w:.])::(?:(?:{_HEX}:){{0,5}}{IPV4}|(?:{_HEX}:){{0,6}}{_H
 #: Our own patterns for common types. Numbers of any country are not told apart as a telephone library would.
 GENERAL = (
     Recognizer("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0, hint=("@",)),
-    Recognizer("CREDIT_CARD", r"\b\d(?:[ -]?\d){12,18}\b", 0.3, checksums.luhn, gate=r"(?:[0-9\P{ASCII}][ -]?){12}[0-9\P{ASCII}]"),
+    Recognizer("CREDIT_CARD", r"\b\d(?:[ -]?\d){12,18}\b", 0.3, checksums.luhn, gate=CARD),
     Recognizer("IP_ADDRESS", IPV6_MIXED, 0.6, hint=("::",), gate=SIXTH),
     Recognizer("IP_ADDRESS", IPV6_LEADING, 0.6, hint=("::",)),
-    Recognizer("IP_ADDRESS", IPV4, 0.6, hint=(".",)),
+    Recognizer("IP_ADDRESS", IPV4, 0.6, gate=DOTTED),
     Recognizer("IP_ADDRESS", IPV6, 0.6, hint=("::",), gate=SIXTH),
     Recognizer("PHONE_NUMBER", r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}\b", 0.5, hint=("+",)),
     Recognizer("SECRET", r"(?i:password|passwd|secret|token|api_?key)[\"']?\s*[:=]\s*[\"']?[A-Za-z0-9+/_.=-]{6,}", 0.8, hint=(":", "=")),
-    Recognizer("UK_NHS", r"\b\d{3}[ -]?\d{3}[ -]?\d{4}\b", 0.5, checksums.nhs, ("en",), gate=r"(?:[0-9\P{ASCII}]{3}[ -]?){2}"),
+    Recognizer("UK_NHS", r"\b\d{3}[ -]?\d{3}[ -]?\d{4}\b", 0.5, checksums.nhs, ("en",), gate=HEALTH),
     Recognizer("IBAN_CODE", r"\b[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){2,7}(?:\s?[A-Z0-9]{1,3})?\b", 0.5, checksums.mod97, ("en",), gate=CODED),
 )
 REGISTRY = NATIONAL + GENERAL
@@ -108,11 +112,13 @@ def recognize(text: Column, r: Recognizer, ord_: int = 0) -> Column:
     return F.transform(found, make)
 
 
-def possible(text: Column, r: Recognizer) -> Column:
-    """Whether a text may hold what the recognizer finds: has one of its hints, or its gate where no hint is given or found."""
+def possible(text: Column, r: Recognizer, gates: Column | None = None) -> Column:
+    """Whether a text may hold what the recognizer finds: has one of its hints, or its gate where no hint is given or found.
+
+    ``gates`` has the gates of all recognizers, if they were looked for before."""
     tests = [F.contains(text, F.lit(h)) for h in r.hint]
     if not r.hint or r.gate != Recognizer.gate:
-        tests.append(text.rlike(r.gate))
+        tests.append(text.rlike(r.gate) if gates is None else F.try_element_at(gates, F.lit(r.gate)))
     out = tests[0]
     for test in tests[1:]:
         out = out | test
@@ -120,6 +126,18 @@ def possible(text: Column, r: Recognizer) -> Column:
 
 
 def detect(text: Column, recognizers: tuple[Recognizer, ...] = REGISTRY) -> Column:
-    """Spans of all recognizers, each of which looks at texts that may hold one of its own only."""
-    found = [F.when(possible(text, r), recognize(text, r, k)).otherwise(none()) for k, r in enumerate(recognizers)]
-    return F.coalesce(F.concat(*found), none()) if found else none()
+    """Spans of all recognizers, each of which looks at texts that may hold one of its own only.
+
+    Each gate is looked for once, and those of long numbers only in texts with DIGITS."""
+    needed = [r.gate for r in recognizers if not r.hint or r.gate != Recognizer.gate]
+    names = list(dict.fromkeys(needed))
+
+    def found(gates):
+        return F.concat(*(F.when(possible(text, r, gates), recognize(text, r, k)).otherwise(none()) for k, r in enumerate(recognizers)))
+
+    def tested(digits):
+        return F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.when(digits, text.rlike(g)).otherwise(False) if g in LONG else text.rlike(g) for g in names)))
+
+    if not names:
+        return F.coalesce(found(None), none()) if recognizers else none()
+    return F.coalesce(let(let(text.rlike(DIGITS), tested), found), none())
