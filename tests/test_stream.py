@@ -3,11 +3,13 @@
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from veil.operators import vault
 from veil.streaming import vault_stream
+from veil.streaming.vault import PAGE, _keeper
 
 KEY, SECRET = bytes(range(32)), bytes(range(32, 64))
 SCHEMA = "chat_id string, action string, turn long, start long, entity_type string, value string, placeholder string"
@@ -99,3 +101,95 @@ def test_a_chat_of_many_rows(spark, stream):
 def test_a_key_is_needed(spark):
     with pytest.raises(ValueError):
         vault_stream(spark.createDataFrame([], SCHEMA), b"short")
+
+
+class Store:
+    """A state store in memory that counts its calls: maps, lists and timers of one key."""
+
+    def __init__(self):
+        self.maps, self.timers, self.calls, self.now, self.largest = {}, [], 0, 0, 0
+
+    def getMapState(self, name, *_):  # noqa: N802
+        return Held(self, self.maps.setdefault(name, {}))
+
+    getListState = getMapState  # noqa: N815
+
+    def listTimers(self):  # noqa: N802
+        return iter(self.timers)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+    def getCurrentProcessingTimeInMs(self):  # noqa: N802
+        return self.now
+
+
+class Held:
+    def __init__(self, store, rows):
+        self.store, self.rows = store, rows
+
+    def getValue(self, key):  # noqa: N802
+        self.store.calls += 1
+        return self.rows.get(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.store.calls += 1
+        self.store.largest = max(self.store.largest, len(value[0]) if isinstance(value[0], str) else 0)
+        self.rows[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        self.rows.pop(key, None)
+
+    def iterator(self):
+        return iter(self.rows.items())
+
+    def exists(self):
+        return bool(self.rows)
+
+    def appendList(self, rows):  # noqa: N802
+        self.rows.setdefault("", []).extend(rows)
+
+    def get(self):
+        return iter(self.rows.get("", []))
+
+    def clear(self):
+        self.rows.clear()
+
+
+def fed(store, rows):
+    keeper = _keeper(60)
+    keeper.init(store)
+    frame = pd.DataFrame(rows, columns=["chat_id", "action", "turn", "start", "entity_type", "sealed", "placeholder"])
+    frame["hash"] = frame["sealed"]
+    return [tuple(r) for out in keeper.handleInputRows((0,), iter([frame]), store) for r in out.itertuples(index=False)]
+
+
+def test_few_calls_to_the_state_store():
+    """It was two calls and more a row; a chat now takes its head, and pages of values and placeholders, once each way."""
+    store = Store()
+    rows = [say(f"c{chat}", t, 0, "PERSON", f"v{t}") for chat in range(100) for t in range(20)] + [ask(f"c{chat}", 0, "[PERSON_20]") for chat in range(100)]
+    got = fed(store, rows)
+    assert len(got) == 2100 and {(r[5], r[6]) for r in got} == {(f"v{t}", f"[PERSON_{t + 1}]") for t in range(20)}
+    assert store.calls <= 6 * 100
+    assert sorted(fed(store, rows)) == sorted(got)
+    assert store.calls <= 12 * 100
+
+
+def test_pages_stay_small_in_a_large_chat_and_go_when_all_has_expired():
+    store, n = Store(), 100 * PAGE
+    fed(store, [say("a", t, 0, "PERSON", f"v{t}") for t in range(n)] + [say(None, 0, 0, "EMAIL", "x")])
+    assert store.largest < 400 * PAGE
+    got = fed(store, [ask("a", 1, f"[PERSON_{t + 1}]") for t in range(n)] + [say("a", 1, 0, "PERSON", f"v{t}") for t in range(n)] + [ask(None, 1, "[EMAIL_1]")])
+    assert {(r[0], r[5], r[6]) for r in got} == {("a", f"v{t}", f"[PERSON_{t + 1}]") for t in range(n)} | {(None, "x", "[EMAIL_1]")}
+    store.now = 30_000
+    fed(store, [ask("a", 2, "[PERSON_7]")])
+    for store.now, left in ((60_000, [("PERSON", "v6", "[PERSON_7]")]), (90_000, [])):
+        store.timers.clear()
+        keeper = _keeper(60)
+        keeper.init(store)
+        assert [len(out) for out in keeper.handleExpiredTimer((0,), store, None)] == [0]
+        asked = store.now, {k: dict(v) for k, v in store.maps.items()}
+        assert [r[4:] for r in fed(store, [ask("a", 3, "[PERSON_7]"), ask("a", 3, "[PERSON_8]"), ask(None, 3, "[EMAIL_1]")]) if r[5]] == left
+        store.maps["pages"].clear()
+        store.maps["pages"].update(asked[1]["pages"])
+    assert not store.maps["pages"] and not store.timers
