@@ -166,13 +166,14 @@ def fed(store, rows):
 
 def test_few_calls_to_the_state_store():
     """It was two calls and more a row; a chat now takes its head, and pages of values and placeholders, once each way."""
-    store = Store()
-    rows = [say(f"c{chat}", t, 0, "PERSON", f"v{t}") for chat in range(100) for t in range(20)] + [ask(f"c{chat}", 0, "[PERSON_20]") for chat in range(100)]
-    got = fed(store, rows)
-    assert len(got) == 2100 and {(r[5], r[6]) for r in got} == {(f"v{t}", f"[PERSON_{t + 1}]") for t in range(20)}
-    assert store.calls <= 6 * 100
-    assert sorted(fed(store, rows)) == sorted(got)
-    assert store.calls <= 12 * 100
+    for chats in (1, 100):
+        store = Store()
+        rows = [say(f"c{chat}", t, 0, "PERSON", f"v{chat} {t}") for chat in range(chats) for t in range(20)] + [ask(f"c{chat}", 0, "[PERSON_20]") for chat in range(chats)]
+        got = fed(store, rows)
+        assert len(got) == 21 * chats and store.calls <= 6 * chats
+        assert {(r[0], r[5], r[6]) for r in got} == {(f"c{chat}", f"v{chat} {t}", f"[PERSON_{t + 1}]") for chat in range(chats) for t in range(20)}
+        assert sorted(fed(store, rows)) == sorted(got)
+        assert store.calls <= 12 * chats
 
 
 def test_pages_stay_small_in_a_large_chat_and_go_when_all_has_expired():
