@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,8 +35,8 @@ BLOCK = 4096
 HUBS = 8
 #: A bucket with more paragraphs than this in one task's memory is dealt to as many as SALTS tasks.
 HOT, SALTS = 64, 64
-#: Bytes of text in one piece of work of a task.
-STEP = 1 << 22
+#: Bytes of text in one piece of work of a task, and about as many whose words are in memory at once (one text at least).
+STEP, PART = 1 << 22, 1 << 20
 #: Paragraphs that a task remembers to have signed.
 HOLD = 300_000
 #: Flags of a paragraph that may be repeated: it has an equal one; it shares a band with a different one.
@@ -54,43 +55,81 @@ def _minima(x: np.ndarray, r: int) -> np.ndarray:
     return np.flatnonzero(least) + r
 
 
-def _starts(hashes: np.ndarray) -> list[int]:
-    """Numbers of the words at which paragraphs start, and the number of words."""
+def _starts(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words at which the paragraphs of texts of ``sizes`` words start, and how many each text has."""
     n = len(hashes)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(len(sizes), np.int64)
     x = (hashes[:-1] * _A + hashes[1:]) * _B
     x = (x ^ (x >> np.uint64(32))) * _MIX
-    chief, more = _minima(x, RADIUS), _minima(x, INNER)
-    around = np.r_[-n - APART, chief, 2 * n + APART]
-    after = np.searchsorted(around, more)
-    more = more[(more - around[after - 1] > APART) & (around[after] - more > APART)]
-    out = [0]
-    for stop in [*np.union1d(chief, more).tolist(), n]:
-        while stop - out[-1] > MOST_WORDS + RADIUS:
-            out.append(out[-1] + MOST_WORDS)
-        if stop > out[-1]:
-            out.append(stop)
-    return out
-
-
-def _cut(text: str):
-    """Words of a text, their hashes and starts, and the numbers of the words at which its paragraphs start and the last one ends."""
-    raw = text.encode("utf-8", "surrogatepass")
-    folded = raw.translate(FOLD)
-    words = folded.split()
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    inside = np.frombuffer(b" " + folded, np.uint8) != 32
-    first = np.flatnonzero(inside[1:] & ~inside[:-1])
-    if len(raw) > len(text):
-        first = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)[first] - 1
-    return words, hashes, first, np.array(_starts(hashes) if words else [0])
+    begin = np.cumsum(sizes) - sizes
+    text = np.repeat(np.arange(len(sizes)), sizes)
+
+    def within(r):
+        """Those of which the pairs on either side are in the same text."""
+        at = _minima(x, r)
+        place = at - begin[text[at]]
+        return at[(place >= r) & (place + r + 1 < sizes[text[at]])]
+
+    chief, more = within(RADIUS), within(INNER)
+    # Texts are put so far apart that those of one are never near those of another.
+    apart = lambda at: at + (text[at] << 32)
+    far, spot = np.r_[-(1 << 32), apart(chief), (len(sizes) + 1) << 32], apart(more)
+    after = np.searchsorted(far, spot)
+    more = more[(spot - far[after - 1] > APART) & (far[after] - spot > APART)]
+    marks = np.union1d(begin[sizes > 0], np.union1d(chief, more))
+    pieces = 1 + np.maximum(0, -((MOST_WORDS + RADIUS - np.diff(np.r_[marks, n])) // MOST_WORDS))
+    starts = np.repeat(marks, pieces) + MOST_WORDS * (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    return starts, np.bincount(text[starts], minlength=len(sizes))
+
+
+class _Cut:
+    """Texts cut into paragraphs, all at once, as a step of arrays costs a short text more than its words do.
+
+    ``words`` of all texts and their ``hashes``, ``sizes`` how many each text has; ``starts`` the numbers of
+    the words at which paragraphs start, ``counts`` how many each text has, and ``lengths`` their words.
+    """
+
+    def __init__(self, texts: list[str | None]):
+        raw = [(text or "").encode("utf-8", "surrogatepass") for text in texts]
+        self._raw = b" ".join(raw)
+        folded = self._raw.translate(FOLD)
+        self.words = folded.split()
+        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
+        inside = np.frombuffer(b" " + folded + b" ", np.uint8) != 32
+        self._edges = np.flatnonzero(inside[1:] != inside[:-1])
+        stops = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
+        self._before, self._texts = stops - np.fromiter(map(len, raw), np.int64, len(raw)) - 1, texts
+        self.sizes = np.diff(np.r_[0, np.searchsorted(self._edges[::2], stops)])
+        self.starts, self.counts = _starts(self.hashes, self.sizes)
+        self.lengths = np.diff(np.r_[self.starts, len(self.words)])
+
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word starts and ends in its text, in code points."""
+        points = np.cumsum((np.frombuffer(self._raw + b" ", np.uint8) & 0xC0) != 0x80) - 1
+        own = np.repeat(points[self._before], self.sizes)
+        return points[self._edges[::2]] - own, points[self._edges[1::2]] - own
+
+    def numbers(self) -> np.ndarray:
+        return _numbers(self.hashes, self.lengths)
 
 
 def _split(text: str):
     """Yield (start, end, words, starts of the words) of the paragraphs of a text."""
-    words, _, first, starts = _cut(text)
-    at = [*first[starts[:-1]].tolist(), len(text)]
-    for k, (i, j) in enumerate(zip(starts.tolist(), starts[1:].tolist(), strict=False)):
-        yield at[k], at[k] + len(text[at[k] : at[k + 1]].rstrip()), words[i:j], first[i:j]
+    cut = _Cut([text])
+    first, starts = cut.places()[0], cut.starts
+    at = [*first[starts].tolist(), len(text)]
+    for k, (i, n) in enumerate(zip(starts.tolist(), cut.lengths.tolist(), strict=True)):
+        yield at[k], at[k] + len(text[at[k] : at[k + 1]].rstrip()), cut.words[i : i + n], first[i : i + n]
+
+
+def _parts(batches, column: int):
+    """Batches in slices of about PART bytes of text, or one text."""
+    for batch in blocks(batches, STEP):
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.flatnonzero(np.diff(np.cumsum(size, dtype=np.int64) // PART)) + 1
+        for i, j in zip([0, *ends.tolist()], [*ends.tolist(), batch.num_rows], strict=True):
+            yield batch.slice(i, j - i)
 
 
 def _numbers(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -243,12 +282,11 @@ def _banded(source: DataFrame) -> DataFrame:
                 for at in range(0, len(part[0]), 1 << 17):
                     yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 17)]) for c in part[:2]] + [pa.array(part[2][at : at + (1 << 17)].astype(np.int32))], names=["band", "k", "n"])
 
-        for batch in blocks(batches, STEP):
-            cuts = [_cut(text) for text in batch.column(0).to_pylist() if text]
-            if cuts:
-                hashes, sizes = np.concatenate([c[1] for c in cuts]), np.concatenate([np.diff(c[3]) for c in cuts])
-                k, at, n = np.unique(_numbers(hashes, sizes), return_index=True, return_counts=True)
-                held.append((k, n, signatures(hashes, sizes)[at]))
+        for batch in _parts(batches, 0):
+            cut = _Cut(batch.column(0).to_pylist())
+            if cut.words:
+                k, at, n = np.unique(cut.numbers(), return_index=True, return_counts=True)
+                held.append((k, n, signatures(cut.hashes, cut.lengths)[at]))
             if sum(len(k) for k, _, _ in held) > HOLD:
                 yield from emit()
         if held:
@@ -261,33 +299,26 @@ def _placed(source: DataFrame) -> DataFrame:
     """``key, pos, k`` of every paragraph."""
 
     def run(batches):
-        for batch in blocks(batches, STEP):
-            row, pos, k = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                if text:
-                    _, hashes, _, starts = _cut(text)
-                    row.append(np.full(len(starts) - 1, i))
-                    pos.append(np.arange(len(starts) - 1, dtype=np.int32))
-                    k.append(_numbers(hashes, np.diff(starts)))
-            row, pos, k = (np.concatenate([*x, np.zeros(0, t)]) for x, t in ((row, np.int64), (pos, np.int32), (k, np.int64)))
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(pos), pa.array(k)], names=["key", "pos", "k"])
+        for batch in _parts(batches, 1):
+            cut = _Cut(batch.column(1).to_pylist())
+            row = np.repeat(np.arange(len(cut.counts)), cut.counts)
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(cut.counts) - cut.counts, cut.counts)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(pos.astype(np.int32)), pa.array(cut.numbers())], names=["key", "pos", "k"])
 
     return source.select("key", "text").mapInArrow(run, "key binary, pos int, k long")
 
 
-def _edges(hashes: np.ndarray, low: np.ndarray, high: np.ndarray, side: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _edges(hashes: np.ndarray, low: np.ndarray, high: np.ndarray, side: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
     """For each range of words the hashes of its first 1, 2 and so on, from its end backwards where ``side`` is 0, and the words' numbers."""
     size = high - low
-    upto = np.cumsum(size)
-    place = np.arange(int(upto[-1]) if len(upto) else 0) - np.repeat(upto - size, size)
+    upto = np.r_[0, np.cumsum(size)]
+    place = np.arange(int(upto[-1])) - np.repeat(upto[:-1], size)
     at = np.where(np.repeat(side, size) == 1, np.repeat(low, size) + place, np.repeat(high, size) - 1 - place)
     x = hashes[at]
     total = np.r_[np.uint64(0), np.cumsum((x ^ (x >> np.uint64(31))) * _PLACE[place])]
-    x = (total[1:] - np.repeat(total[upto - size], size)) * _B
+    x = (total[1:] - np.repeat(total[upto[:-1]], size)) * _B
     x = (x ^ (x >> np.uint64(29))) * _MIX
-    parts = upto[:-1]
-    return np.split((x >> np.uint64(32)).astype(np.uint32).view(np.int32), parts), np.split(at, parts)
+    return tuple(pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(values)) for values in ((x >> np.uint64(32)).astype(np.uint32).view(np.int32), at))
 
 
 def _reach(bounds: list[int], first: int, last: int, right: bool) -> int:
@@ -321,51 +352,69 @@ def _candidates(chosen: DataFrame, least_run: float) -> DataFrame:
         F.lit(0).cast("long").alias("uid"), "doc_id", whole.alias("pos"), whole.alias("start"), whole.alias("end"), whole.alias("word"), whole.alias("n_words"), none.cast("long").alias("k"),
         none.cast("binary").alias("h"), none.cast("binary").alias("words"), none.cast("int").alias("side"), none.cast("array<int>").alias("edge"), none.cast("array<int>").alias("places"),
     ).schema
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    kinds = {"uid": pa.int64(), "k": pa.int64(), "h": pa.binary(), "words": pa.binary(), "edge": pa.list_(pa.int32()), "places": pa.list_(pa.int32())}
+
+    def table(batch, row, values):
+        """A batch with the rows' document ids and the given columns; others are 0, or null where they may be."""
+        out = []
+        for name in schema.names:
+            kind = kinds.get(name, pa.int32())
+            value = values.get(name, 0 if name in ("pos", "start", "end", "word", "n_words") else None)
+            if name == "doc_id":
+                out.append(batch.column(0).take(pa.array(row, pa.int64())))
+            elif value is None or isinstance(value, int):
+                out.append(pa.nulls(len(row), kind) if value is None else pa.array(np.full(len(row), value), kind))
+            else:
+                out.append(value if isinstance(value, pa.ListArray) else pa.array(value, kind))
+        return pa.RecordBatch.from_arrays(out, names=schema.names)
 
     def run(batches):
         seen = set()
         uid = TaskContext.get().partitionId() << 40
-        for batch in blocks(batches, STEP):
-            row: list[int] = []
-            out: list[list] = [[] for _ in kinds]
-
-            def add(i, *values, row=row, out=out):
-                row.append(i)
-                for column, value in zip(out, values, strict=True):
-                    column.append(value)
-
-            for i, (text, at) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                flags = {x >> 2: x & 3 for x in at}
-                words, hashes, first, bounds = _cut(text or "")
-                numbers, bounds = _numbers(hashes, np.diff(bounds)).tolist(), bounds.tolist()
-                begins = [*(first[bounds[:-1]].tolist()), len(text or "")]
-                for pos in sorted(flags):
-                    low, high, start = bounds[pos], bounds[pos + 1], begins[pos]
-                    line = b" ".join(words[low:high])
-                    h = xxhash.xxh3_128_digest(line)
-                    end = start + len(text[start : begins[pos + 1]].rstrip())
-                    add(i, uid + i, pos, start, end, low, high - low, numbers[pos], h, None if h in seen else line, flags[pos], None, None)
-                    seen.add(h)
-                # What is next to runs of equal paragraphs, in texts that are long enough for a passage.
-                equal = sorted(p for p in flags if flags[p] & EQUAL) if bounds[-1] >= least_run else []
-                firsts = [p for p in equal if not flags.get(p - 1, 0) & EQUAL]
-                lasts = [p for p in equal if not flags.get(p + 1, 0) & EQUAL]
-                beside = []
-                for head, tail in zip(firsts, lasts, strict=True):
-                    if head:
-                        beside.append((head, 0, max(0, bounds[head] - _reach(bounds, head, tail, False)), bounds[head]))
-                    if tail + 1 < len(numbers):
-                        beside.append((tail, 1, bounds[tail + 1], min(len(words), bounds[tail + 1] + _reach(bounds, head, tail, True))))
-                if beside:
-                    at_, side, low, high = np.array(beside).T
-                    for p, s, edge, n in zip(at_.tolist(), side.tolist(), *_edges(hashes, low, high, side), strict=True):
-                        places = first[n] + [len(words[k].decode("utf-8", "surrogatepass")) for k in n.tolist()] if s else first[n]
-                        add(i, uid + i, p, 0, 0, 0, 0, numbers[p], None, None, s, edge, places)
+        for batch in _parts(batches, 1):
+            texts, at = batch.column(1).to_pylist(), batch.column(2)
+            cut = _Cut(texts)
+            words, (first, last), numbers = cut.words, cut.places(), cut.numbers()
+            word, paragraph = np.cumsum(cut.sizes) - cut.sizes, np.cumsum(cut.counts) - cut.counts
+            row = np.repeat(np.arange(len(texts)), at.value_lengths().to_numpy(zero_copy_only=False))
+            flags = at.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            order = np.lexsort((flags, row))
+            row, pos, flags = row[order], flags[order] >> 2, flags[order] & 3
+            number = paragraph[row] + pos
+            low, size = cut.starts[number], cut.lengths[number]
+            # A paragraph ends before the space in front of the next one, or of the text's end.
+            begin, following = first[low], np.r_[first[cut.starts], 0][number + 1]
+            following = np.where(pos + 1 == cut.counts[row], np.fromiter((len(x or "") for x in texts), np.int64, len(texts))[row], following)
+            end, h, lines = [], [], []
+            for i, a, b, w, n in zip(row.tolist(), begin.tolist(), following.tolist(), low.tolist(), size.tolist(), strict=True):
+                line = b" ".join(words[w : w + n])
+                name = xxhash.xxh3_128_digest(line)
+                end.append(a + len(texts[i][a:b].rstrip()))
+                h.append(name)
+                lines.append(None if name in seen else line)
+                seen.add(name)
             if len(seen) > HOLD:
                 seen.clear()
-            arrays = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([arrays[0], batch.column(0).take(pa.array(row, pa.int64())), *arrays[1:]], names=schema.names)
+            yield table(batch, row, {"uid": uid + row, "pos": pos, "start": begin, "end": end, "word": low - word[row], "n_words": size, "k": numbers[number], "h": h, "words": lines, "side": flags})
+            # What is next to runs of equal paragraphs, in texts that are long enough for a passage.
+            alike = np.flatnonzero((flags & EQUAL > 0) & (cut.sizes[row] >= least_run))
+            joined = (row[alike][1:] == row[alike][:-1]) & (pos[alike][1:] == pos[alike][:-1] + 1)
+            heads, tails = alike[np.r_[True, ~joined][: len(alike)]], alike[np.r_[~joined, True][: len(alike)]]
+            beside, bounds, of = [], [], None
+            for i, head, tail in zip(row[heads].tolist(), pos[heads].tolist(), pos[tails].tolist(), strict=True):
+                if i != of:
+                    p = int(paragraph[i])
+                    of, bounds = i, [*(cut.starts[p : p + int(cut.counts[i])] - word[i]).tolist(), int(cut.sizes[i])]
+                if head:
+                    beside.append((i, head, 0, max(0, bounds[head] - _reach(bounds, head, tail, False)), bounds[head]))
+                if tail + 2 < len(bounds):
+                    beside.append((i, tail, 1, bounds[tail + 1], min(bounds[-1], bounds[tail + 1] + _reach(bounds, head, tail, True))))
+            if beside:
+                row, pos, side, low, high = np.array(beside).T
+                edge, at = _edges(cut.hashes, low + word[row], high + word[row], side)
+                outer = np.where(np.repeat(side, high - low) == 1, last[at.values], first[at.values])
+                places = pa.ListArray.from_arrays(edge.offsets, pa.array(outer, pa.int32()))
+                yield table(batch, row, {"uid": uid + row, "pos": pos, "k": numbers[paragraph[row] + pos], "side": side, "edge": edge, "places": places})
             uid += batch.num_rows
 
     return chosen.select("doc_id", "text", "at").mapInArrow(run, schema)
@@ -378,8 +427,8 @@ def _beside(batches):
         sizes = np.array(list(map(len, split)), np.int64)
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for words in split for w in words), np.uint64, int(sizes.sum()))
         high = np.cumsum(sizes)
-        edges = _edges(hashes, high - sizes, high, batch.column(1).to_numpy())[0] if len(split) else []
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(edges, pa.list_(pa.int32()))], names=["k", "side", "edge"])
+        edges = _edges(hashes, high - sizes, high, batch.column(1).to_numpy())[0]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), edges], names=["k", "side", "edge"])
 
 
 def _compare(batches):
