@@ -162,7 +162,8 @@ def shingles(words: list[bytes], n: int = SHINGLE) -> list[bytes]:
 def signatures(hashes: np.ndarray, sizes: np.ndarray, n: int = SHINGLE) -> np.ndarray:
     """The BANDS keys of each paragraph of ``sizes`` words, given by the hashes of its words, as a row of longs.
 
-    A key hashes MINIMA least values of the paragraph's shingles, and its last three bits are the band's number.
+    A key hashes MINIMA least values of the paragraph's shingles, and its last three bits are the band's number. It
+    has 48 bits, as keys are most of what is shuffled; two that are equal by chance cost a comparison only.
     """
     if not len(sizes):
         return np.zeros((0, BANDS), np.int64)
@@ -184,7 +185,7 @@ def signatures(hashes: np.ndarray, sizes: np.ndarray, n: int = SHINGLE) -> np.nd
         least = np.minimum.reduceat(turned ^ (turned >> np.uint64(29)), first)
         b = p // MINIMA
         out[:, b] = (out[:, b] ^ (out[:, b] >> np.uint64(27))) * _B + least
-    return ((out & ~np.uint64(7)) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    return (((out >> np.uint64(16)) & ~np.uint64(7)) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
 def similar_links(members: list[tuple[bytes, frozenset]], similar: float = SIMILAR):
@@ -253,7 +254,7 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _banded(source: DataFrame) -> DataFrame:
-    """``band, k, n``: the bands of each paragraph ``k`` and how often it is in what a task holds at once.
+    """``k, band, n``: the bands of each paragraph ``k`` and how often it is in what a task holds at once.
 
     Where over HOT different paragraphs of a task are in one band, ``n`` is negative, the number of the
     task that gets it, and the smallest and the largest of them stand for them with ``n`` 0.
@@ -271,16 +272,16 @@ def _banded(source: DataFrame) -> DataFrame:
             distinct, inverse, size = np.unique(band, return_inverse=True, return_counts=True)
             hot = size[inverse] > HOT
             times = np.where(hot, -1 - (k[owner] % SALTS), n[owner])
-            parts = [(band, k[owner], times)]
+            parts = [(k[owner], band, times)]
             if hot.any():
                 at = np.lexsort((k[owner[hot]], band[hot]))
                 name, key = band[hot][at], k[owner[hot]][at]
                 edge = np.r_[True, name[1:] != name[:-1]]
                 for end in (edge, np.r_[edge[1:], True]):
-                    parts.append((name[end], key[end], np.zeros(int(end.sum()), np.int64)))
+                    parts.append((key[end], name[end], np.zeros(int(end.sum()), np.int64)))
             for part in parts:
                 for at in range(0, len(part[0]), 1 << 17):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 17)]) for c in part[:2]] + [pa.array(part[2][at : at + (1 << 17)].astype(np.int32))], names=["band", "k", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 17)]) for c in part[:2]] + [pa.array(part[2][at : at + (1 << 17)].astype(np.int32))], names=["k", "band", "n"])
 
         for batch in _parts(batches, 0):
             cut = _Cut(batch.column(0).to_pylist())
@@ -292,7 +293,7 @@ def _banded(source: DataFrame) -> DataFrame:
         if held:
             yield from emit()
 
-    return source.select("text").mapInArrow(run, "band long, k long, n int")
+    return source.select("text").mapInArrow(run, "k long, band long, n int")
 
 
 def _placed(source: DataFrame) -> DataFrame:
@@ -461,17 +462,16 @@ def near_links(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> Data
     """Links ``a``, ``b`` between hashes ``h`` of different paragraphs that share a band and are similar.
 
     ``members`` has ``band, k`` and ``texts`` has ``k, h, words``. A bucket of more than ``block`` paragraphs is cut
-    into blocks by hash, and every pair of blocks is a piece of work of its own, so no task holds more
+    into blocks by number, and every pair of blocks is a piece of work of its own, so no task holds more
     than two blocks and no similar pair is missed. A piece gives one link a member at most.
     """
     sizes = members.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("n")).where("n > 1")
-    full = members.join(texts, "k").join(sizes, "band", "left")
     n = F.coalesce("n", F.lit(1))
-    own = F.pmod(F.xxhash64("h", F.lit(3)), n).cast("int")
-    # The pairs of blocks that a member is in: its own with each, as first or second.
-    dealt = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    own = F.pmod(F.xxhash64("k", F.lit(3)), n).cast("int")
+    # The pairs of blocks that a member is in: its own with each, as first or second. Words come last, so they are shuffled once a band.
+    dealt = members.join(sizes, "band", "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     pair = F.least("own", "other").cast("long") * F.lit(1 << 31) + F.greatest("own", "other")
-    dealt = dealt.select("band", pair.alias("pair"), "h", "words")
+    dealt = dealt.select("k", "band", pair.alias("pair")).join(texts, "k").select("band", "pair", "h", "words")
     return dealt.repartition("band", "pair").sortWithinPartitions("band", "pair").mapInArrow(_compare, "a binary, b binary").distinct()
 
 
