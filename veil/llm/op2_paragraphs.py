@@ -499,7 +499,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     wanted = members.groupBy("k").agg(flags.alias("flags"))
     at = F.collect_set(F.col("pos") * 4 + F.col("flags")).alias("at")
     chosen = source.join(_placed(source).join(wanted, "k").groupBy("key").agg(at), "key")
-    rows = materialize(_candidates(chosen, least_run if extend else float("inf")))
+    rows = materialize(_candidates(chosen, least_run if extend else float("inf")), "zstd")
     units = rows.where("h is not null")
     texts = units.where("words is not null").select("k", "h", "words").dropDuplicates(["h"])
     linked = components(near_links(members.where("band is not null").select("band", "k"), texts, block))

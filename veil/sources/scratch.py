@@ -27,11 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[context.applicationId]
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends here and a lost executor costs nothing."""
     spark = ship(df.sparkSession)
     path = f"{shared_dir(spark)}/veil-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._veil_path = path
     return out
