@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -568,6 +569,67 @@ def test_viterbi_is_the_best_path():
         assert abs(s[np.arange(steps), path].sum() - 8 * np.count_nonzero(np.diff(path)) - value.max()) < 1e-9
 
 
+def plain_path(scores, switch=8.0):
+    value, back = scores[0].astype(float), []
+    for row in scores[1:]:
+        top = int(value.argmax())
+        back.append([k if v >= value[top] - switch else top for k, v in enumerate(value)])
+        value = np.maximum(value, value[top] - switch) + row
+    path = [int(value.argmax())]
+    for step in reversed(back):
+        path.append(step[path[-1]])
+    return path[::-1]
+
+
+def test_viterbi_takes_all_detours(monkeypatch):
+    """Word by word the path of all words at once, with detours at the start, within and at the end, and in slices of any size."""
+    monkeypatch.setattr(op8_langid, "STEP_WORDS", 7)
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        steps, langs = rng.integers(60, 300), rng.integers(2, 6)
+        s = rng.normal(size=(steps, langs)).astype(np.float32)
+        s[:, rng.integers(langs)] += rng.choice([0.2, 1])
+        for at in (0, int(rng.integers(steps)), steps - 20):
+            s[at : at + int(rng.integers(40)), rng.integers(langs)] += rng.choice([0.5, 2])
+        assert op8_langid.viterbi(s).tolist() == plain_path(s)
+
+
+def test_a_short_detour_costs_no_calls_for_each_word():
+    """One passage in another language among 20,000 words: the words outside are not stepped through."""
+    s = np.tile(np.float32([-10, -14, -14]), (20_000, 1))
+    s[9_000:9_030] = -14, -10, -14
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "c_call"
+
+    sys.setprofile(count)
+    try:
+        path = op8_langid.viterbi(s)
+    finally:
+        sys.setprofile(None)
+    assert np.flatnonzero(path == 1).tolist() == list(range(9_000, 9_030)) and not path[:9_000].any() and calls < 1_000
+
+
+def test_words_are_runs_of_letters(monkeypatch):
+    every = "".join(map(chr, range(0x110000)))
+    odd = ["", " ", "ΟΔΟΣ. ΟΔΟΣ", "İstanbul x²y_z1a", "\ud800a\udfffB", "日本語、中文 ½a", "naïve-co\u0301te", every]
+    for chars in (op8_langid.STEP_CHARS, 3):
+        monkeypatch.setattr(op8_langid, "STEP_CHARS", chars)
+        for text in odd[: None if chars > 3 else -1]:
+            assert op8_langid.words_of(text) == [w for _, w in op8_langid.letters(text.lower())]
+
+
+def test_remembered_words_are_forgotten_and_learned_again(spark, docs, monkeypatch):
+    model = op8_langid.train(docs)
+    texts = [r.text for r in docs.select("text").collect()]
+    want = op8_langid.Labeller(model).label(texts)
+    monkeypatch.setattr(op8_langid, "REMEMBER", 50)
+    labeller = op8_langid.Labeller(model)
+    assert [labeller.label([t])[0] for t in texts] == want and [labeller.label([t])[0] for t in texts[::-1]] == want[::-1]
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
     got = {r.doc_id: r for r in op8_langid.op8_langid(spark, f"{DATA}/sf0.01").collect()}

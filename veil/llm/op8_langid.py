@@ -1,8 +1,10 @@
 """Language identification: script ranges, per-word trigram scores and a Viterbi path over languages."""
 
+import functools
 import itertools
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,10 @@ _SCRIPT = np.array([s for _, s in SCRIPTS])
 N_SCRIPTS = int(_SCRIPT.max()) + 1
 #: Distinct words in a worker's memory before it passes on counts or starts again.
 REMEMBER = 300_000
+#: Characters that are looked up at once.
+STEP_CHARS = 1 << 20
+#: Words whose values are held as numbers at once, on a path over languages.
+STEP_WORDS = 1 << 14
 
 
 def letters(text: str) -> list[tuple[int, str]]:
@@ -51,11 +57,17 @@ def letters(text: str) -> list[tuple[int, str]]:
     return out
 
 
+@functools.cache
+def _blanks() -> np.ndarray:
+    """Each code point if it is a letter, else a blank; the planes beyond have no letters, and the last entry stands for them."""
+    return np.fromiter((c if chr(c).isalpha() else 32 for c in range(0x40000)), np.uint32, 0x40000)
+
+
 def words_of(text: str) -> list[str]:
     """Runs of letters in lower case."""
     text = text.lower()
-    found = WORD.findall(text)
-    return found if not found or "".join(found).isalpha() else [word for _, word in letters(text)]
+    parts = (np.frombuffer(text[i : i + STEP_CHARS].encode("utf-32-le", "surrogatepass"), "<u4") for i in range(0, len(text), STEP_CHARS))
+    return "".join(_blanks().take(part, mode="clip").tobytes().decode("utf-32-le") for part in parts).split()
 
 
 def scripts_of(words: list[str]) -> np.ndarray:
@@ -156,29 +168,56 @@ class Model:
         return np.add.reduceat(scores, np.r_[0, np.cumsum(sizes)[:-1]], axis=0) + self.scripts[scripts_of(words)]
 
 
+def _full_path(scores: np.ndarray, switch: float) -> np.ndarray:
+    """Language of each word on the best path, found word by word; plain numbers, since calls on arrays of a few languages cost more."""
+    steps, langs = scores.shape
+    before = np.empty((steps, langs))  # value of the best path to each language, with its word
+    value = [0.0] * langs
+    for at in range(0, steps, STEP_WORDS):
+        held = []
+        for row in scores[at : at + STEP_WORDS].tolist():
+            turn = max(value) - switch
+            value = [(v if v >= turn else turn) + s for v, s in zip(value, row, strict=True)]
+            held.append(value)
+        before[at : at + len(held)] = held
+    top = before.argmax(axis=1)
+    came = before < before.max(axis=1, keepdims=True) - switch  # to stay in the language is worth less than to come from the top one
+    turns = [np.flatnonzero(came[:-1, k]) for k in range(langs)]
+    path = np.empty(steps, np.int64)
+    end, k = steps, int(top[-1])
+    while end:
+        n = int(np.searchsorted(turns[k], end - 1))
+        start = int(turns[k][n - 1]) + 1 if n else 0
+        path[start:end] = k
+        end, k = start, int(top[start - 1])
+    return path
+
+
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Language of each word on the best path; ties go to the earlier language."""
     steps, langs = scores.shape
-    best = int(scores.sum(axis=0).argmax())
+    best = int(scores.sum(axis=0, dtype=float).argmax())
+    path = np.full(steps, best)
     if langs == 1:
-        return np.zeros(steps, np.int64)
-    # No detour pays if what any stretch of words gains over the best single language is within one switch.
-    gain = np.delete(scores, best, axis=1).max(axis=1) - scores[:, best]
-    level = np.r_[0.0, np.cumsum(gain)]
-    if (level[1:] - np.minimum.accumulate(level)[:-1]).max() <= switch:
-        return np.full(steps, best)
-    came = np.empty((steps, langs), np.int64)
-    own = np.arange(langs)
-    value = scores[0].astype(float)
-    for t in range(1, steps):
-        top = int(value.argmax())
-        turn = value[top] - switch
-        came[t] = np.where(value >= turn, own, top)
-        value = np.maximum(value, turn) + scores[t]
-    path = np.empty(steps, np.int64)
-    path[-1] = value.argmax()
-    for t in range(steps - 1, 0, -1):
-        path[t - 1] = came[t, path[t]]
+        return path
+    # A detour from the best single language has to gain more than one switch, and so has any stretch that it is part of.
+    level = np.zeros(steps + 1)
+    others = scores.copy()
+    others[:, best] = -np.inf
+    np.cumsum(others.max(axis=1) - scores[:, best], dtype=float, out=level[1:])
+    low = np.minimum.accumulate(level[:-1])
+    if (level[1:] - low).max() <= switch:
+        return path
+    away = np.maximum.accumulate(level[:0:-1])[::-1] - low > switch  # words of stretches that gain so much; all others are in the best language
+    edges = np.flatnonzero(np.diff(away, prepend=False, append=False))
+    for start, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        part = scores[start:end].astype(float)
+        cost = np.where(np.arange(langs) == best, 0, switch)
+        if start:
+            part[0] -= cost
+        if end < steps:
+            part[-1] -= cost
+        path[start:end] = _full_path(part, switch)
     return path
 
 
@@ -190,40 +229,48 @@ class Labeller:
         self._forget()
 
     def _forget(self):
-        self.index: dict[str, int] = {}
+        self.index: defaultdict[str, int] = defaultdict(itertools.count().__next__)
         self.rows = np.zeros((1 << 16, len(self.model.langs)), np.float32)
+        self.sizes = np.zeros(1 << 16, np.int64)
+        self.known = 0
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Row of each word; a word not met before gets the next one, which ``_learn`` fills."""
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
-    def _learn(self, fresh: list[str]) -> None:
-        if not fresh:
+    def _learn(self) -> None:
+        """Score the words that were numbered since the last call."""
+        known, now = self.known, len(self.index)
+        if known == now:
             return
-        known, now = len(self.index), len(self.index) + len(fresh)
         if now > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((max(now, 2 * len(self.rows)) - len(self.rows), self.rows.shape[1]), np.float32)])
+            more = max(now, 2 * len(self.rows)) - len(self.rows)
+            self.rows = np.concatenate([self.rows, np.zeros((more, self.rows.shape[1]), np.float32)])
+            self.sizes = np.concatenate([self.sizes, np.zeros(more, np.int64)])
+        fresh = list(itertools.islice(reversed(self.index), now - known))[::-1]
         self.rows[known:now] = self.model.words(fresh)
-        self.index.update(zip(fresh, range(known, now), strict=True))
+        self.sizes[known:now] = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        self.known = now
 
-    def paths(self, texts: list[str | None]) -> list[tuple[list[str], np.ndarray]]:
-        """Words of each text, lower-cased, and the language number of each."""
-        split = [words_of(t) if t else [] for t in texts]
+    def paths(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Letters of each word of each text, and the language number of each."""
         if len(self.index) > REMEMBER:
             self._forget()
-        self._learn(list({w for words in split for w in words} - self.index.keys()))
-        get = self.index.__getitem__
-        out = []
-        for words in split:
-            out.append((words, viterbi(self.rows[np.fromiter(map(get, words), np.int64, len(words))], self.switch) if words else np.zeros(0, np.int64)))
-        return out
+        numbers = [self._numbers(words_of(t) if t else []) for t in texts]
+        self._learn()
+        for number in numbers:
+            yield self.sizes[number], viterbi(self.rows[number], self.switch) if len(number) else number
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language with most letters, and its share of the letters; ``und`` and 0 without letters or model."""
         if not self.model.langs:
             return [("und", 0.0)] * len(texts)
         out = []
-        for words, path in self.paths(texts):
-            if not words:
+        for sizes, path in self.paths(texts):
+            if not len(sizes):
                 out.append(("und", 0.0))
                 continue
-            letters = np.bincount(path, np.fromiter(map(len, words), np.int64, len(words)), len(self.model.langs))
+            letters = np.bincount(path, sizes, len(self.model.langs))
             best = int(letters.argmax())
             out.append((self.model.langs[best], float(letters[best] / letters.sum())))
         return out
@@ -237,8 +284,9 @@ class Labeller:
         words = [w.lower() for _, w in places]
         if not words:
             return out
-        self._learn(list(set(words) - self.index.keys()))
-        path = viterbi(self.rows[[self.index[w] for w in words]], self.switch)
+        number = self._numbers(words)
+        self._learn()
+        path = viterbi(self.rows[number], self.switch)
         for (at, word), k in zip(places, path, strict=True):
             lang = self.model.langs[k]
             if out and out[-1]["lang"] == lang:
